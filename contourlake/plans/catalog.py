@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import q_scalar  # noqa: F401
+from . import q_scalar, q_series  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -16,14 +16,14 @@ from ..operators import frames as FR
 FREQUENCY_ALIASES = ("f0_hz", "f0", "frequency")
 ASSIGNMENT_COLUMNS = (
     "call_id",
+    "version",
     "cluster",
     "x",
     "y",
     "n_points",
-    "duration",
-    "mean_f0",
-    "std_f0",
-    "silhouette",
+    "duration_sec",
+    "mean_frequency",
+    "std_frequency",
 )
 
 
