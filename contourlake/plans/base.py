@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,22 +24,23 @@ class Ctes:
     def sql(self, body: str, **extra: str) -> str:
         parts = {**self.parts, **extra}
         needed: list[str] = []
+        started: set[str] = set()
 
         def visit(text: str) -> None:
             for name, definition in parts.items():
-                if name not in needed and _mentions(text, name):
+                if name not in started and _mentions(text, name):
+                    started.add(name)
                     visit(definition)
                     needed.append(name)
 
         visit(body)
-        head = ",\n".join(f"{n} AS ({parts[n]})" for n in needed)
+        kind = lambda n: "" if _mentions(parts[n], n) else "MATERIALIZED "
+        head = ",\n".join(f"{n} AS {kind(n)}({parts[n]})" for n in needed)
         return f"WITH RECURSIVE {head}\n{body}" if needed else body
 
 
 def _mentions(text: str, name: str) -> bool:
-    import re
-
-    return re.search(rf"(?<![\w.]){name}(?!\w|\()", text) is not None
+    return re.search(rf"\b(FROM|JOIN)\s+{name}\b", text) is not None
 
 
 # The adapters of ``sources.adapters`` stated in SQL.
