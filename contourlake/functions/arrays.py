@@ -7,6 +7,7 @@ inside a lambda body would otherwise be recomputed for every element after proje
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -23,17 +24,21 @@ def num(x: float) -> str:
     return f"{float(x)!r}D"
 
 
+def constant(value: object, ddl: str) -> Column:
+    """Constant of a nested type as one JSON literal.
+
+    The analyzer sees two nodes instead of one per element, and constant folding turns it into one literal.
+    """
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
 def dlit(values: Sequence[float]) -> Column:
     """Constant ``ARRAY<DOUBLE>``."""
-    if not len(values):
-        return F.expr("cast(array() as array<double>)")
-    return F.expr("array(" + ",".join(num(v) for v in values) + ")")
+    return constant([float(v) for v in values], "array<double>")
 
 
 def ilit(values: Sequence[int]) -> Column:
-    if not len(values):
-        return F.expr("cast(array() as array<int>)")
-    return F.expr("array(" + ",".join(str(int(v)) for v in values) + ")")
+    return constant([int(v) for v in values], "array<int>")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -88,15 +93,12 @@ def clip(x: Column, lo: float, hi: float) -> Column:
 
 
 def _rows_literal(matrix: np.ndarray) -> Column:
+    """Sparse rows of a constant matrix: array of (i, w)."""
     rows = []
     for row in np.asarray(matrix, dtype=float):
         nz = np.flatnonzero(row)
-        idx = ",".join(str(int(i)) for i in nz)
-        wts = ",".join(num(row[i]) for i in nz)
-        ia = f"array({idx})" if len(nz) else "cast(array() as array<int>)"
-        wa = f"array({wts})" if len(nz) else "cast(array() as array<double>)"
-        rows.append(f"named_struct('i',{ia},'w',{wa})")
-    return F.expr("array(" + ",".join(rows) + ")")
+        rows.append({"i": [int(i) for i in nz], "w": [float(row[i]) for i in nz]})
+    return constant(rows, "array<struct<i:array<int>,w:array<double>>>")
 
 
 HOF_NONZEROS = 20_000

@@ -150,11 +150,22 @@ def pack_frames(tf: DataFrame) -> DataFrame:
     )
 
 
+def by_call(df: DataFrame) -> DataFrame:
+    """Hash-partition by call into the session's shuffle partitions.
+
+    The grouping that follows reuses this exchange.  The explicit number keeps adaptive execution from merging
+    small partitions: a packed call is little data but much work.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "call_id")
+
+
 def pack_calls(tf_frame: DataFrame, name: str = "frames") -> DataFrame:
     """Dense frames to one row per call: (call_id, times, frames)."""
     packed = F.sort_array(F.collect_list(F.struct("frame_idx", "time", "mags")))
     return (
-        tf_frame.groupBy("call_id")
+        by_call(tf_frame)
+        .groupBy("call_id")
         .agg(packed.alias("p"))
         .select(
             "call_id",
@@ -356,7 +367,7 @@ def resample(wf: DataFrame, sr_in: int, sr_out: int, taps: int = 16) -> DataFram
         d = offsets - (ph * down % up) / up
         win = 0.5 + 0.5 * np.cos(np.pi * np.clip(d / taps, -1.0, 1.0))
         table.append(cut * np.sinc(cut * d) * win)
-    weights = F.expr("array(" + ",".join("array(" + ",".join(A.num(v) for v in row) + ")" for row in table) + ")")
+    weights = A.constant([[float(v) for v in row] for row in table], "array<array<double>>")
     offs = A.ilit([int(o) for o in offsets])
 
     def build(x: Column) -> Column:

@@ -268,14 +268,30 @@ def select_band(anchor: Column, shrp: Column, cfg: HybridConfig, width: float |
     return A.let(centre, edges)
 
 
+def _band_table(axis: list[float], bands: list[tuple[float, float]], jump: float) -> Column:
+    """Constant array of search bands: limits, channels, their frequencies and what each channel can reach."""
+    rows = []
+    for low, high in bands:
+        first, n = X.band_channels(axis, low, high)
+        if n < 3:
+            raise ValueError(f"too few channels in proposal band {(low, high)}")
+        hz = [float(f) for f in axis[first : first + n]]
+        lo, hi = TR._reach(hz, jump)
+        rows.append({"low": low, "high": high, "first": first, "n": n, "hz": hz, "lo": lo, "hi": hi})
+    return A.constant(
+        rows, "array<struct<low:double,high:double,first:int,n:int,hz:array<double>,lo:array<int>,hi:array<int>>>"
+    )
+
+
+def _band_path(frames: Column, band: Column) -> Column:
+    cut = F.transform(frames, lambda fr: F.slice(fr, band["first"] + 1, band["n"]))
+    return F.transform(TR.outward(cut, band["lo"], band["hi"]), lambda c: F.get(band["hz"], c))
+
+
 def coarse_path(frames: Column, axis: list[float], band: tuple[float, float], jump: float) -> Column:
     """Ridge path in Hz inside one band, outward from the strongest frame."""
-    first, n = X.band_channels(axis, *band)
-    if n < 3:
-        raise ValueError(f"too few channels in proposal band {band}")
-    cut, f = TR.band_frames(frames, axis, *band)
-    hz = A.dlit(f)
-    return F.transform(TR.track_outward(cut, f, jump), lambda c: F.get(hz, c))
+    table = _band_table(axis, [band], jump)
+    return A.let(frames, lambda v: F.transform(table, lambda b: _band_path(v, b)).getItem(0))
 
 
 def with_proposals(
@@ -287,36 +303,39 @@ def with_proposals(
     the paths follow; the evidence comes from the anchor and shrp lattices.
     """
     h1 = A.dlit(cfg.candidates())
-    c = calls.withColumn("_az", robust_z(F.col("anchor"))).withColumn("_sz", robust_z(F.col("shrp")))
-
-    def describe(low: float, high: float) -> Column:
-        def run(q: Column) -> Column:
-            p = q["p"]
-            shrp = A.median(L.sample_path(q["s"], h1, p))
-            ridge = A.median(L.sample_path(q["a"], h1, p))
-            return A.let(
-                F.struct(shrp.alias("s"), ridge.alias("r"), R.roughness(p).alias("g")),
-                lambda e: F.struct(
-                    F.lit(low).alias("band_lo"),
-                    F.lit(high).alias("band_hi"),
-                    p.alias("path"),
-                    A.median(p).alias("median_h1"),
-                    e["s"].alias("shrp_score"),
-                    e["r"].alias("ridge_score"),
-                    e["g"].alias("roughness"),
-                    (e["s"] + e["r"] * cfg.ridge_vote - e["g"] * ROUGHNESS_WEIGHT).alias("score"),
-                ),
-            )
-
-        path = coarse_path(F.col(frames), axis, (low, high), cfg.proposal_jump)
-        return A.let(F.struct(path.alias("p"), F.col("_sz").alias("s"), F.col("_az").alias("a")), run)
-
     bands = [(max(lo, cfg.h1_min), min(hi, cfg.h1_max)) for lo, hi in cfg.bands]
     bands = [(lo, hi) for lo, hi in bands if hi > lo]
     if not bands:
         raise ValueError("no valid proposal bands")
-    c = c.withColumn("_all", F.array(*[describe(lo, hi) for lo, hi in bands]))
-    return c.withColumn("proposals", dedupe_proposals(F.col("_all"))).drop("_all", "_az", "_sz")
+    table = _band_table(axis, bands, cfg.proposal_jump)
+
+    def describe(s: Column, band: Column, p: Column) -> Column:
+        return A.let(
+            F.struct(
+                A.median(L.sample_path(s["s"], h1, p)).alias("s"),
+                A.median(L.sample_path(s["a"], h1, p)).alias("r"),
+                R.roughness(p).alias("g"),
+            ),
+            lambda e: F.struct(
+                band["low"].alias("band_lo"),
+                band["high"].alias("band_hi"),
+                p.alias("path"),
+                A.median(p).alias("median_h1"),
+                e["s"].alias("shrp_score"),
+                e["r"].alias("ridge_score"),
+                e["g"].alias("roughness"),
+                (e["s"] + e["r"] * cfg.ridge_vote - e["g"] * ROUGHNESS_WEIGHT).alias("score"),
+            ),
+        )
+
+    evidence = F.struct(
+        F.col(frames).alias("f"), robust_z(F.col("anchor")).alias("a"), robust_z(F.col("shrp")).alias("s")
+    )
+    described = A.let(
+        evidence,
+        lambda s: F.transform(table, lambda b: A.let(_band_path(s["f"], b), lambda p: describe(s, b, p))),
+    )
+    return calls.withColumn("proposals", dedupe_proposals(described))
 
 
 def dedupe_proposals(items: Column) -> Column:

@@ -116,7 +116,7 @@ def sample_rows(tf_frame: DataFrame, axis: Sequence[float], targets: Sequence[fl
     sampled = A.linear_map_frame(F.col("mags"), m)
     return (
         tf_frame.select("call_id", "frame_idx", F.posexplode(sampled).alias("target", "value"))
-        .withColumn("valid", F.get(F.expr("array(" + ",".join(str(bool(v)).lower() for v in valid) + ")"), F.col("target")))
+        .withColumn("valid", F.get(A.constant([bool(v) for v in valid], "array<boolean>"), F.col("target")))
     )
 
 

@@ -54,9 +54,9 @@ def _slots(axis: np.ndarray, bins_hz: np.ndarray, cfg: RefineConfig, scale: str
                 break
             c = nearest(k * f0)
             lo, hi = max(0, c - cfg.bin_radius), min(len(axis) - 1, c + cfg.bin_radius)
-            cells.append(f"named_struct('a',{lo},'n',{hi - lo + 1},'w',{A.num(k ** -cfg.harmonic_exp)})")
-        rows.append("array(" + ",".join(cells) + ")" if cells else "cast(array() as array<struct<a:int,n:int,w:double>>)")
-    return F.expr("array(" + ",".join(rows) + ")")
+            cells.append({"a": lo, "n": hi - lo + 1, "w": float(k) ** -cfg.harmonic_exp})
+        rows.append(cells)
+    return A.constant(rows, "array<array<struct<a:int,n:int,w:double>>>")
 
 
 def _aud(f: float, scale: str) -> float:

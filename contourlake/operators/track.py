@@ -94,12 +94,16 @@ def track_causal(frames: Column, axis: list[float], jump: float | None) -> Colum
 def track_outward(frames: Column, axis: list[float], jump: float | None) -> Column:
     """Start at the strongest frame near the global peak channel, then fold forward and backward."""
     lo, hi = (A.ilit(v) for v in _reach(axis, jump))
+    return outward(frames, lo, hi)
+
+
+def outward(frames: Column, lo: Column, hi: Column) -> Column:
+    """``track_outward`` with the reach of every channel given as columns."""
 
     def run(v: Column) -> Column:
         def both(a: Column) -> Column:
-            first = F.when(F.lit(jump is None), F.lit(-1)).otherwise(a["channel"])
             return A.let(
-                allowed_peak(F.get(v, a["start"]), first, lo, hi),
+                allowed_peak(F.get(v, a["start"]), a["channel"], lo, hi),
                 lambda c: F.concat(
                     F.reverse(_fold(F.reverse(F.slice(v, 1, a["start"])), c, lo, hi)),
                     F.array(c),

@@ -44,12 +44,11 @@ class Tables:
             (F.col("l_partkey") % TF_CHANNELS).cast("int").alias("channel"),
             F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
         )
-        per_channel = [
-            F.coalesce(F.sum(F.when(F.col("channel") == c, F.col("cents"))), F.lit(0)).alias(f"m{c}")
-            for c in range(TF_CHANNELS)
-        ]
-        wide = cells.groupBy("call_id", "b").agg(*per_channel)
-        mags = F.array(*[F.col(f"m{c}") / 1e5 for c in range(TF_CHANNELS)])
+        total = "coalesce(sum(CASE WHEN channel = {c} THEN cents END), 0L)"
+        wide = cells.groupBy("call_id", "b").agg(
+            *[F.expr(f"{total.format(c=c)} AS m{c}") for c in range(TF_CHANNELS)]
+        )
+        mags = F.expr("array(" + ",".join(f"m{c} / 1e5D" for c in range(TF_CHANNELS)) + ")")
         order = W.partitionBy("call_id").orderBy("b")
         return wide.select("call_id", (F.row_number().over(order) - 1).alias("frame_idx"), mags.alias("mags")).select(
             "call_id", "frame_idx", (F.col("frame_idx") * TF_DT).alias("time"), "mags"
