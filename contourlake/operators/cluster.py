@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import exprs as X
 from ..functions import series as R
+from ..session import scratch_table
 
 MODES = ("balanced", "frequency_main", "modulation_main")
 
@@ -168,6 +169,11 @@ def knn(features: DataFrame, k: int, col: str = "features", pivots: int = 64, bl
     placed = features.select("call_id", col).mapInPandas(
         assign, "call_id bigint, vec array<double>, cell int, dist array<double>"
     )
+    # read by the cell statistics, the visits and the members: written once to the shared folder
+    spark = features.sparkSession
+    path = scratch_table(spark, "knn-cells")
+    placed.write.parquet(path)
+    placed = spark.read.parquet(path)
     cells = (
         placed.groupBy("cell")
         .agg(F.count(F.lit(1)).alias("n"), F.max(F.get("dist", F.col("cell"))).alias("radius"))
@@ -211,7 +217,7 @@ def knn(features: DataFrame, k: int, col: str = "features", pivots: int = 64, bl
         placed.join(F.broadcast(sizes), "cell")
         .withColumn("m", spread(F.col("mb"), 1))
         .withColumn("v", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)))
-        .select("cell", "m", "v", "call_id", "vec")
+        .select(*[F.col(c).alias(f"r_{c}") for c in ("cell", "m", "v", "call_id", "vec")])
     )
     queries = (
         visits.select("call_id", "vec", F.col("c.cell").alias("cell"))
@@ -225,8 +231,8 @@ def knn(features: DataFrame, k: int, col: str = "features", pivots: int = 64, bl
         empty = pd.DataFrame({"call_id": [], "neighbour": [], "distance": []})
         if left.empty or right.empty:
             return empty
-        q, r = np.stack(list(left["vec"])), np.stack(list(right["vec"]))
-        qi, ri = left["call_id"].to_numpy(), right["call_id"].to_numpy()
+        q, r = np.stack(list(left["vec"])), np.stack(list(right["r_vec"]))
+        qi, ri = left["call_id"].to_numpy(), right["r_call_id"].to_numpy()
         out_q, out_r, out_d = [], [], []
         for a in range(0, len(q), 64):
             d = np.sqrt(((q[a : a + 64, None, :] - r[None, :, :]) ** 2).sum(axis=2))
@@ -241,10 +247,10 @@ def knn(features: DataFrame, k: int, col: str = "features", pivots: int = 64, bl
             {"call_id": np.concatenate(out_q), "neighbour": np.concatenate(out_r), "distance": np.concatenate(out_d)}
         )
 
-    key = ["cell", "m", "v"]
+    key = ("cell", "m", "v")
     partial = (
         queries.groupBy(*key)
-        .cogroup(members.groupBy(*key))
+        .cogroup(members.groupBy(*[f"r_{c}" for c in key]))
         .applyInPandas(compare, "call_id bigint, neighbour bigint, distance double")
     )
     ranked = F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))), 1, k)

@@ -36,47 +36,57 @@ def calls_of(t):
 
 # ---------------------------------------------------------------- ridge tracker
 
-TRACK = {
-    "bt": "SELECT call_id, frame_idx, channel, freq_hz, magnitude FROM tf WHERE freq_hz >= 22.5e0 AND freq_hz <= 5e1",
-    "p2a": """SELECT call_id, frame_idx, arg_max(channel, (magnitude, -channel)) AS channel FROM bt WHERE frame_idx = 0 GROUP BY 1, 2
-   UNION ALL SELECT b.call_id, b.frame_idx, arg_max(b.channel, (b.magnitude, -b.channel)) FROM p2a p JOIN bt b ON b.call_id = p.call_id
-     AND b.frame_idx = p.frame_idx + 1 AND abs(b.freq_hz - (1.7e1 + 1.3e0 * p.channel)) <= 4e0 GROUP BY 1, 2""",
-    "anc": """SELECT call_id, p.c AS channel, s.f AS start FROM
-   (SELECT call_id, arg_max(channel, (v, -channel)) AS c FROM (SELECT call_id, channel, avg(magnitude) AS v FROM bt GROUP BY 1, 2) GROUP BY 1) p
-   JOIN (SELECT call_id, arg_max(frame_idx, (v, -frame_idx)) AS f FROM (SELECT call_id, frame_idx, sum(magnitude) AS v FROM bt GROUP BY 1, 2) GROUP BY 1) s USING (call_id)""",
-    "st": """SELECT b.call_id, b.frame_idx, arg_max(b.channel, (b.magnitude, -b.channel)) AS channel FROM anc a JOIN bt b ON b.call_id = a.call_id
-     AND b.frame_idx = a.start AND abs(b.freq_hz - (1.7e1 + 1.3e0 * a.channel)) <= 4e0 GROUP BY 1, 2""",
-    "fwd": """SELECT * FROM st UNION ALL SELECT b.call_id, b.frame_idx, arg_max(b.channel, (b.magnitude, -b.channel)) FROM fwd p JOIN bt b ON b.call_id = p.call_id
-     AND b.frame_idx = p.frame_idx + 1 AND abs(b.freq_hz - (1.7e1 + 1.3e0 * p.channel)) <= 4e0 GROUP BY 1, 2""",
-    "bwd": """SELECT * FROM st UNION ALL SELECT b.call_id, b.frame_idx, arg_max(b.channel, (b.magnitude, -b.channel)) FROM bwd p JOIN bt b ON b.call_id = p.call_id
-     AND b.frame_idx = p.frame_idx - 1 AND abs(b.freq_hz - (1.7e1 + 1.3e0 * p.channel)) <= 4e0 GROUP BY 1, 2""",
-    "p2b": "SELECT * FROM fwd UNION SELECT * FROM bwd",
-    "rp": """SELECT p.call_id, p.frame_idx, b.freq_hz AS v, b.magnitude AS peak, CASE WHEN z.total > 0 THEN b.magnitude / z.total ELSE 0e0 END AS share,
-     count(*) OVER (PARTITION BY p.call_id) AS n FROM p2b p JOIN bt b USING (call_id, frame_idx, channel)
-     JOIN (SELECT call_id, frame_idx, sum(magnitude) AS total FROM bt GROUP BY 1, 2) z USING (call_id, frame_idx)""",
-}
-
-
 def mirror_median(src: str, idx: str = "frame_idx") -> str:
     m = f"((c.{idx} + o) % (2 * c.n) + 2 * c.n) % (2 * c.n)"
     return f"""SELECT c.call_id, c.{idx}, quantile_cont(d.v, 5e-1) AS med FROM {src} c CROSS JOIN (SELECT range - 2 AS o FROM range(5))
      JOIN {src} d ON d.call_id = c.call_id AND d.{idx} = CASE WHEN {m} < c.n THEN {m} ELSE 2 * c.n - 1 - {m} END GROUP BY 1, 2"""
 
 
-TRACK |= {
+TRACK_POST = {
     "rm": mirror_median("rp"),
-    "rg": """SELECT call_id, frame_idx, peak, CASE WHEN peak < 2e-1 * top THEN 0e0 ELSE med END AS f, CASE WHEN peak < 2e-1 * top THEN 0e0 ELSE share END AS c
+    "rg": """SELECT call_id, frame_idx, time, peak, CASE WHEN peak < 2e-1 * top THEN 0e0 ELSE med END AS f, CASE WHEN peak < 2e-1 * top THEN 0e0 ELSE share END AS c
       FROM (SELECT rp.*, rm.med, max(peak) OVER (PARTITION BY rp.call_id) AS top FROM rp JOIN rm USING (call_id, frame_idx))""",
     "rs": """SELECT call_id, frame_idx, f AS v, row_number() OVER (PARTITION BY call_id ORDER BY frame_idx) - 1 AS rn, count(*) OVER (PARTITION BY call_id) AS n
       FROM rg JOIN (SELECT call_id, quantile_cont(c, 25e-2) AS thr FROM rg WHERE c > 0 GROUP BY 1) USING (call_id) WHERE c > thr""",
     "rq": mirror_median("rs", "rn"),
-    "ridge_rows": """SELECT g.call_id, g.frame_idx, g.frame_idx * 5e-2 AS time, CASE WHEN s.n > 5 THEN q.med ELSE g.f END AS frequency, g.c AS confidence, g.peak
+    "ridge_rows": """SELECT g.call_id, g.frame_idx, g.time, CASE WHEN s.n > 5 THEN q.med ELSE g.f END AS frequency, g.c AS confidence, g.peak
       FROM rg g LEFT JOIN rs s USING (call_id, frame_idx) LEFT JOIN rq q ON q.call_id = s.call_id AND q.rn = s.rn""",
 }
 
 
-@query("P1_allowed_peak", """SELECT b.call_id, b.frame_idx, arg_max(b.channel, (b.magnitude, -b.channel)) AS channel FROM bt b JOIN anc a USING (call_id)
-   WHERE abs(b.freq_hz - (1.7e1 + 1.3e0 * a.channel)) <= 4e0 GROUP BY 1, 2""", **TRACK)
+def track_ctes(src: str, axis: str, lo: str, hi: str, jump: str) -> dict[str, str]:
+    """Ridge tracker over a grid table and its (channel, hz) axis."""
+    near = f"abs(b.freq_hz - x.hz) <= {jump}"
+
+    def step(name: str, d: str) -> str:
+        return f"""SELECT b.call_id, b.frame_idx, arg_max(b.channel, (b.magnitude, -b.channel)) AS channel FROM {name} p
+     JOIN ax x ON x.channel = p.channel JOIN bt b ON b.call_id = p.call_id AND b.frame_idx = p.frame_idx {d} 1 AND {near} GROUP BY 1, 2"""
+    return {
+        "ax": axis,
+        "bt": f"SELECT call_id, frame_idx, channel, freq_hz, magnitude, time FROM {src} WHERE freq_hz >= {lo} AND freq_hz <= {hi}",
+        "p2a": "SELECT call_id, frame_idx, arg_max(channel, (magnitude, -channel)) AS channel FROM bt WHERE frame_idx = 0 GROUP BY 1, 2 UNION ALL "
+        + step("p2a", "+"),
+        "anc": """SELECT call_id, p.c AS channel, s.f AS start FROM
+   (SELECT call_id, arg_max(channel, (v, -channel)) AS c FROM (SELECT call_id, channel, avg(magnitude) AS v FROM bt GROUP BY 1, 2) GROUP BY 1) p
+   JOIN (SELECT call_id, arg_max(frame_idx, (v, -frame_idx)) AS f FROM (SELECT call_id, frame_idx, sum(magnitude) AS v FROM bt GROUP BY 1, 2) GROUP BY 1) s USING (call_id)""",
+        "st": f"""SELECT b.call_id, b.frame_idx, arg_max(b.channel, (b.magnitude, -b.channel)) AS channel FROM anc a JOIN ax x ON x.channel = a.channel
+     JOIN bt b ON b.call_id = a.call_id AND b.frame_idx = a.start AND {near} GROUP BY 1, 2""",
+        "fwd": "SELECT * FROM st UNION ALL " + step("fwd", "+"),
+        "bwd": "SELECT * FROM st UNION ALL " + step("bwd", "-"),
+        "p2b": "SELECT * FROM fwd UNION SELECT * FROM bwd",
+        "rp": """SELECT p.call_id, p.frame_idx, b.time, b.freq_hz AS v, b.magnitude AS peak, CASE WHEN z.total > 0 THEN b.magnitude / z.total ELSE 0e0 END AS share,
+     count(*) OVER (PARTITION BY p.call_id) AS n FROM p2b p JOIN bt b USING (call_id, frame_idx, channel)
+     JOIN (SELECT call_id, frame_idx, sum(magnitude) AS total FROM bt GROUP BY 1, 2) z USING (call_id, frame_idx)""",
+        **TRACK_POST,
+    }
+
+
+TF_AXIS_SQL = "SELECT CAST(range AS INT) AS channel, 1.7e1 + 1.3e0 * range AS hz FROM range(50)"
+TRACK = track_ctes("tf", TF_AXIS_SQL, "22.5e0", "5e1", "4e0")
+
+
+@query("P1_allowed_peak", """SELECT b.call_id, b.frame_idx, arg_max(b.channel, (b.magnitude, -b.channel)) AS channel FROM bt b JOIN anc a USING (call_id) JOIN ax x ON x.channel = a.channel
+   WHERE abs(b.freq_hz - x.hz) <= 4e0 GROUP BY 1, 2""", **TRACK)
 def _(t):
     cut, f = TR.band_frames(F.col("frames"), TF_AXIS, 22.5, 50.0)
     first = TF_AXIS.index(f[0])
@@ -144,8 +154,8 @@ def robust(src: str, col: str, state: str = "s") -> str:
          JOIN (SELECT call_id, frame_idx, quantile_cont({col}, 5e-1) AS m FROM {src} GROUP BY 1, 2) USING (call_id, frame_idx) GROUP BY 1, 2)) USING (call_id, frame_idx)"""
 
 
-def lattice_ctes(src: str = "tf", top: str = "49") -> dict[str, str]:
-    """Lattices of ``HYB`` over a grid with axis 17 + 1.3 c."""
+def lattice_ctes(src: str = "tf", top: str = "49", a0: str = "1.7e1", da: str = "1.3e0", radius: int = 1) -> dict[str, str]:
+    """Lattices of ``HYB`` over a grid with axis ``a0 + da * c``."""
     return {
         "h_eps": f"SELECT call_id, quantile_cont(magnitude, 5e-1) * 1e-6 AS eps FROM {src} WHERE magnitude > 0 GROUP BY 1",
         "h_log": f"SELECT call_id, frame_idx, channel, ln(greatest(magnitude, eps)) AS x FROM {src} JOIN h_eps USING (call_id)",
@@ -155,8 +165,8 @@ def lattice_ctes(src: str = "tf", top: str = "49") -> dict[str, str]:
         "h_scale": """SELECT *, greatest(1e-1 * quantile_cont(q, 5e-1) OVER (PARTITION BY call_id), 1e-6) AS fl FROM
           (SELECT call_id, frame_idx, quantile_cont(abs(x), 75e-2) AS q FROM h_raw GROUP BY 1, 2)""",
         "h_con": """SELECT call_id, frame_idx, channel, least(greatest(x / greatest(q, fl), -4e0), 6e0) AS x FROM h_raw JOIN h_scale USING (call_id, frame_idx)""",
-        "h_tgt": """SELECT *, hz >= 1.7e1 AND hz <= 1.7e1 + 1.3e0 * 49 AS valid, CAST(greatest(least(ceil((hz - 1.7e1) / 1.3e0), 49), 1) AS INT) - 1 AS lo,
-           (hz - 1.7e1) / 1.3e0 - (greatest(least(ceil((hz - 1.7e1) / 1.3e0), 49), 1) - 1) AS a FROM
+        "h_tgt": f"""SELECT *, hz >= {a0} AND hz <= {a0} + {da} * {top} AS valid, CAST(greatest(least(ceil((hz - {a0}) / {da}), {top}), 1) AS INT) - 1 AS lo,
+           (hz - {a0}) / {da} - (greatest(least(ceil((hz - {a0}) / {da}), {top}), 1) - 1) AS a FROM
            (SELECT 'r' AS kind, CAST(range AS INT) AS s, 1e0 AS w, 1.7e1 + range AS hz FROM range(64)
             UNION ALL SELECT 'h', CAST(s.range AS INT), pow(k.range, -35e-2), k.range * 5e-1 * (1.7e1 + s.range) FROM range(64) s, range(2, 6) k
             UNION ALL SELECT 'i', CAST(s.range AS INT), pow(k.range, -35e-2), (k.range + 5e-1) * 5e-1 * (1.7e1 + s.range) FROM range(64) s, range(2, 6) k)""",
@@ -168,7 +178,7 @@ def lattice_ctes(src: str = "tf", top: str = "49") -> dict[str, str]:
           GROUP BY 1, 2, 3""",
         "h_anchor": """SELECT l.call_id, l.frame_idx, t.s, (1e0 - a) * l.x + a * r.x AS anchor FROM h_tgt t JOIN h_log l ON l.channel = t.lo
           JOIN h_log r ON r.call_id = l.call_id AND r.frame_idx = l.frame_idx AND r.channel = t.lo + 1 WHERE t.kind = 'r'""",
-        "h_box": f"""SELECT a.call_id, a.frame_idx, a.channel, sum(b.magnitude * b.magnitude) / 3e0 AS x FROM {src} a CROSS JOIN (SELECT range - 1 AS o FROM range(3))
+        "h_box": f"""SELECT a.call_id, a.frame_idx, a.channel, sum(b.magnitude * b.magnitude) / {2 * radius + 1}e0 AS x FROM {src} a CROSS JOIN (SELECT range - {radius} AS o FROM range({2 * radius + 1}))
           JOIN {src} b ON b.call_id = a.call_id AND b.frame_idx = a.frame_idx AND b.channel = greatest(least(a.channel + o, {top}), 0) GROUP BY 1, 2, 3""",
         "h_pow0": """SELECT l.call_id, l.frame_idx, t.s, coalesce(sum(t.w * ((1e0 - a) * l.x + a * r.x) / ws) FILTER (WHERE valid), 0e0) AS x
           FROM h_tgt t JOIN h_wsum USING (kind, s) JOIN h_box l ON l.channel = t.lo JOIN h_box r ON r.call_id = l.call_id AND r.frame_idx = l.frame_idx AND r.channel = t.lo + 1
@@ -259,8 +269,8 @@ def _(t):
     return c.withColumn("b", H.select_band(F.col("anchor"), F.col("shrp"), HYB, 24.0)).select("call_id", "b.low", "b.high")
 
 
-def proposal_ctes(src: str = "tf") -> dict[str, str]:
-    near = "abs(b.freq_hz - (1.7e1 + 1.3e0 * p.channel)) <= 4e0"
+def proposal_ctes(src: str = "tf", a0: str = "1.7e1", da: str = "1.3e0") -> dict[str, str]:
+    near = f"abs(b.freq_hz - ({a0} + {da} * p.channel)) <= 4e0"
     return {
         "q_band": "SELECT * FROM (VALUES (1, 17e0, 30e0), (2, 22.5e0, 40e0), (3, 30e0, 58e0), (4, 50e0, 80e0)) v(b, lo, hi)",
         "q_cell": f"SELECT q.b AS band, t.call_id, t.frame_idx, t.channel, t.freq_hz, t.magnitude FROM {src} t JOIN q_band q ON t.freq_hz >= q.lo AND t.freq_hz <= q.hi",
@@ -274,7 +284,7 @@ def proposal_ctes(src: str = "tf") -> dict[str, str]:
            ON b.band = p.band AND b.call_id = p.call_id AND b.frame_idx = p.frame_idx + 1 AND {near} GROUP BY 1, 2, 3""",
         "q_bwd": f"""SELECT * FROM q_first UNION ALL SELECT b.band, b.call_id, b.frame_idx, arg_max(b.channel, (b.magnitude, -b.channel)) FROM q_bwd p JOIN q_cell b
            ON b.band = p.band AND b.call_id = p.call_id AND b.frame_idx = p.frame_idx - 1 AND {near} GROUP BY 1, 2, 3""",
-        "q_path": "SELECT band, call_id, frame_idx, 1.7e1 + 1.3e0 * channel AS hz FROM (SELECT * FROM q_fwd UNION SELECT * FROM q_bwd)",
+        "q_path": f"SELECT band, call_id, frame_idx, {a0} + {da} * channel AS hz FROM (SELECT * FROM q_fwd UNION SELECT * FROM q_bwd)",
         "q_samp": """SELECT p.band, p.call_id, quantile_cont((1e0 - a) * sl.z + a * sr.z, 5e-1) AS shrp_score, quantile_cont((1e0 - a) * al.z + a * ar.z, 5e-1) AS ridge_score FROM
            (SELECT *, hz - 1.7e1 - (rgt - 1) AS a FROM (SELECT *, CAST(greatest(least(ceil(hz - 1.7e1), 63), 1) AS INT) AS rgt FROM q_path)) p
            JOIN z_shrp sl ON sl.call_id = p.call_id AND sl.frame_idx = p.frame_idx AND sl.s = rgt - 1 JOIN z_shrp sr ON sr.call_id = p.call_id AND sr.frame_idx = p.frame_idx AND sr.s = rgt
@@ -291,7 +301,7 @@ def proposal_ctes(src: str = "tf") -> dict[str, str]:
         "q_keep": """SELECT call_id, 1 AS k1, k2, k3, CASE WHEN d14 = 1 OR (k2 = 1 AND d24 = 1) OR (k3 = 1 AND d34 = 1) THEN 0 ELSE 1 END AS k4 FROM
            (SELECT *, CASE WHEN d13 = 1 OR (k2 = 1 AND d23 = 1) THEN 0 ELSE 1 END AS k3 FROM (SELECT *, 1 - d12 AS k2 FROM q_near))""",
         "q_prop": """SELECT q_all.* FROM q_all JOIN q_keep USING (call_id) WHERE CASE band WHEN 1 THEN k1 WHEN 2 THEN k2 WHEN 3 THEN k3 ELSE k4 END = 1""",
-        "q_broad": f"""SELECT call_id, 1.7e1 + 1.3e0 * arg_max(channel, (v, -channel)) AS hz FROM
+        "q_broad": f"""SELECT call_id, {a0} + {da} * arg_max(channel, (v, -channel)) AS hz FROM
            (SELECT call_id, channel, avg(magnitude) AS v FROM {src} WHERE freq_hz >= 17e0 AND freq_hz <= 80e0 GROUP BY 1, 2) GROUP BY 1""",
         "q_pick": """SELECT call_id, CASE WHEN any_value(hz) >= 22.5e0 THEN arg_min(band, (abs(median_h1 - hz), band)) ELSE arg_max(band, (score, -band)) END AS band
            FROM q_prop JOIN q_broad USING (call_id) GROUP BY 1""",
@@ -452,15 +462,14 @@ def _(t):
     )
 
 
-def hybrid_ctes(component: str) -> dict[str, str]:
+def hybrid_ctes(component: str, grid: dict[str, str] | None = None) -> dict[str, str]:
     z = f"z_{component}"
     return {
         "v_em": f"SELECT z.call_id, z.frame_idx, z.s, CASE WHEN abs(1.7e1 + z.s - c) <= 3e0 THEN z ELSE -1e6 END AS x FROM {z} z JOIN q_coarse USING (call_id, frame_idx)",
         **viterbi_ctes("v_em"),
         **conf_ctes(z),
         "hy_rows": "SELECT call_id, frame_idx, hz, conf * pc AS confidence FROM c_conf JOIN q_conf USING (call_id)",
-        **PROP,
-        **LAT,
+        **(grid or {**PROP, **LAT}),
     }
 
 
