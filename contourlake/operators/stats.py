@@ -47,7 +47,7 @@ def value_ranks(df: DataFrame, col: str, buckets: int = 64) -> DataFrame:
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(counts.approxQuantile("value", probs, 0.005)))
+    cuts = sorted(set(counts.approxQuantile("value", probs, 0.005))) if probs else []
     bucket = F.lit(0)
     if cuts:
         bounds = F.array(*[F.lit(c) for c in cuts])

@@ -92,7 +92,9 @@ def read_contours(spark: SparkSession, path: str, version: str | None = None, co
     hz = frequency_column(raw.columns, column)
     out = raw
     if "call_id" not in raw.columns:
-        stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.f0\.csv$|\.csv$", "")
+        # file names arrive percent-encoded; a literal plus must survive the decoding
+        name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+        stem = F.regexp_replace(name, r"\.f0\.csv$|\.csv$", "")
         out = raw.select("*", stem.alias("call_id"))
     out = out.withColumn("_hz", parse_hz(F.col(f"`{hz}`"))).drop(hz, "frequency").withColumnRenamed("_hz", "frequency")
     if "time" in out.columns:
