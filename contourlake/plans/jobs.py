@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,15 +67,19 @@ def extract_dataset(
     good, bad = SO.split_valid(calls, usable)
     contour = _track(good, cfg).select("call_id", "frame_idx", "time", "frequency", "confidence")
     out = contour.withColumn("version", F.lit(version))
-    out.write.mode("overwrite" if overwrite else "append").partitionBy("version").parquet(sink)
+    writer = out.write.mode("overwrite" if overwrite else "append").partitionBy("version")
+    # overwriting replaces this version only
+    writer.option("partitionOverwriteMode", "dynamic").parquet(sink)
     written = spark.read.parquet(sink).filter(F.col("version") == version)
     return SO.run_report(src, written, bad)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
 
 
 @dataclass(frozen=True)

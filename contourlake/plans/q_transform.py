@@ -158,16 +158,15 @@ for _pad in ("circular", "reflect"):
             return _coeff_rows(FB.fb_transform(t.waveform, FBC, pad, strategy))
 
 
-@query(
-    "M5_fb_adjoint",
-    """SELECT call_id, n, round(sum(yr * re + yi * im), 6) + 0e0 AS re, round(sum(yi * re - yr * im), 6) + 0e0 AS im FROM
+_ADJ = """SELECT call_id, n, round(sum(yr * re + yi * im), 6) + 0e0 AS re, round(sum(yi * re - yr * im), 6) + 0e0 AS im FROM
    (SELECT c.call_id, CAST(((c.frame_idx * 32 - k.tap + 32) % len + len) % len AS INT) AS n, c.re AS yr, c.im AS yi, k.re, k.im FROM f_co c JOIN f_ker k USING (channel)
-      JOIN (SELECT call_id, (max(frame_idx) + 1) * 32 AS len FROM f_co GROUP BY 1) USING (call_id)) GROUP BY 1, 2""",
-    **coeff_ctes(False),
-)
-def _(t):
-    c = FB.fb_transform(t.waveform, FBC)
-    return rounded(FB.fb_adjoint(c, FB.fb_kernels(t.spark, FBC), 32, 64))
+      JOIN (SELECT call_id, (max(frame_idx) + 1) * 32 AS len FROM f_co GROUP BY 1) USING (call_id)) GROUP BY 1, 2"""
+
+for _name, _strategy in (("M5_fb_adjoint", "arrow"), ("M5_fb_adjoint_sql", "sql")):
+
+    @query(_name, _ADJ, **coeff_ctes(False))
+    def _(t, strategy=_strategy):
+        return rounded(FB.fb_adjoint(FB.fb_transform(t.waveform, FBC), FBC, strategy))
 
 
 @query(
@@ -180,7 +179,7 @@ def _(t):
 )
 def _(t):
     """Grid energy weighted by the filterbank's total response at each channel."""
-    psd = FB.total_response(FB.fb_response(FB.fb_kernels(t.spark, FBC), SR))
+    psd = FB.total_response(FB.fb_response(t.spark, FBC))
     j = t.tf.join(F.broadcast(psd), F.rint("freq_hz").cast("int") == F.col("bin"))
     return j.groupBy("call_id", "frame_idx").agg(r6(F.sum(F.col("magnitude") * F.col("psd"))).alias("weighted"))
 

@@ -21,7 +21,12 @@ def build_session(app: str = "contourlake", cpus: str | int = "*", partitions: i
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # calls are rows with long arrays: keep Arrow batches small in rows
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+        # little data, much work per byte: let small post-shuffle partitions stay apart
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # call-site capture costs a round trip per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.arrays import dlit
+from ..functions.ranks import value_ranks
 from ..operators import filterbank as FB
 from ..operators import frames as FR
 
@@ -163,8 +165,6 @@ def write_stft_store(wf: DataFrame, path: str, cfg: FR.MultiResConfig, mode: str
 def write_fb_store(wf: DataFrame, path: str, cfg: FB.FilterbankConfig, mode: str = "errorifexists") -> None:
     """Complex filterbank coefficients and their magnitudes, partitioned by representation."""
     axis = FB.fb_axis(cfg)
-    from ..functions.arrays import dlit
-
     rows = FB.fb_transform(wf, cfg).select(
         "call_id", "frame_idx", "time", F.posexplode(F.arrays_zip("re", "im", "mags")).alias("channel", "v")
     )
@@ -270,17 +270,18 @@ def missing_calls(src: DataFrame, sink: DataFrame, overwrite: bool = False) -> D
 
 
 def from_ordinal(df: DataFrame, start: int) -> DataFrame:
-    """Resume at the ``start``-th call (1-based) of the ordered list: calls not below the boundary key.
+    """Resume at the ``start``-th call (1-based) of the ordered list.
 
-    The boundary is one key found by a distributed top-k, so no global window is needed.
+    Numeric calls are ranked by distributed prefix sums; other keys by the boundary of a top-k.
     """
     if start <= 1:
         return df
     calls = df.select("call_id").distinct()
+    if dict(df.dtypes)["call_id"] in ("tinyint", "smallint", "int", "bigint", "double"):
+        late = value_ranks(calls, "call_id").filter(F.col("cum") >= start).select(F.col("value").alias("call_id"))
+        return df.join(late, "call_id", "left_semi")
     boundary = calls.orderBy("call_id").limit(start).agg(F.max("call_id").alias("b"), F.count(F.lit(1)).alias("n"))
-    return (
-        df.join(F.broadcast(boundary), F.col("call_id") >= F.col("b")).filter(F.col("n") == start).drop("b", "n")
-    )
+    return df.join(F.broadcast(boundary), F.col("call_id") >= F.col("b")).filter(F.col("n") == start).drop("b", "n")
 
 
 def first_n(df: DataFrame, n: int, offset: int = 0) -> DataFrame:

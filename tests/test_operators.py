@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contourlake.functions import arrays as A
+from contourlake.functions import ranks as RK
 from contourlake.operators import cluster as K
 from contourlake.operators import edit as E
 from contourlake.operators import filterbank as FB
@@ -72,9 +73,10 @@ def test_adjoint_identity(spark):
     cfg = FB.FilterbankConfig(kernel_size=16, num_channels=4, stride=8, f_min=60.0, f_max=400.0, sr=1000)
     wf = waves(spark, {1: x})
     c = FB.fb_transform(wf, cfg)
-    back = FB.fb_adjoint(c, FB.fb_kernels(spark, cfg), 8, FB.kernel_plan(cfg).kernel_size).orderBy("n").collect()
     energy = sum(np.sum(np.square(r["mags"])) for r in c.collect())
-    assert np.dot(x, [r["re"] for r in back]) == pytest.approx(energy, rel=1e-9)
+    for strategy in ("arrow", "sql"):
+        back = FB.fb_adjoint(c, cfg, strategy).orderBy("n").collect()
+        assert np.dot(x, [r["re"] for r in back]) == pytest.approx(energy, rel=1e-9)
 
 
 def test_reflect_needs_enough_samples(spark):
@@ -307,9 +309,9 @@ def test_ranks_do_not_depend_on_buckets(spark):
     data[:170] = 2.5  # one value holds a third
     df = spark.createDataFrame([(float(v),) for v in data], "d double")
     for buckets in (1, 3, 40):
-        rows = ST.value_ranks(df, "d", buckets).orderBy("value").collect()
+        rows = RK.value_ranks(df, "d", buckets).orderBy("value").collect()
         assert [r["cum"] for r in rows] == [int((data <= r["value"]).sum()) for r in rows]
-    got = ST.exact_percentiles(df, "d", [10, 50, 99]).first()
+    got = RK.exact_percentiles(df, "d", [10, 50, 99]).first()
     assert [got["p10"], got["p50"], got["p99"]] == pytest.approx(list(np.percentile(data, [10, 50, 99])))
 
 
