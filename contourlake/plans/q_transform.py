@@ -135,8 +135,9 @@ def coeff_ctes(reflect: bool) -> dict[str, str]:
     return {
         **KERN,
         "f_len": "SELECT call_id, CAST(count(*) AS BIGINT) AS total FROM sample GROUP BY 1",
-        "f_co": f"""SELECT l.call_id, CAST(m AS INT) AS frame_idx, k.channel, sum(k.re * s.x) AS re, sum(k.im * s.x) AS im FROM f_len l
-          JOIN (SELECT range AS m FROM range(400)) ON m < ceil(total / 32e0) CROSS JOIN f_ker k JOIN sample s ON s.call_id = l.call_id AND s.n = {idx} GROUP BY 1, 2, 3""",
+        "f_tap": f"""SELECT l.call_id, CAST(m AS INT) AS frame_idx, k.channel, k.re, k.im, {idx} AS n FROM f_len l
+          JOIN (SELECT range AS m FROM range(400)) ON m < ceil(total / 32e0) CROSS JOIN f_ker k""",
+        "f_co": """SELECT call_id, frame_idx, channel, sum(re * x) AS re, sum(im * x) AS im FROM f_tap JOIN sample USING (call_id, n) GROUP BY 1, 2, 3""",
     }
 
 
