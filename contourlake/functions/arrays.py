@@ -115,15 +115,15 @@ def linear_map(frames: Column, matrix: np.ndarray, strategy: str = "auto") -> Co
     if strategy == "auto":
         strategy = "expr" if np.count_nonzero(matrix) <= HOF_NONZEROS else "arrow"
     if strategy == "expr":
-        rows = _rows_literal(matrix)
+        if np.count_nonzero(matrix) > 0.5 * matrix.size:
+            full = constant([[float(x) for x in row] for row in matrix], "array<array<double>>")
+            dot = lambda v, r: F.zip_with(r, v, lambda w, x: w * x)
+        else:
+            full = _rows_literal(matrix)
+            dot = lambda v, r: F.zip_with(r["i"], r["w"], lambda i, w: w * F.get(v, i))
         return F.transform(
             frames,
-            lambda v: F.transform(
-                rows,
-                lambda r: F.aggregate(
-                    F.zip_with(r["i"], r["w"], lambda i, w: w * F.get(v, i)), F.lit(0.0), lambda s, x: s + x
-                ),
-            ),
+            lambda v: F.transform(full, lambda r: F.aggregate(dot(v, r), F.lit(0.0), lambda s, x: s + x)),
         )
     if strategy != "arrow":
         raise ValueError("strategy must be one of: auto, expr, arrow")

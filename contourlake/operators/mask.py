@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -74,14 +75,20 @@ def repro_kernel(spark: SparkSession, n_fft: int, win: int, hop: int, floor: flo
     return spark.createDataFrame(list(kernel_values(n_fft, win, hop, floor)), "dk int, dm int, w double")
 
 
-def smooth_mask(mask: DataFrame, kernel: DataFrame, n_bins: int, frames: DataFrame) -> DataFrame:
+def smooth_mask(
+    mask: DataFrame, kernel: Sequence[tuple[int, int, float]], n_bins: int, frames: DataFrame
+) -> DataFrame:
     """Spread mask cells with the kernel, sum and limit to 1: (call_id, frame_idx, bin, mask).
 
-    The kernel is configuration-sized and broadcast; sums are combined before the shuffle.
+    The kernel is a configuration-sized constant that each cell explodes; sums are combined before the shuffle.
     """
     counts = frames.groupBy("call_id").agg((F.max("frame_idx") + 1).alias("_m"))
-    spread = mask.join(F.broadcast(kernel)).select(
-        "call_id", (F.col("frame_idx") + F.col("dm")).alias("frame_idx"), (F.col("bin") + F.col("dk")).alias("bin"), "w"
+    cells = A.constant([{"dk": k, "dm": m, "w": w} for k, m, w in kernel], "array<struct<dk:int,dm:int,w:double>>")
+    spread = mask.withColumn("k", F.explode(cells)).select(
+        "call_id",
+        (F.col("frame_idx") + F.col("k.dm")).alias("frame_idx"),
+        (F.col("bin") + F.col("k.dk")).alias("bin"),
+        F.col("k.w").alias("w"),
     )
     inside = spread.filter((F.col("bin") >= 0) & (F.col("bin") < n_bins) & (F.col("frame_idx") >= 0))
     summed = inside.groupBy("call_id", "frame_idx", "bin").agg(F.least(F.sum("w"), F.lit(1.0)).alias("mask"))
@@ -123,7 +130,7 @@ def contour_mask(
 ) -> DataFrame:
     """Smoothed harmonic mask of a contour on the frames of ``cfg``."""
     binary = harmonic_mask(contour, frames, cfg.sr, cfg.n_fft, k_max, width, col)
-    kernel = repro_kernel(frames.sparkSession, cfg.n_fft, cfg.win, cfg.hop, floor)
+    kernel = kernel_values(cfg.n_fft, cfg.win, cfg.hop, floor)
     return smooth_mask(binary, kernel, cfg.n_fft // 2 + 1, frames)
 
 

@@ -7,6 +7,7 @@ the candidate search is an expression over that frame.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,7 @@ from ..functions import exprs as X
 from ..functions import scales as S
 from ..functions import series as R
 from . import smooth as SM
+from .lookup import nearest_index
 
 
 @dataclass(frozen=True)
@@ -61,8 +63,6 @@ def _slots(axis: np.ndarray, bins_hz: np.ndarray, cfg: RefineConfig, scale: str
 
 def _aud(f: float, scale: str) -> float:
     """Scale value of a positive constant."""
-    import math
-
     return {
         "erb": lambda: S.ERB_FACTOR * math.log1p(f * S.ERB_RATE),
         "mel": lambda: 1000.0 / S.MEL_LOG * math.log1p(f / S.MEL_CORNER),
@@ -104,8 +104,6 @@ def _refine(
         power = F.transform("mags", lambda m: F.pow(m, F.lit(float(cfg.power_exp)))) if cfg.power_exp != 1.0 else F.col("mags")
         keyed = grid.select("call_id", F.col("frame_idx").alias(f"_k{i}"), power.alias(f"_p{i}"))
         if frame_of == "nearest":
-            from .lookup import nearest_index
-
             times = grid.groupBy("call_id").agg(F.sort_array(F.collect_list("time")).alias("_t"))
             rows = rows.join(times, "call_id").withColumn(f"_k{i}", nearest_index(F.col("_t"), F.col("time"))).drop("_t")
         else:
