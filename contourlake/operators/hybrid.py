@@ -391,7 +391,8 @@ def viterbi(
     """Best path through a call's lattice with bounded quadratic transition cost: struct (idx, hz).
 
     ``expr`` folds score and back-pointer arrays in Catalyst; ``arrow`` runs one vector step per frame and is
-    taken for wide lattices.  Ties go to the highest predecessor and the lowest final state.
+    taken for wide lattices.  Ties go to the highest predecessor and the lowest final state; scores are
+    quantised to 1e-9 first, so equal evidence is settled by that rule and not by rounding noise.
     """
     n = len(h1)
     if n < 3:
@@ -400,8 +401,9 @@ def viterbi(
     cost = _costs(n, step, smooth, scale, jump)
     if strategy == "auto":
         strategy = "expr" if n <= VITERBI_EXPR_STATES else "arrow"
-    idx = _viterbi_arrow(lattice, cost) if strategy == "arrow" else _viterbi_expr(lattice, cost)
+    search = _viterbi_arrow if strategy == "arrow" else _viterbi_expr
     axis = A.dlit(h1)
+    lattice = F.transform(lattice, lambda fr: F.transform(fr, lambda x: F.rint(x * 1e9) / 1e9))
 
     def refine(s: Column) -> Column:
         def point(fr: Column, i: Column) -> Column:
@@ -411,7 +413,9 @@ def viterbi(
 
         return F.struct(s["i"].alias("idx"), F.zip_with(s["l"], s["i"], point).alias("hz"))
 
-    return A.let(F.struct(idx.alias("i"), lattice.alias("l")), refine)
+    if strategy == "arrow":
+        return A.let(F.struct(search(lattice, cost).alias("i"), lattice.alias("l")), refine)
+    return A.let(lattice, lambda v: A.let(F.struct(search(v, cost).alias("i"), v.alias("l")), refine))
 
 
 def _viterbi_expr(lattice: Column, cost: np.ndarray) -> Column:

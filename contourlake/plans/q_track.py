@@ -423,7 +423,7 @@ def _(t):
 
 
 _VIT = "SELECT call_id, frame_idx, s AS idx, round(hz, 5) + 0e0 AS hz FROM v_path"
-_VIT_SRC = {"v_em": "SELECT call_id, frame_idx, s, z AS x FROM z_hybrid", **viterbi_ctes("v_em"), **LAT}
+_VIT_SRC = {"v_em": "SELECT call_id, frame_idx, s, round_even(z * 1e9, 0) / 1e9 AS x FROM z_hybrid", **viterbi_ctes("v_em"), **LAT}
 
 
 def _viterbi(t, strategy):
@@ -465,7 +465,7 @@ def _(t):
 def hybrid_ctes(component: str, grid: dict[str, str] | None = None) -> dict[str, str]:
     z = f"z_{component}"
     return {
-        "v_em": f"SELECT z.call_id, z.frame_idx, z.s, CASE WHEN abs(1.7e1 + z.s - c) <= 3e0 THEN z ELSE -1e6 END AS x FROM {z} z JOIN q_coarse USING (call_id, frame_idx)",
+        "v_em": f"SELECT z.call_id, z.frame_idx, z.s, CASE WHEN abs(1.7e1 + z.s - c) <= 3e0 THEN round_even(z * 1e9, 0) / 1e9 ELSE -1e6 END AS x FROM {z} z JOIN q_coarse USING (call_id, frame_idx)",
         **viterbi_ctes("v_em"),
         **conf_ctes(z),
         "hy_rows": "SELECT call_id, frame_idx, hz, conf * pc AS confidence FROM c_conf JOIN q_conf USING (call_id)",

@@ -403,7 +403,7 @@ def multires_hybrid_ctes() -> dict[str, str]:
     lat = lattice_ctes("fgrid", "99", f"({_FINE_A0})", _FINE_DA, 2)
     prop = proposal_ctes("cgrid", f"({_FINE_A0})", _FINE_DA)
     return {
-        "v_em": "SELECT z.call_id, z.frame_idx, z.s, CASE WHEN abs(1.7e1 + z.s - c) <= 3e0 THEN z ELSE -1e6 END AS x FROM z_power z JOIN q_coarse USING (call_id, frame_idx)",
+        "v_em": "SELECT z.call_id, z.frame_idx, z.s, CASE WHEN abs(1.7e1 + z.s - c) <= 3e0 THEN round_even(z * 1e9, 0) / 1e9 ELSE -1e6 END AS x FROM z_power z JOIN q_coarse USING (call_id, frame_idx)",
         **viterbi_ctes("v_em"),
         **conf_ctes("z_power"),
         **prop,
