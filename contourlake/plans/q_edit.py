@@ -111,7 +111,8 @@ def _(t):
 @query(
     "C5_realign",
     """SELECT c.call_id, c.frame_idx, round(c.time - a.time, 6) + 0e0 AS time, c.frequency FROM contour_ref c
-   JOIN (SELECT call_id, min(frame_idx) FILTER (WHERE start_point = 1) AS s, max(frame_idx) FILTER (WHERE end_point = 1) AS e FROM contour_ref GROUP BY 1) m USING (call_id)
+   JOIN (SELECT call_id, min(frame_idx) FILTER (WHERE start_point = 1) AS s, max(frame_idx) FILTER (WHERE end_point = 1) AS e FROM contour_ref GROUP BY 1
+      HAVING bool_or(start_point = 1) AND bool_or(end_point = 1)) m USING (call_id)
    JOIN contour_ref a ON a.call_id = c.call_id AND a.frame_idx = least(s, e) WHERE c.frame_idx BETWEEN least(s, e) AND greatest(s, e)""",
 )
 def _(t):
@@ -133,7 +134,8 @@ def _(t):
     "C6_trim_samples",
     """SELECT call_id, count(*) AS n, round(sum(x), 6) + 0e0 AS total FROM sample JOIN
    (SELECT call_id, least(min(time) FILTER (WHERE start_point = 1), min(time) FILTER (WHERE end_point = 1)) AS lo,
-      greatest(min(time) FILTER (WHERE start_point = 1), min(time) FILTER (WHERE end_point = 1)) AS hi FROM contour_ref GROUP BY 1) USING (call_id)
+      greatest(min(time) FILTER (WHERE start_point = 1), min(time) FILTER (WHERE end_point = 1)) AS hi FROM contour_ref GROUP BY 1
+      HAVING bool_or(start_point = 1) AND bool_or(end_point = 1)) USING (call_id)
    WHERE n >= floor(lo * 1e3) AND n < floor(hi * 1e3) GROUP BY 1""",
 )
 def _(t):

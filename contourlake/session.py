@@ -10,10 +10,10 @@ from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "contourlake", cpus: str | int = "*", partitions: int | None = None) -> SparkSession:
-    """Local session for tests and benchmarks; on a cluster pass your own."""
+    """Local session for tests and benchmarks, with a cluster's four attempts per task; on a cluster pass your own."""
     n = os.cpu_count() if cpus == "*" else int(cpus)
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        SparkSession.builder.master(f"local[{cpus},4]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions or n))
         .config("spark.sql.adaptive.enabled", "true")
