@@ -233,7 +233,7 @@ def _(t):
   (SELECT g.trace_id, g.m, g.n, l.f0 + (r.f0 - l.f0) * (p - lo) AS f, CAST(l.observed AS INT) + (CAST(r.observed AS INT) - CAST(l.observed AS INT)) * (p - lo) AS c FROM
     (SELECT *, CAST(least(floor(p + 1e-12), 118) AS INT) AS lo FROM
       (SELECT trace_id, n, CAST(range AS INT) AS m, least(range * 5e-2 / dur, 1e0) * 119e0 AS p FROM
-        (SELECT trace_id, dur, ceil(dur / 5e-2 - 1e-9) AS n FROM td) JOIN (SELECT DISTINCT trace_id FROM tr_out) USING (trace_id), range(200) WHERE range < n)) g
+        (SELECT trace_id, dur, ceil(dur / 5e-2 - 1e-9) AS n FROM td) JOIN (SELECT DISTINCT trace_id FROM tr_out) USING (trace_id), range(2000) WHERE range < n)) g
     JOIN tr_out l ON l.trace_id = g.trace_id AND l.col = g.lo JOIN tr_out r ON r.trace_id = g.trace_id AND r.col = g.lo + 1)""",
     td="SELECT trace_id, 1e0 + count(*) / 1e2 AS dur FROM trace_pixels GROUP BY 1",
     **trace_ctes("linear"),
