@@ -18,46 +18,33 @@ from pyspark.sql import types as T
 
 from .common import pieces
 
-SPACE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MIN_SHARE = 0.5
 #: Bounds of the training sample: documents per label, bytes per document, lines per chain.
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_LINES = 1500, 1 << 15, 64
 FEATURES = 12
 
-_NO_SYMBOLS = {ord(c): None for c in SYMBOLS}
-_MARKS = frozenset(".,;:!?\"')")
+_ENDS = frozenset(b".,;:!?\"')")
+_LOUD = frozenset(b"!?*#&$%|<>")
 
 
-def split_words(text: str) -> list[str]:
-    """Words of ``[^\\x20\\x09-\\x0D]+``."""
-    return [w for w in text.translate(_TO_BLANK).split(" ") if w]
+def base_counts(text: str) -> tuple[int, int, int, int, int]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a whole text."""
+    return analyse(text)[0]
 
 
-_TO_BLANK = {ord(c): " " for c in SPACE}
+def line_features(text: str) -> tuple[list[list[float]], list[int]]:
+    """One row of numbers and the word bytes of every line that has a word."""
+    return analyse(text)[1:]
 
 
-def base_counts(text: str) -> tuple[int, int, int, int, int]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a whole text."""
-    words = split_words(text)
-    chars = sum(map(len, words))
-    symbols = len(text) - len(text.translate(_NO_SYMBOLS)) if text else 0
-    seen: set[str] = set()
-    dup = 0
-    for line in text.split("\n"):
-        if line.strip(SPACE):
-            dup += line in seen
-            seen.add(line)
-    return len(words), chars, symbols, dup, _repeated(words)
-
-
-def _repeated(words: list[str]) -> int:
+def _repeated(words: list[bytes]) -> int:
     """Words inside three-word windows that occur twice or more, each counted once."""
     windows = list(zip(words, words[1:], words[2:]))
-    first: dict[tuple, int] = {}
     if len(set(windows)) == len(windows):
         return 0
+    first: dict[tuple, int] = {}
     mark = bytearray(len(words))
     for i, w in enumerate(windows):
         j = first.setdefault(w, i)
@@ -66,39 +53,45 @@ def _repeated(words: list[str]) -> int:
     return sum(mark)
 
 
-def line_features(text: str) -> tuple[list[list[float]], list[int]]:
-    """One row of numbers and the word characters of every line that has a word."""
-    rows, sizes = [], []
-    seen: set[str] = set()
-    for line in text.split("\n"):
-        words = split_words(line)
+def analyse(text: str) -> tuple[tuple[int, int, int, int, int], list[list[float]], list[int]]:
+    """Base counts, line features and line sizes.  ``bytes.split`` cuts at exactly the six blanks of the word rule."""
+    raw = text.encode()
+    rows, sizes, every = [], [], []
+    seen: set[bytes] = set()
+    dup = symbols = 0
+    for line in raw.split(b"\n"):
+        words = line.split()
         if not words:
             continue
-        n, chars = len(words), sum(map(len, words))
-        symbols = len(line) - len(line.translate(_NO_SYMBOLS))
-        upper = sum(w.isupper() and len(w) > 1 for w in words)
-        marks = sum(w[-1] in "!?*#&$%|<>" for w in words)
-        doubled = sum(a == b for a, b in zip(words, words[1:]))
-        distinct = len(set(words)) / n
+        n, size = len(words), sum(map(len, words))
+        odd = len(line) - len(line.translate(None, SYMBOLS))
+        again = line in seen
+        seen.add(line)
+        every += words
+        dup += again
+        symbols += odd
+        sizes.append(size)
         rows.append(
             [
                 1.0,
                 min(n, 60) / 20.0,
                 n < 6,
-                symbols / chars,
-                symbols > 0.05 * chars,
-                upper / n,
-                marks / n,
-                doubled / n,
-                1.0 - distinct if n > 8 else 0.0,
-                line in seen,
-                words[-1][-1] in _MARKS,
-                _repeated(words) / n,
+                odd / size,
+                odd > 0.05 * size,
+                sum(map(bytes.isupper, words)) / n,
+                sum([w[-1] in _LOUD for w in words]) / n,
+                sum(map(bytes.__eq__, words, words[1:])) / n,
+                1.0 - len(set(words)) / n if n > 8 else 0.0,
+                again,
+                words[-1][-1] in _ENDS,
+                words,
             ]
         )
-        seen.add(line)
-        sizes.append(chars)
-    return rows, sizes
+    repeated = _repeated(every)
+    for row in rows:
+        row[-1] = _repeated(row[-1]) / len(row[-1]) if repeated else 0.0
+    total = sum(sizes)
+    return (len(every), len(text) - (len(raw) - total), symbols, dup, repeated), rows, sizes
 
 
 @dataclass(frozen=True)
@@ -226,10 +219,10 @@ def judged(docs: DataFrame, model: Crf, text_col: str = "text", min_words: int =
             columns: list[list] = [[] for _ in _ADDED]
             for text in part.column(text_col).to_pylist():
                 text = text or ""
-                rows, sizes = line_features(text)
+                counts, rows, sizes = analyse(text)
                 good = sum(s for s, y in zip(sizes, model.viterbi(rows)) if y)
                 share = good / sum(sizes) if sizes else 0.0
-                for c, v in zip(columns, (*base_counts(text), share)):
+                for c, v in zip(columns, (*counts, share)):
                     c.append(v)
             added = [pa.array(c, f.type) for c, f in zip(columns, _ADDED)]
             yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, *_ADDED.names])
