@@ -121,6 +121,15 @@ def classes(nodes: DataFrame, distance: int = DISTANCE, rounds: int = ROUNDS) ->
     return top.select("fp", F.col("c").alias("component"))
 
 
+def _named(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, component_id) of every fingerprint in ``prints`` (doc_id, fp)."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    top = stored(classes(nodes.select("fp"), distance), "classes")
+    grouped = nodes.join(top, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
+    ids = grouped.groupBy("c").agg(F.min("low").alias("component_id"))
+    return grouped.join(ids, "c").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 lowercase hex digits), component_id (smallest id reachable).
 
@@ -130,11 +139,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = stored(fingerprints(narrow, "text", shingle, "fp").select("doc_id", "fp"), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    top = stored(classes(nodes.select("fp"), distance), "classes")
-    grouped = nodes.join(top, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
-    ids = grouped.groupBy("c").agg(F.min("low").alias("component_id"))
-    named = grouped.join(ids, "c").select("fp", "component_id")
+    named = _named(prints, distance)
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` without near copies: of every component the document of the smallest id stays.
+
+    Rows with a null id stay only in components without any other id (all of them); rows that repeat id and text stay
+    or go together.  The rows to drop are named by a hash of id and text, so only that is joined.
+    """
+    row = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row.alias("row"))
+    prints = stored(fingerprints(narrow, "text", shingle, "fp").select("doc_id", "row", "fp"), "fingerprints")
+    named = _named(prints, distance)
+    drop = prints.join(named, "fp").filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("_row")).distinct()
+    return docs.join(drop, row == F.col("_row"), "left_anti")

@@ -14,12 +14,13 @@ from __future__ import annotations
 import numpy as np
 
 
-def groups(text: bytes, ends: list[int]) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+def groups(text: str, codes: list[int], ends: list[int], alphabet: int) -> tuple[list[int], list[int], list[tuple[int, int]]]:
     """Group of every suffix, the next smaller suffix, and the trie edges.
 
-    ``text`` holds strings that are each closed by one byte at the positions ``ends`` (ascending); that byte ends its
-    string and is smaller than anything, whatever its value.  Trie node 0 is unused, nodes 1..256 are single symbols,
-    node 256 + k is made by edge k - 1 = (node, word).  A closing byte has group 0.
+    ``text`` holds strings over the symbols 1..alphabet (as code points, ``codes`` the same as numbers), each closed by
+    one symbol at the positions ``ends`` (ascending), which is smaller than anything whatever its value.  Trie nodes
+    1..alphabet are single symbols; node alphabet + k is made by edge k - 1 = (node, word).  A closing symbol has
+    group 0.
     """
     n = len(text)
     group, following = [0] * n, [0] * n
@@ -31,11 +32,11 @@ def groups(text: bytes, ends: list[int]) -> tuple[list[int], list[int], list[tup
         following[close] = close + 1
         i = close - 1
         while i >= start:
-            symbol = text[i]
-            node, end = symbol + 1, i + 1
+            node = symbol = codes[i]
+            end = i + 1
             # the stack of smaller suffixes is the chain of next smaller positions
             while end != close:
-                top = text[end]
+                top = codes[end]
                 if top < symbol or (top == symbol and text[i:end] >= text[end : following[end]]):
                     break
                 word = group[end]
@@ -43,7 +44,7 @@ def groups(text: bytes, ends: list[int]) -> tuple[list[int], list[int], list[tup
                 child = get(key)
                 if child is None:
                     edges.append((node, word))
-                    child = 256 + len(edges)
+                    child = alphabet + len(edges)
                     known[key] = child
                 node, end = child, following[end]
             group[i], following[i] = node, end
@@ -52,16 +53,16 @@ def groups(text: bytes, ends: list[int]) -> tuple[list[int], list[int], list[tup
     return group, following, edges
 
 
-def descending(edges: list[tuple[int, int]]) -> np.ndarray:
+def descending(edges: list[tuple[int, int]], alphabet: int) -> np.ndarray:
     """Rank of every trie node (0 for unused ones): larger words have larger ranks."""
-    total = 257 + len(edges)
+    total = alphabet + 1 + len(edges)
     extends: dict[int, list[tuple[int, int]]] = {}
     for k, (node, word) in enumerate(edges):
-        extends.setdefault(word, []).append((node, 257 + k))
+        extends.setdefault(word, []).append((node, alphabet + 1 + k))
     waiting: dict[int, list[int]] = {}
     rank = np.zeros(total, np.int64)
     current = total
-    for root in range(256, 0, -1):
+    for root in range(alphabet, 0, -1):
         # depth first, largest child first; a child list may grow while its node is open, by smaller words only
         path = [(root, 0)]
         while path:
@@ -106,11 +107,15 @@ def emit(group: np.ndarray, following: np.ndarray) -> np.ndarray:
     return np.array(order, np.int64)
 
 
-def suffix_array(text: bytes, ends: list[int]) -> np.ndarray:
-    """Positions in the order of their suffixes; suffixes that are equal up to their closing bytes are neighbours."""
-    group, following, edges = groups(text, ends)
-    rank = descending(edges)
-    # dense ranks of the words that occur
-    own = rank[np.array(group, np.int64)] if len(group) else np.zeros(0, np.int64)
-    _, dense = np.unique(np.concatenate([[0], own]), return_inverse=True)
-    return emit(dense[1:], np.array(following, np.int64))
+def suffix_array(codes: np.ndarray, ends: np.ndarray, alphabet: int) -> np.ndarray:
+    """Positions in the order of their suffixes; suffixes that are equal up to their closing symbols are neighbours.
+
+    ``codes``: symbols 1..alphabet (below 1.1 million), and anything at the closing positions ``ends``.
+    """
+    if not len(codes):
+        return np.zeros(0, np.int64)
+    numbers = codes.astype("<u4")
+    text = numbers.tobytes().decode("utf-32-le", "surrogatepass")
+    group, following, edges = groups(text, numbers.tolist(), ends.tolist(), alphabet)
+    rank = descending(edges, alphabet)
+    return emit(rank[np.array(group, np.int64)], np.array(following, np.int64))

@@ -1,22 +1,49 @@
 """Training-data pipeline over ``documents``; every stage is written as Parquet and read again by the next one.
 
-The last stage packs token pieces, so its rows have no SQL statement (ORACLE_SQL is None).
+The last stage packs token pieces, and none of the stages can be stated in DuckDB's SQL, so ORACLE_SQL is None; the
+stages are tested against brute force.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contourlake.llm import decontaminate
+from contourlake.llm import decontaminate, packing, quality, repeats, simhash
 from contourlake.llm.common import stored, table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document of the smallest id stays."""
+    return simhash.without_near_duplicates(docs)
+
+
+def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes and more that an earlier document holds are cut out of the texts."""
+    return repeats.without_repeats(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("decontamination", decontamination_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of at most 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("suffix_array_dedup", repeat_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("best_fit_packing", packing_stage),
+]
 ORACLE_SQL = None
 
 
