@@ -4,10 +4,10 @@ Fingerprints of 64 bits link at up to four differing bits.  Cut into three segme
 one bit; so two linked fingerprints agree on some segment with one of its bits left out.  Every fingerprint is indexed
 under its 64 one-wildcard segment variants.  Equal texts and equal fingerprints are merged first.
 
-Near copies crowd under the same keys, so no key's pairs are listed.  In a few rounds every member of a key is checked
-against one member of it, drawn anew in each round, and what that links is merged (components).  Then only members of
-different components can add anything: per key, the members outside its largest component meet all its members.  Keys
-whose members are one component are finished, and every link between different components is still found.
+Near copies crowd under the same keys, so no key's pairs are listed.  First every member of a key is checked against a
+few members drawn from the key only, and what that links is merged (components).  Then only members of different
+components can add anything: per key, the members outside its largest component meet all its members.  A key whose
+members are one component costs nothing more, and every link between different components is still found.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +29,7 @@ SHINGLE = 4
 DISTANCE = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SEED = 42
-ROUNDS = 4
+STARS = 4
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -78,47 +79,35 @@ def near(a: Column | str, b: Column | str, distance: int = DISTANCE) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= distance
 
 
-def _merge(placed: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components of links (u, v) between components, and ``placed`` with them; keys of one component are finished."""
-    joined = stored(components(links), "joined").select(F.col("node").alias("c"), F.col("component").alias("top"))
-    placed = placed.join(joined, "c", "left").select("key", "fp", F.coalesce("top", "c").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    return joined, stored(placed.join(mixed, "key"), "placed")
-
-
-def classes(nodes: DataFrame, distance: int = DISTANCE, rounds: int = ROUNDS) -> DataFrame:
+def classes(nodes: DataFrame, distance: int = DISTANCE, stars: int = STARS) -> DataFrame:
     """(fp, component) for distinct fingerprints: component is the smallest (signed) fingerprint reachable by links.
 
-    Fingerprints that share no key with a possible link are left out.  ``distance`` is at most 4 (three segments, one
-    wildcard each).  Keys of two members, most of all keys with more than one, are checked by the exclusive or that
-    the count brings along.
+    Fingerprints without a link are left out.  ``distance`` is at most 4 (three segments, one wildcard each).
     """
     if not 0 <= distance <= 4:
         raise ValueError("three segments with one wildcard find links of up to 4 bits")
-    keyed = nodes.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("fp").alias("x"))
-    shared = shared.filter((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count("x") <= distance)))
-    placed = stored(keyed.join(shared.select("key"), "key").select("key", "fp", F.col("fp").alias("c")), "placed")
-    top = placed.select("fp").distinct().withColumn("c", F.col("fp"))
-
-    def follow(top: DataFrame, joined: DataFrame) -> DataFrame:
-        return top.join(joined, "c", "left").select("fp", F.coalesce("top", "c").alias("c"))
-
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    for number in range(rounds):
-        chosen = F.min(F.struct(F.xxhash64("fp", "key", F.lit(number)).alias("h"), F.col("fp").alias("f"), F.col("c").alias("d")))
-        stars = placed.groupBy("key").agg(chosen.alias("r")).select(F.col("key").alias("k"), "r.f", "r.d")
-        links = placed.join(stars, (F.col("key") == F.col("k")) & (F.col("c") != F.col("d")) & near("fp", "f", distance))
-        joined, placed = _merge(placed, links.select(*pair("c", "d")).distinct())
-        top = follow(top, joined)
-    sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-    others = placed.join(main, "key").filter("c <> main")
-    others = others.select(F.col("key").alias("k"), F.col("fp").alias("f"), F.col("c").alias("d"))
-    links = placed.join(others, (F.col("key") == F.col("k")) & (F.col("c") != F.col("d")) & near("fp", "f", distance))
-    joined = stored(components(links.select(*pair("c", "d")).distinct()), "joined")
-    top = follow(top, joined.select(F.col("node").alias("c"), F.col("component").alias("top")))
-    return top.select("fp", F.col("c").alias("component"))
+    keyed = nodes.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
+    by_key = W.partitionBy("key")
+    drawn = [F.min(F.struct(F.xxhash64("fp", "key", F.lit(i)).alias("h"), "fp")).over(by_key)["fp"] for i in range(stars)]
+    starred = keyed.select("fp", F.array(*drawn).alias("drawn"))
+    linked = F.filter("drawn", lambda d: (d != F.col("fp")) & near(F.col("fp"), d, distance))
+    links = starred.select("fp", F.explode(F.array_distinct(linked)).alias("to"))
+    merged = stored(components(links.select(*pair("fp", "to")).distinct()), "merged")
+
+    placed = nodes.join(merged.select(F.col("node").alias("fp"), "component"), "fp", "left")
+    placed = placed.select("fp", F.coalesce("component", "fp").alias("c")).select("fp", "c", F.explode(_variants(F.col("fp"))).alias("key"))
+    size = F.count(F.lit(1)).over(W.partitionBy("key", "c"))
+    sized = placed.withColumn("n", size).withColumn("main", F.max(F.struct("n", "c")).over(by_key)["c"])
+    others = sized.filter("c <> main").select(F.col("key").alias("k"), F.col("fp").alias("f"), F.col("c").alias("d"))
+    met = placed.join(others, (F.col("key") == F.col("k")) & (F.col("c") != F.col("d")) & near("fp", "f", distance))
+    joined = stored(components(met.select(*pair("c", "d")).distinct()), "joined")
+    every = merged.select(F.col("node").alias("fp"), F.col("component").alias("c")).union(
+        joined.select(F.col("node").alias("fp"), F.col("node").alias("c"))
+    )
+    top = joined.select(F.col("node").alias("c"), F.col("component").alias("top"))
+    # a node of ``joined`` is the smallest of its first component, so both rows of it name the same one
+    return every.join(top, "c", "left").select("fp", F.coalesce("top", "c").alias("component")).distinct()
 
 
 def _named(prints: DataFrame, distance: int) -> DataFrame:

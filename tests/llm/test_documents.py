@@ -169,8 +169,8 @@ def component(prints):
     return [find(i) for i in range(len(prints))]
 
 
-@pytest.mark.parametrize("rounds", [0, 4])
-def test_links_of_clusters_are_complete(spark, rounds):
+@pytest.mark.parametrize("stars", [1, 4])
+def test_links_of_clusters_are_complete(spark, stars):
     rnd = random.Random(3)
     base = [rnd.getrandbits(64) for _ in range(5)]
     values = set()
@@ -181,7 +181,7 @@ def test_links_of_clusters_are_complete(spark, rounds):
         values.add(b)
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    got = {r.fp: r.component for r in simhash.classes(spark.createDataFrame([(v,) for v in signed], "fp long"), rounds=rounds).collect()}
+    got = {r.fp: r.component for r in simhash.classes(spark.createDataFrame([(v,) for v in signed], "fp long"), stars=stars).collect()}
     of = component(values)
     low = {}
     for v, c in zip(signed, of):
