@@ -101,19 +101,14 @@ def _rows_literal(matrix: np.ndarray) -> Column:
     return constant(rows, "array<struct<i:array<int>,w:array<double>>>")
 
 
-HOF_NONZEROS = 20_000
-"""Above this many nonzeros a constant matrix is applied in Arrow batches instead of in expressions."""
-
-
-def linear_map(frames: Column, matrix: np.ndarray, strategy: str = "auto") -> Column:
+def linear_map(frames: Column, matrix: np.ndarray, strategy: str = "expr") -> Column:
     """Apply a constant matrix to every frame of an ``ARRAY<ARRAY<DOUBLE>>`` column.
 
-    The matrix comes from configuration (channels x candidates), never from data.  ``expr`` keeps the
-    work in the JVM as sparse dot products, ``arrow`` multiplies whole batches with numpy.
+    The matrix comes from configuration (channels x candidates), never from data.  ``expr`` keeps the work in the
+    JVM as sparse dot products, for any size of matrix; ``arrow`` multiplies a call's frames with numpy and suits a
+    single step (a Python function cannot stand inside other array expressions).
     """
     matrix = np.asarray(matrix, dtype=float)
-    if strategy == "auto":
-        strategy = "expr" if np.count_nonzero(matrix) <= HOF_NONZEROS else "arrow"
     if strategy == "expr":
         if np.count_nonzero(matrix) > 0.5 * matrix.size:
             full = constant([[float(x) for x in row] for row in matrix], "array<array<double>>")
@@ -126,12 +121,12 @@ def linear_map(frames: Column, matrix: np.ndarray, strategy: str = "auto") -> Co
             lambda v: F.transform(full, lambda r: F.aggregate(dot(v, r), F.lit(0.0), lambda s, x: s + x)),
         )
     if strategy != "arrow":
-        raise ValueError("strategy must be one of: auto, expr, arrow")
+        raise ValueError("unknown strategy, use 'arrow' or 'expr'")
     transposed = np.ascontiguousarray(matrix.T)
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
     def multiply(col: pd.Series) -> pd.Series:
-        return col.map(lambda fr: (np.stack(list(fr)) @ transposed).tolist() if fr is not None and len(fr) else [])
+        return col.map(lambda fr: list(np.stack(list(fr)) @ transposed) if fr is not None and len(fr) else [])
 
     return multiply(frames)
 

@@ -27,7 +27,7 @@ def _col(c: Column | str | float) -> Column:
 
 
 def _unknown(scale: str) -> ValueError:
-    return ValueError(f"Unsupported scale: {scale!r}; use one of {', '.join(SCALES)}")
+    return ValueError(f"no frequency scale named {scale!r}; known are {sorted(SCALES)}")
 
 
 def hz_to_aud(c: Column | str | float, scale: str = "erb") -> Column:
@@ -132,7 +132,7 @@ def axis_values(lo: float, hi: float, n: int, scale: str = "elelog") -> list[flo
 
 
 def _guard(c: Column, what: str) -> Column:
-    return F.when(c < 0, F.raise_error(F.lit(f"{what} must be non-negative")).cast("double")).otherwise(c)
+    return F.when(c < 0, F.raise_error(F.lit(f"{what} is below zero")).cast("double")).otherwise(c)
 
 
 def fc_to_bw(c: Column | str, scale: str = "mel") -> Column:
@@ -144,7 +144,7 @@ def fc_to_bw(c: Column | str, scale: str = "mel") -> Column:
         return (f + MEL_CORNER) * (math.log10(17 / 7) / 1000.0)
     if scale == "log10":
         return f
-    raise ValueError(f"Unsupported auditory scale: {scale}")
+    raise _unknown(scale)
 
 
 def bw_to_fc(c: Column | str, scale: str = "mel") -> Column:
@@ -156,7 +156,7 @@ def bw_to_fc(c: Column | str, scale: str = "mel") -> Column:
         return b * (1000.0 / math.log10(17 / 7)) - MEL_CORNER
     if scale == "log10":
         return b
-    raise ValueError(f"Unsupported auditory scale: {scale}")
+    raise _unknown(scale)
 
 
 def hann(spark: SparkSession, n: int, periodic: bool = False, padto: int | None = None) -> DataFrame:

@@ -224,9 +224,9 @@ class TraceConfig:
 
     def __post_init__(self) -> None:
         if self.f0_min <= 0 or self.f0_max <= self.f0_min:
-            raise ValueError("0 < f0_min < f0_max is required")
+            raise ValueError("the frequency band is empty or not positive")
         if self.scale not in ("linear", "log"):
-            raise ValueError("scale must be 'linear' or 'log'")
+            raise ValueError("unknown axis, use 'linear' or 'log'")
 
 
 def trace_to_contour(pixels: DataFrame, cfg: TraceConfig) -> DataFrame:

@@ -204,7 +204,7 @@ def emission(component: str, cfg: HybridConfig) -> Column:
         return blend(shrp)
     if component == "hybrid_power":
         return blend(power)
-    raise ValueError(f"component must be one of: {', '.join(COMPONENTS)}")
+    raise ValueError(f"no component named {component!r}; known are {sorted(COMPONENTS)}")
 
 
 # ---------------------------------------------------------------- bands and proposals
@@ -377,21 +377,18 @@ def gate(lattice: Column, h1: Column, path: Column, radius: float) -> Column:
     )
 
 
-VITERBI_EXPR_STATES = 160
-
-
 def _costs(n: int, step: float, smooth: float, scale: float, jump: float) -> np.ndarray:
     r = max(1, int(np.floor(jump / step + 1e-9)))
     return smooth * (np.arange(min(r, n - 1) + 1) * step / max(scale, 1e-9)) ** 2
 
 
 def viterbi(
-    lattice: Column, h1: list[float], smooth: float, scale: float, jump: float, strategy: str = "auto"
+    lattice: Column, h1: list[float], smooth: float, scale: float, jump: float, strategy: str = "arrow"
 ) -> Column:
     """Best path through a call's lattice with bounded quadratic transition cost: struct (idx, hz).
 
-    ``expr`` folds score and back-pointer arrays in Catalyst; ``arrow`` runs one vector step per frame and is
-    taken for wide lattices.  Ties go to the highest predecessor and the lowest final state; scores are
+    ``arrow`` runs one vector step per frame, for any number of states; ``expr`` states the same as a fold in
+    Catalyst.  Ties go to the highest predecessor and the lowest final state; scores are
     quantised to 1e-9 first, so equal evidence is settled by that rule and not by rounding noise.
     """
     n = len(h1)
@@ -399,8 +396,6 @@ def viterbi(
         raise ValueError("the path search needs at least 3 states")
     step = float(np.median(np.diff(h1)))
     cost = _costs(n, step, smooth, scale, jump)
-    if strategy == "auto":
-        strategy = "expr" if n <= VITERBI_EXPR_STATES else "arrow"
     search = _viterbi_arrow if strategy == "arrow" else _viterbi_expr
     axis = A.dlit(h1)
     lattice = F.transform(lattice, lambda fr: F.transform(fr, lambda x: F.rint(x * 1e9) / 1e9))

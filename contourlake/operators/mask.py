@@ -49,25 +49,27 @@ def harmonic_mask(
 
 @lru_cache(maxsize=32)
 def kernel_values(n_fft: int, win: int, hop: int, floor: float = 1e-3) -> tuple[tuple[int, int, float], ...]:
-    """Reproducing kernel of a short-time transform as (dk, dm, w); configuration-sized."""
-    w = 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(win) / win)
-    energy = np.array([np.sum(w[r::hop] ** 2) for r in range(min(hop, win))])
-    dual = w / np.maximum(energy[np.arange(win) % hop], 1e-8)
-    x = np.pad(dual, n_fft // 2)
-    shown = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop] * FR.window_values(win, n_fft)
-    k = np.abs(np.fft.fftshift(np.fft.fft(shown, axis=1), axes=1)).T
-    k = k / max(k.max(), 1e-8)
-    on = k >= floor
-    if not on.any():
-        k = np.ones((1, 1))
-    else:
-        rows, cols = np.flatnonzero(on.any(axis=1)), np.flatnonzero(on.any(axis=0))
-        k = np.where(on, k, 0.0)[rows[0] : rows[-1] + 1, cols[0] : cols[-1] + 1]
-    # an even side grows by one empty row or column at its end
-    k = np.pad(k, ((0, 1 - k.shape[0] % 2), (0, 1 - k.shape[1] % 2)))
-    k = k / max(k.sum(), 1e-8)
-    half = (k.shape[0] // 2, k.shape[1] // 2)
-    return tuple((half[0] - int(i), half[1] - int(j), float(k[i, j])) for i, j in zip(*np.nonzero(k)))
+    """Reproducing kernel of a short-time transform as (dk, dm, w); configuration-sized.
+
+    Cell (dk, dm) is the strength with which the dual window, moved by dm hops, overlaps the analysis window at dk bins
+    distance.  Cells of at least ``floor`` of the strongest are kept and scaled to sum 1; distances count from the
+    middle of the kept range, whose sides have an odd number of cells.
+    """
+    t = np.arange(win)
+    hann = 0.5 - 0.5 * np.cos(2.0 * np.pi * t / win)
+    per_phase = np.bincount(t % hop, hann**2)
+    dual = hann / np.maximum(per_phase[t % hop], 1e-8)
+    moves = np.arange(0, win - n_fft % 2 + 1, hop) - n_fft // 2
+    at = moves[:, None] + np.arange(n_fft)
+    overlap = np.where((at >= 0) & (at < win), dual[np.clip(at, 0, win - 1)], 0.0) * FR.window_values(win, n_fft)
+    strength = np.abs(np.fft.fft(overlap, axis=1))
+    m, k = np.nonzero(strength >= floor * max(strength.max(), 1e-8))
+    if not len(m):
+        return ((0, 0, 1.0),)
+    weight = strength[m, k] / max(strength[m, k].sum(), 1e-8)
+    signed = np.where(k < (n_fft + 1) // 2, k, k - n_fft)
+    middle = lambda v: v.min() + (v.max() - v.min() + 1) // 2
+    return tuple(zip((middle(signed) - signed).tolist(), (middle(m) - m).tolist(), weight.tolist()))
 
 
 def repro_kernel(spark: SparkSession, n_fft: int, win: int, hop: int, floor: float = 1e-3) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from ..functions.ranks import exact_percentiles, value_ranks
-from ..sources.stores import sample_calls
 
 WINDOW_SIZES = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0)
 PERCENTILES = (10, 25, 50, 75, 90, 95, 99)
@@ -97,7 +96,11 @@ def duration_ecdf(calls: DataFrame, col: str = "duration") -> DataFrame:
 
 
 def welch_psd(wf: DataFrame, sr: float, nperseg: int = 4096) -> DataFrame:
-    """Power density per call (call_id, psd array): Hann segments, half overlap, mean removed, one-sided."""
+    """Power density per call (call_id, psd array): Hann segments, half overlap, mean removed, one-sided.
+
+    A call shorter than ``nperseg`` is one shorter segment whose transform is filled with zeros to ``nperseg``, so all
+    calls have the same bins; a call without samples has no density (null).
+    """
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(samples: pd.Series) -> pd.Series:
@@ -106,21 +109,22 @@ def welch_psd(wf: DataFrame, sr: float, nperseg: int = 4096) -> DataFrame:
     return wf.select("call_id", run("samples").alias("psd"))
 
 
-def _welch(x: np.ndarray, sr: float, nperseg: int) -> np.ndarray:
+def _welch(x: np.ndarray, sr: float, nperseg: int) -> np.ndarray | None:
     n = min(nperseg, len(x))
+    if n == 0:
+        return None
     w = 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(n) / n)
     seg = np.lib.stride_tricks.sliding_window_view(x, n)[:: n - n // 2]
     seg = seg - seg.mean(axis=1, keepdims=True)
-    p = np.abs(np.fft.rfft(seg * w, axis=1)) ** 2 / (sr * np.sum(w * w))
-    p[:, 1 : None if n % 2 else -1] *= 2.0
+    p = np.abs(np.fft.rfft(seg * w, n=nperseg, axis=1)) ** 2 / (sr * max(np.sum(w * w), 1e-300))
+    p[:, 1 : None if nperseg % 2 else -1] *= 2.0
     return p.mean(axis=0)
 
 
-def mean_psd(wf: DataFrame, sr: float, nperseg: int = 4096, max_calls: int = 50, seed: int = 0) -> DataFrame:
-    """Average density over a repeatable sample of at most ``max_calls`` calls: (bin, freq_hz, psd)."""
-    some = welch_psd(sample_calls(wf, max_calls, seed), sr, nperseg)
+def mean_psd(wf: DataFrame, sr: float, nperseg: int = 4096) -> DataFrame:
+    """Average density over all calls with samples: (bin, freq_hz, psd).  Sample the calls first for an estimate."""
     return (
-        some.select(F.posexplode("psd").alias("bin", "p"))
+        welch_psd(wf, sr, nperseg).select(F.posexplode("psd").alias("bin", "p"))
         .groupBy("bin")
         .agg(F.avg("p").alias("psd"))
         .select("bin", (F.col("bin") * (float(sr) / nperseg)).alias("freq_hz"), "psd")

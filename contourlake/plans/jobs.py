@@ -98,12 +98,13 @@ def cluster_contours_job(
     k: int = 4,
     seed: int = 0,
     version: str = "corrected",
-    squared: bool = False,
+    squared: bool = True,
 ) -> ClusterResult:
     """Usable contours -> features -> standardised -> 2-D -> k-means -> score -> assignments and mean contours.
 
     Features are read several times (moments, components, k-means passes), so they are written once to the
-    shared folder; that also cuts the lineage.
+    shared folder; that also cuts the lineage.  The score is the squared-distance silhouette, which is linear in
+    the calls; ``squared=False`` asks for the Euclidean one, which compares all pairs.
     """
     path = scratch_table(spark, "features")
     K.contour_features(K.resample_contour(K.usable_contours(contour), points), mode).write.parquet(path)

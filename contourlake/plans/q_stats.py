@@ -214,7 +214,7 @@ def _(t):
     return SO.sorted_axis(flipped).select("call_id", "frame_idx", "channel", r6("freq_hz").alias("freq_hz"), "magnitude")
 
 
-@query("T3_sample_calls")
+@query("T3_sample_calls", "SELECT * FROM duration ORDER BY md5('7:' || CAST(call_id AS VARCHAR)), call_id LIMIT 50")
 def _(t):
     return SO.sample_calls(t.duration, 50, 7)
 

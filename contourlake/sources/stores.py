@@ -256,7 +256,7 @@ def find_store(
         present = meta.filter(F.col("repr_id") == requested).limit(1).count() > 0
         chosen = good.filter(F.col("repr_id") == requested)
         if present and chosen.limit(1).count() == 0:
-            raise ValueError(f"store {requested!r} has incompatible transform metadata")
+            raise ValueError(f"the settings recorded for {requested!r} do not fit this transform")
         return chosen.select("repr_id").limit(1)
     return good.orderBy((F.col("repr_id") == preferred).desc(), "repr_id").select("repr_id").limit(1)
 
@@ -290,8 +290,8 @@ def first_n(df: DataFrame, n: int, offset: int = 0) -> DataFrame:
 
 
 def sample_calls(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """At most ``k`` calls, repeatable, without replacement: top-k of a seeded hash."""
-    key = F.xxhash64(F.col("call_id"), F.lit(seed))
+    """At most ``k`` calls, repeatable, without replacement: top-k of a seeded MD5 of the call."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("call_id").cast("string")).cast("binary"))
     return df.orderBy(key, "call_id").limit(k)
 
 
