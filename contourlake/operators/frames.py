@@ -112,6 +112,8 @@ def stft(
         for pdf in batches:
             for call_id, samples in zip(pdf["call_id"], pdf["samples"]):
                 x = np.asarray(samples, dtype=float)
+                if p and mode == "reflect" and len(x) <= p:
+                    raise ValueError("reflect padding needs more samples than the pad")
                 if p and mode:
                     x = np.pad(x, p, mode=mode)
                 if len(x) < n_fft:
@@ -300,6 +302,13 @@ def spectrum(wf: DataFrame, cfg: SpectrogramConfig, strategy: str = "arrow") ->
     )
 
 
+def frame_counts(wf: DataFrame, cfg: SpectrogramConfig) -> DataFrame:
+    """Frames per call (call_id, n) by arithmetic on the number of samples; calls without a frame are left out."""
+    padded = F.size("samples") + (2 * (cfg.n_fft // 2) if cfg.center and cfg.pad != "none" else 0)
+    n = (F.floor((padded - cfg.n_fft) / cfg.hop) + 1).cast("int")
+    return wf.select("call_id", n.alias("n")).filter("n > 0")
+
+
 def frame_power(tf_frame: DataFrame, p: float) -> DataFrame:
     if p == 1.0:
         return tf_frame

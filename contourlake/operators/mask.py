@@ -17,12 +17,16 @@ from . import frames as FR
 from . import lookup as L
 
 
-def frame_f0(contour: DataFrame, frames: DataFrame, col: str = "f0") -> DataFrame:
-    """Contour F0 per spectrum frame (call_id, frame_idx, f0), re-gridded on half-pixel centres."""
-    counts = frames.groupBy("call_id").agg((F.max("frame_idx") + 1).alias("_m"))
+def _f0_arrays(contour: DataFrame, counts: DataFrame, col: str) -> DataFrame:
+    """One row per call: F0 on its frames (call_id, f0 array), re-gridded on half-pixel centres.  counts: call_id, n."""
     calls = R.pack(contour, [col]).join(counts, "call_id")
-    f0 = F.transform(L.resize(F.col(col), F.col("_m")), lambda v: F.greatest(v, F.lit(0.0)))
-    return calls.select("call_id", F.posexplode(f0).alias("frame_idx", "f0"))
+    return calls.select("call_id", F.transform(L.resize(F.col(col), F.col("n")), lambda v: F.greatest(v, F.lit(0.0))).alias("f0"))
+
+
+def frame_f0(contour: DataFrame, frames: DataFrame, col: str = "f0") -> DataFrame:
+    """Contour F0 per spectrum frame (call_id, frame_idx, f0)."""
+    counts = frames.groupBy("call_id").agg((F.max("frame_idx") + 1).alias("n"))
+    return _f0_arrays(contour, counts, col).select("call_id", F.posexplode("f0").alias("frame_idx", "f0"))
 
 
 def mask_bins(f0: Column, sr: float, n_fft: int, n_bins: int, k_max: int, width: int) -> Column:
@@ -77,24 +81,52 @@ def repro_kernel(spark: SparkSession, n_fft: int, win: int, hop: int, floor: flo
     return spark.createDataFrame(list(kernel_values(n_fft, win, hop, floor)), "dk int, dm int, w double")
 
 
-def smooth_mask(
-    mask: DataFrame, kernel: Sequence[tuple[int, int, float]], n_bins: int, frames: DataFrame
-) -> DataFrame:
-    """Spread mask cells with the kernel, sum and limit to 1: (call_id, frame_idx, bin, mask).
-
-    The kernel is a configuration-sized constant that each cell explodes; sums are combined before the shuffle.
+_SMOOTHED = T.ArrayType(
+    T.StructType([T.StructField("bin", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.DoubleType()))])
+)
+_ROWS = 256
+
+
+def _spread(cells: list[np.ndarray], kernel: np.ndarray, n_bins: int) -> list[dict[str, np.ndarray]]:
+    """Sum of the kernel moved to every cell of a call, limited to 1; dense only for a block of frames at a time."""
+    sizes = np.array([len(c) for c in cells], dtype=np.int64)
+    at = np.repeat(np.arange(len(cells)), sizes)
+    bins = np.concatenate(cells).astype(np.int64) if len(at) else np.zeros(0, np.int64)
+    dk, dm, w = kernel[:, 0].astype(np.int64), kernel[:, 1].astype(np.int64), kernel[:, 2]
+    out = []
+    for first in range(0, len(cells), _ROWS):
+        rows = min(_ROWS, len(cells) - first)
+        near = slice(*np.searchsorted(at, [first - dm.max(), first + rows - dm.min()]))
+        row, col = at[near, None] + dm - first, bins[near, None] + dk
+        inside = (row >= 0) & (row < rows) & (col >= 0) & (col < n_bins)
+        total = np.bincount((row * n_bins + col)[inside], np.broadcast_to(w, row.shape)[inside], rows * n_bins)
+        total = np.minimum(total.reshape(rows, n_bins), 1.0)
+        for line in total:
+            on = np.flatnonzero(line)
+            out.append({"bin": on.astype(np.int32), "mask": line[on]})
+    return out
+
+
+def smooth_calls(calls: DataFrame, kernel: Sequence[tuple[int, int, float]], n_bins: int) -> DataFrame:
+    """Spread each call's mask cells (call_id, cells: bins per frame) with the kernel and limit the sum to 1.
+
+    A call is one row, so nothing is shuffled: (call_id, frame_idx, bins, weights), the cells of a frame in order.
     """
-    counts = frames.groupBy("call_id").agg((F.max("frame_idx") + 1).alias("_m"))
-    cells = A.constant([{"dk": k, "dm": m, "w": w} for k, m, w in kernel], "array<struct<dk:int,dm:int,w:double>>")
-    spread = mask.withColumn("k", F.explode(cells)).select(
-        "call_id",
-        (F.col("frame_idx") + F.col("k.dm")).alias("frame_idx"),
-        (F.col("bin") + F.col("k.dk")).alias("bin"),
-        F.col("k.w").alias("w"),
+    table = np.array(kernel, dtype=float)
+
+    @F.pandas_udf(_SMOOTHED)
+    def run(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda c: _spread(list(c), table, n_bins))
+
+    spread = calls.select("call_id", F.posexplode(run("cells")).alias("frame_idx", "s"))
+    return spread.select("call_id", "frame_idx", F.col("s.bin").alias("bins"), F.col("s.mask").alias("weights"))
+
+
+def long_mask(packed: DataFrame) -> DataFrame:
+    """Cells of a packed mask as rows (call_id, frame_idx, bin, mask)."""
+    return packed.select("call_id", "frame_idx", F.explode(F.arrays_zip("bins", "weights")).alias("z")).select(
+        "call_id", "frame_idx", F.col("z.bins").alias("bin"), F.col("z.weights").alias("mask")
     )
-    inside = spread.filter((F.col("bin") >= 0) & (F.col("bin") < n_bins) & (F.col("frame_idx") >= 0))
-    summed = inside.groupBy("call_id", "frame_idx", "bin").agg(F.least(F.sum("w"), F.lit(1.0)).alias("mask"))
-    return summed.join(counts, "call_id").filter(F.col("frame_idx") < F.col("_m")).drop("_m")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -111,38 +143,31 @@ def _scatter(mags: pd.Series, bins: pd.Series, weights: pd.Series) -> pd.Series:
 
 
 def apply_mask(frames: DataFrame, mask: DataFrame, p: float = 1.0) -> DataFrame:
-    """Masked frames ``(mags * mask) ** p``; frames without mask cells become 0."""
-    packed = (
-        mask.groupBy("call_id", "frame_idx")
-        .agg(F.sort_array(F.collect_list(F.struct("bin", "mask"))).alias("p"))
-        .select(
-            "call_id",
-            "frame_idx",
-            F.transform("p", lambda s: s["bin"]).alias("_b"),
-            F.transform("p", lambda s: s["mask"]).alias("_w"),
-        )
-    )
-    joined = frames.join(packed, ["call_id", "frame_idx"], "left")
-    out = joined.select("call_id", "frame_idx", "time", _scatter("mags", "_b", "_w").alias("mags"))
+    """Masked frames ``(mags * mask) ** p`` for a packed mask; frames without mask cells become 0."""
+    joined = frames.join(mask.select("call_id", "frame_idx", "bins", "weights"), ["call_id", "frame_idx"], "left")
+    out = joined.select("call_id", "frame_idx", "time", _scatter("mags", "bins", "weights").alias("mags"))
     return FR.frame_power(out, p)
 
 
 def contour_mask(
-    contour: DataFrame, frames: DataFrame, cfg: FR.SpectrogramConfig, k_max: int = 32, width: int = 1, floor: float = 1e-3, col: str = "f0"
+    contour: DataFrame, wf: DataFrame, cfg: FR.SpectrogramConfig, k_max: int = 32, width: int = 1, floor: float = 1e-3, col: str = "f0"
 ) -> DataFrame:
-    """Smoothed harmonic mask of a contour on the frames of ``cfg``."""
-    binary = harmonic_mask(contour, frames, cfg.sr, cfg.n_fft, k_max, width, col)
-    kernel = kernel_values(cfg.n_fft, cfg.win, cfg.hop, floor)
-    return smooth_mask(binary, kernel, cfg.n_fft // 2 + 1, frames)
+    """Smoothed harmonic mask of a contour on the frames of ``cfg``, packed per frame (see ``smooth_calls``).
+
+    The number of frames follows from the number of samples, so no spectrum is computed for it.
+    """
+    bins = lambda f0: mask_bins(f0, cfg.sr, cfg.n_fft, cfg.n_fft // 2 + 1, k_max, width)
+    f0 = _f0_arrays(contour, FR.frame_counts(wf, cfg), col)
+    calls = f0.select("call_id", F.transform("f0", bins).alias("cells"))
+    return smooth_calls(calls, kernel_values(cfg.n_fft, cfg.win, cfg.hop, floor), cfg.n_fft // 2 + 1)
 
 
 def masked_spectrogram(
     wf: DataFrame, contour: DataFrame, cfg: FR.SpectrogramConfig, k_max: int = 32, width: int = 1, strategy: str = "arrow"
 ) -> tuple[DataFrame, DataFrame]:
-    """Masked spectrum frames and the smoothed mask itself."""
-    frames = FR.spectrum(wf, cfg, strategy)
-    mask = contour_mask(contour, frames, cfg, k_max, width)
-    return apply_mask(frames, mask, cfg.power), mask
+    """Masked spectrum frames and the smoothed mask itself (packed)."""
+    mask = contour_mask(contour, wf, cfg, k_max, width)
+    return apply_mask(FR.spectrum(wf, cfg, strategy), mask, cfg.power), mask
 
 
 def masked_aud_spectrogram(

@@ -315,7 +315,7 @@ def _(t):
 
 @query("M12_smooth_mask", "SELECT call_id, CAST(frame_idx AS INT) AS frame_idx, CAST(bin AS INT) AS bin, round(mask, 6) + 0e0 AS mask FROM k_smooth", **MASK)
 def _(t):
-    return rounded(MK.contour_mask(_voice(t), FR.spectrum(t.waveform, SC), SC, 8, 1))
+    return rounded(MK.long_mask(MK.contour_mask(_voice(t), t.waveform, SC, 8, 1)))
 
 
 @query("M13_masked_spectrogram", "SELECT call_id, frame_idx, bin, round(magnitude, 6) + 0e0 AS magnitude FROM k_masked", **RSPEC, **MASK)
