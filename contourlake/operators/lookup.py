@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import exprs as X
-from ..functions import series as R
 
 
 def join_calls(contour: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,24 +29,53 @@ def nearest(df: DataFrame, axis: Sequence[float], col: str, out: str = "idx") ->
     return df.withColumn(out, nearest_index(A.dlit(sorted(axis)), F.col(col)))
 
 
+def bracket(df: DataFrame, axis: DataFrame, x: Column, axis_x: Column, *values: Column) -> DataFrame:
+    """Rows of ``df`` with ``_b`` and ``_a``: the call's last axis entry at or before ``x`` and its first one after.
+
+    An entry is a struct of ``x`` and ``values``.  Rows of both sides share one exchange and are sorted once in each
+    direction, so nothing is multiplied and no row carries an axis; both are null where the call has no entry there.
+    """
+    entry = F.struct(axis_x.cast("double").alias("x"), *values)
+    right = axis.select("call_id", F.lit(0).alias("_q"), axis_x.cast("double").alias("_x"), entry.alias("_e"))
+    left = df.withColumns({"_q": F.lit(1), "_x": x.cast("double"), "_e": F.lit(None).cast(right.schema["_e"].dataType)})
+    both = left.unionByName(right, allowMissingColumns=True)
+    up = W.partitionBy("call_id").orderBy("_x", "_q", "_e").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy("call_id").orderBy(F.desc("_x"), F.desc("_q"), F.desc("_e")).rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("_b", F.last("_e", ignorenulls=True).over(up)).withColumn("_a", F.last("_e", ignorenulls=True).over(down))
+    return found.filter("_q = 1").select(*df.columns, "_b", "_a")
+
+
+def _closer(x: Column) -> Column:
+    """The nearer of the entries ``_b`` and ``_a``, the earlier one on ties."""
+    after = F.col("_b").isNull() | (F.col("_a.x") - x < x - F.col("_b.x"))
+    return F.when(F.coalesce(after, F.lit(False)), F.col("_a")).otherwise(F.col("_b"))
+
+
 def nearest_by_call(df: DataFrame, axis: DataFrame, col: str, value: str, out: str = "nearest") -> DataFrame:
-    """Nearest value of a per-call axis table (call_id, value), found by a merge of both tables.
+    """Nearest value of a per-call axis table (call_id, value), the lower one on ties; null without an axis."""
+    found = bracket(df, axis.filter(F.col(value).isNotNull()), F.col(col), F.col(value))
+    return found.withColumn(out, _closer(F.col(col))["x"]).select(*df.columns, out)
+
 
-    Rows of both sides share one sort per call; the last value at or before and the first at or after a
-    query row are window lookups, so nothing is multiplied.
+def nearest_frame(df: DataFrame, grid: DataFrame, out: str) -> DataFrame:
+    """Rows with the frame of the call's grid that is nearest in time; rows of calls without a grid are left out."""
+    found = bracket(df, grid, F.col("time"), F.col("time"), F.col("frame_idx"))
+    return found.withColumn(out, _closer(F.col("time"))["frame_idx"]).filter(F.col(out).isNotNull()).select(*df.columns, out)
+
+
+def interpolated(df: DataFrame, src: DataFrame, left: float | None, right: float | None, out: str) -> DataFrame:
+    """Rows with the call's (time, frequency) table interpolated at their time, and ``_any``: the call has such a table.
+
+    Outside: the given values, else the end values.
     """
-    cols = df.columns
-    left = df.select(*cols, F.col(col).alias("_x"), F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_q"))
-    blank = [F.lit(None).cast(t).alias(c) if c != "call_id" else F.col("call_id") for c, t in df.dtypes]
-    right = axis.select(*blank, F.col(value).alias("_x"), F.col(value).alias("_v"), F.lit(0).alias("_q"))
-    w = W.partitionBy("call_id").orderBy("_x", "_q")
-    before = F.last("_v", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first("_v", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    merged = left.unionByName(right).withColumn("_b", before).withColumn("_a", after).filter("_q = 1")
-    pick_after = F.col("_b").isNull() | (F.col("_a") - F.col("_x") < F.col("_x") - F.col("_b"))
-    return merged.withColumn(out, F.when(F.coalesce(pick_after, F.lit(False)), F.col("_a")).otherwise(F.col("_b"))).select(
-        *cols, out
-    )
+    found = bracket(df, src, F.col("time"), F.col("time"), F.col("frequency").alias("f"))
+    x, x0, x1, f0, f1 = F.col("time"), F.col("_b.x"), F.col("_a.x"), F.col("_b.f"), F.col("_a.f")
+    inside = F.when((x1 > x0) & (x > x0), f0 + (f1 - f0) * ((x - x0) / F.when(x1 > x0, x1 - x0))).otherwise(f0)
+    before = f1 if left is None else F.lit(float(left))
+    after = f0 if right is None else F.when(x > x0, F.lit(float(right))).otherwise(f0)
+    value = F.when(F.col("_b").isNull(), before).when(F.col("_a").isNull(), after).otherwise(inside)
+    some = F.col("_b").isNotNull() | F.col("_a").isNotNull()
+    return found.select(*df.columns, F.when(some, value).alias(out), some.alias("_any"))
 
 
 def amplitude_at(
@@ -61,26 +89,22 @@ def amplitude_at(
 ) -> DataFrame:
     """Grid magnitude at the nearest frame and channel of every contour point.
 
-    The per-call time axis travels as one small array; the dense frames are then joined on
-    (call, frame), so each contour point meets exactly one frame row.
+    The frame is found by a merge of both time axes; the dense frames are then joined on (call, frame), so each
+    contour point meets exactly one frame row.
     """
-    times = (
-        tf_frame.groupBy("call_id")
-        .agg(F.sort_array(F.collect_list("time")).alias("_times"))
-    )
     hz = F.col("frequency") * mult
     t = F.col("time")
     ok = X.finite(t) & X.finite(hz) & (hz > 0)
-    ok = ok & (t >= F.get("_times", F.lit(0))) & (t <= F.element_at("_times", -1))
+    ok = ok & F.col("_b").isNotNull() & (F.col("_a").isNotNull() | (F.col("_b.x") == t))
     if limit_frequency:
         ok = ok & (hz >= float(min(axis))) & (hz <= float(max(axis)))
     ok = F.coalesce(ok, F.lit(False))
     located = (
-        contour.join(times, "call_id", "left")
+        bracket(contour, tf_frame, t, F.col("time"), F.col("frame_idx"))
         .withColumn("_ok", ok)
-        .withColumn("_frame", F.when(F.col("_ok"), nearest_index(F.col("_times"), t)))
+        .withColumn("_frame", F.when(F.col("_ok"), _closer(t)["frame_idx"]))
         .withColumn("_channel", F.when(F.col("_ok"), nearest_index(A.dlit(sorted(axis)), hz)))
-        .drop("_times")
+        .drop("_a", "_b")
     )
     grid = tf_frame.select("call_id", F.col("frame_idx").alias("_frame"), F.col("time").alias("_t"), F.col("mags").alias("_m"))
     joined = located.join(grid, ["call_id", "_frame"], "left")
@@ -181,15 +205,10 @@ def apply_matrix(tf: DataFrame, matrix: DataFrame) -> DataFrame:
 def regrid(contour: DataFrame, grid: DataFrame, left: float | None = None, right: float | None = None) -> DataFrame:
     """Contour frequencies on another time grid (call_id, frame_idx, time) by linear interpolation.
 
-    Both sides are packed per call; a grid equal to the contour's copies it.
+    Calls without a contour are left out; a grid equal to the contour's copies it.
     """
-    src = R.pack(contour, ["time", "frequency"], order="time").select(
-        "call_id", F.col("time").alias("_x"), F.col("frequency").alias("_f")
-    )
-    lo = None if left is None else F.lit(float(left))
-    hi = None if right is None else F.lit(float(right))
-    joined = grid.select("call_id", "frame_idx", "time").join(src, "call_id")
-    return joined.select("call_id", "frame_idx", "time", R.interp(F.col("time"), F.col("_x"), F.col("_f"), lo, hi).alias("frequency"))
+    found = interpolated(grid.select("call_id", "frame_idx", "time"), contour, left, right, "frequency")
+    return found.filter("_any").drop("_any")
 
 
 def resize(values: Column, m: Column) -> Column:
@@ -244,15 +263,11 @@ def effective_contour(extracted: DataFrame, corrected: DataFrame, wf: DataFrame,
     neither = wf.join(have(extracted), "call_id", "left_anti").join(have(corrected), "call_id", "left_anti")
     blank = blank_contour(neither, dt).select(*cols, F.lit("blank").alias("source"))
     grid = base.unionByName(only_corrected).unionByName(blank)
-    fix = R.pack(corrected, ["time", "frequency"], order="time").select(
-        "call_id", F.col("time").alias("_x"), F.col("frequency").alias("_f")
-    )
-    zero = F.lit(0.0)
-    edited = R.interp(F.col("time"), F.col("_x"), F.col("_f"), zero, zero)
-    return grid.join(fix, "call_id", "left").select(
+    edited = interpolated(grid, corrected, 0.0, 0.0, "_edited")
+    return edited.select(
         "call_id",
         "frame_idx",
         "time",
-        F.when(F.col("_x").isNotNull(), edited).otherwise(F.col("frequency")).alias("frequency"),
-        F.when(F.col("_x").isNotNull(), F.lit("corrected")).otherwise(F.col("source")).alias("source"),
+        F.when(F.col("_any"), F.col("_edited")).otherwise(F.col("frequency")).alias("frequency"),
+        F.when(F.col("_any"), F.lit("corrected")).otherwise(F.col("source")).alias("source"),
     )

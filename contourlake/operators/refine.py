@@ -19,7 +19,7 @@ from ..functions import exprs as X
 from ..functions import scales as S
 from ..functions import series as R
 from . import smooth as SM
-from .lookup import nearest_index
+from .lookup import nearest_frame
 
 
 @dataclass(frozen=True)
@@ -104,8 +104,7 @@ def _refine(
         power = F.transform("mags", lambda m: F.pow(m, F.lit(float(cfg.power_exp)))) if cfg.power_exp != 1.0 else F.col("mags")
         keyed = grid.select("call_id", F.col("frame_idx").alias(f"_k{i}"), power.alias(f"_p{i}"))
         if frame_of == "nearest":
-            times = grid.groupBy("call_id").agg(F.sort_array(F.collect_list("time")).alias("_t"))
-            rows = rows.join(times, "call_id").withColumn(f"_k{i}", nearest_index(F.col("_t"), F.col("time"))).drop("_t")
+            rows = nearest_frame(rows, grid, f"_k{i}")
         else:
             count = grid.groupBy("call_id").agg((F.max("frame_idx") + 1).alias("_n"))
             rows = rows.join(count, "call_id").withColumn(
