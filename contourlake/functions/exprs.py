@@ -27,11 +27,11 @@ def f0_to_h1(c: Column | str) -> Column:
 def to_db(tf: DataFrame, floor: float = 1e-5, top_db: float = 80.0) -> DataFrame:
     """Add ``db``: decibels against the call maximum, floored ``top_db`` below it.
 
-    A window over the call: one pass over the grid, and no exchange where it is already hashed by call.
+    The maximum is combined per task before the shuffle; the grid is not sorted, and one row per call is joined.
     """
-    peak = F.greatest(F.max("magnitude").over(W.partitionBy("call_id")), F.lit(floor))
-    db = 20.0 * F.log10(F.greatest("magnitude", F.lit(floor))) - 20.0 * F.log10(peak)
-    return tf.withColumn("db", F.greatest(db, F.lit(-top_db)))
+    peaks = tf.groupBy("call_id").agg(F.greatest(F.max("magnitude"), F.lit(floor)).alias("_peak"))
+    db = 20.0 * F.log10(F.greatest("magnitude", F.lit(floor))) - 20.0 * F.log10("_peak")
+    return tf.join(peaks, "call_id").withColumn("db", F.greatest(db, F.lit(-top_db))).select(*tf.columns, "db")
 
 
 def log_mag(tf: DataFrame, mode: str = "eps") -> DataFrame:
@@ -41,8 +41,9 @@ def log_mag(tf: DataFrame, mode: str = "eps") -> DataFrame:
         return tf.withColumn("log_mag", F.log(m + 1e-10))
     if mode != "floored":
         raise ValueError("mode must be 'eps' or 'floored'")
-    median = F.percentile(F.when(m > 0, m), F.lit(0.5)).over(W.partitionBy("call_id"))
-    return tf.withColumn("log_mag", F.log(F.greatest(m, F.coalesce(median * 1e-6, F.lit(1e-12)))))
+    median = tf.groupBy("call_id").agg(F.percentile(F.when(m > 0, m), F.lit(0.5)).alias("_median"))
+    out = tf.join(median, "call_id").withColumn("log_mag", F.log(F.greatest(m, F.coalesce(F.col("_median") * 1e-6, F.lit(1e-12)))))
+    return out.select(*tf.columns, "log_mag")
 
 
 def power(tf: DataFrame, p: float = 2.0) -> DataFrame:

@@ -181,11 +181,11 @@ def _(t):
 @query(
     "J2_nearest_by_call",
     """SELECT call_id, frame_idx, round(arg_min(v, (abs(v - time), v)), 6) AS nearest FROM
-  (SELECT c.call_id, c.frame_idx, c.time, t.time AS v FROM contour c JOIN (SELECT DISTINCT call_id, time FROM tf) t USING (call_id)) GROUP BY 1, 2""",
+  (SELECT c.call_id, c.frame_idx, c.time, t.time AS v FROM contour c LEFT JOIN (SELECT DISTINCT call_id, time FROM tf) t USING (call_id)) GROUP BY 1, 2""",
 )
 def _(t):
     out = L.nearest_by_call(t.contour, t.tf_frame, "time", "time")
-    return out.filter(F.col("nearest").isNotNull()).select("call_id", "frame_idx", r6("nearest").alias("nearest"))
+    return out.select("call_id", "frame_idx", r6("nearest").alias("nearest"))
 
 
 _AXES = """SELECT c.call_id, c.frame_idx, c.time, c.frequency, min(t.time) AS t0, max(t.time) AS t1,

@@ -300,17 +300,17 @@ def _(t):
 
 @query(
     "M11_repro_kernel",
-    "SELECT call_id, frame_idx, dk, round(sum(magnitude * w), 6) + 0e0 AS smeared FROM spec JOIN k_ker ON dk = bin % 3 - 1 AND dm = 0 GROUP BY 1, 2, 3",
+    "SELECT call_id, frame_idx, dk, dm, round(sum(magnitude * w), 6) + 0e0 AS smeared FROM spec JOIN k_ker ON dk = bin % 33 - 16 GROUP BY 1, 2, 3, 4",
     **RSPEC,
     **MASK,
 )
 def _(t):
-    """Kernel weights of the centre column applied to the spectrum."""
+    """All kernel weights applied to the spectrum."""
     axis, _ = FR.stft_axis(SR, 64)
     tf = FR.explode_frames(FR.spectrum(t.waveform, SC), axis)
-    k = MK.repro_kernel(t.spark, 64, 64, 32).filter("dm = 0")
-    j = tf.join(F.broadcast(k), F.col("dk") == F.col("channel") % 3 - 1)
-    return j.groupBy("call_id", "frame_idx", "dk").agg(r6(F.sum(F.col("magnitude") * F.col("w"))).alias("smeared"))
+    k = MK.repro_kernel(t.spark, 64, 64, 32)
+    j = tf.join(F.broadcast(k), F.col("dk") == F.col("channel") % 33 - 16)
+    return j.groupBy("call_id", "frame_idx", "dk", "dm").agg(r6(F.sum(F.col("magnitude") * F.col("w"))).alias("smeared"))
 
 
 @query("M12_smooth_mask", "SELECT call_id, CAST(frame_idx AS INT) AS frame_idx, CAST(bin AS INT) AS bin, round(mask, 6) + 0e0 AS mask FROM k_smooth", **MASK)
