@@ -126,6 +126,39 @@ def stft(
     return wf.select("call_id", "samples").mapInPandas(run, FRAME_SCHEMA)
 
 
+SEGMENT_BITS = 20
+
+
+def segment_calls(wf: DataFrame, n_fft: int, hop: int, frames_per_segment: int, center: bool = True, pad: str = "zero") -> DataFrame:
+    """Cut calls into rows of bounded length: (call_id, samples), the segment's number in the low bits of call_id.
+
+    Segment k holds the samples of frames [k * frames_per_segment, (k + 1) * frames_per_segment), so neighbours overlap
+    by n_fft - hop samples and no frame is lost.  The padding of the call's ends is part of its first and last segment;
+    transform segments without centring.  Call ids must fit 43 bits.
+    """
+    span = (frames_per_segment - 1) * hop + n_fft
+
+    def cut(x: Column) -> Column:
+        count = F.greatest(F.floor((F.size(x) - n_fft) / hop).cast("int") + 1, F.lit(0))
+        parts = F.ceil(count / frames_per_segment).cast("int")
+        return F.transform(A.seq(parts), lambda k: F.slice(x, k * (frames_per_segment * hop) + 1, span))
+
+    padded = pad_samples(F.col("samples"), n_fft // 2 if center else 0, pad)
+    rows = wf.select("call_id", F.posexplode(A.let(padded, cut)).alias("k", "samples"))
+    return rows.select((F.shiftleft(F.col("call_id").cast("long"), SEGMENT_BITS) + F.col("k")).alias("call_id"), "samples")
+
+
+def stft_segmented(
+    wf: DataFrame, sr: float, n_fft: int, hop: int, frames_per_segment: int = 4096, center: bool = True, pad: str = "zero", **options
+) -> DataFrame:
+    """``stft`` of long recordings through bounded segments: the same frames, stitched by number."""
+    parts = stft(segment_calls(wf, n_fft, hop, frames_per_segment, center, pad), sr, n_fft, hop, center=False, pad="none", **options)
+    k = F.col("call_id").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1).cast("long"))
+    idx = (k * frames_per_segment + F.col("frame_idx")).cast("int")
+    placed = parts.select(F.shiftright("call_id", SEGMENT_BITS).alias("call_id"), idx.alias("frame_idx"), "mags")
+    return placed.select("call_id", "frame_idx", X.frame_time("frame_idx", hop, sr).alias("time"), "mags")
+
+
 def _butterworth_gain(f: float, cutoff: float, sr: float, order: int = 5) -> float:
     if f <= 0:
         return 0.0

@@ -450,3 +450,26 @@ def test_extraction_isolates_bad_calls(spark, tmp_path):
 def test_constants_fold(spark):
     plan = spark.range(1).select(A.dlit([1.0, 2.0]).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan.lower() and "jsontostructs" not in plan.lower()
+
+
+def test_segments_stitch_to_the_whole_transform(spark):
+    rng = np.random.default_rng(4)
+    calls = [(i, rng.normal(size=n).tolist()) for i, n in enumerate([0, 5, 64, 200, 1003])]
+    wf = spark.createDataFrame(calls, "call_id long, samples array<double>")
+    for center in (True, False):
+        whole = FR.stft(wf, 1000, 64, 16, center=center)
+        parts = FR.stft_segmented(wf, 1000, 64, 16, frames_per_segment=5, center=center)
+        rows = lambda d: sorted((r.call_id, r.frame_idx, r.time, [round(m, 9) for m in r.mags]) for r in d.collect())
+        assert rows(parts) == rows(whole)
+
+
+def test_mean_density_takes_all_calls_and_keeps_bins(spark):
+    t = np.arange(128) / 1000
+    tone = np.sin(2 * np.pi * 250 * t)
+    wf = spark.createDataFrame([(i, (tone * (i + 1)).tolist()) for i in range(120)] + [(500, [])], "call_id long, samples array<double>")
+    psd = {r.bin: r.psd for r in ST.mean_psd(wf, 1000, 128).collect()}
+    each = [r.psd for r in ST.welch_psd(wf, 1000, 128).collect() if r.psd is not None]
+    assert len(each) == 120 and psd[32] == pytest.approx(np.mean([p[32] for p in each]))
+    short = spark.createDataFrame([(1, tone[:64].tolist())], "call_id long, samples array<double>")
+    peak = max(ST.mean_psd(short, 1000, 128).collect(), key=lambda r: r.psd)
+    assert peak.freq_hz == 250.0
