@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,11 +74,42 @@ def extract_dataset(
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+    """Whether the path itself is there; any other trouble in reading it stays an error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def fill_fb_store(spark: SparkSession, src: DataFrame, store: str, fb: FB.FilterbankConfig) -> DataFrame:
+    """Add the filterbank grids of the calls that ``store`` lacks; returns the calls that were added.
+
+    The settings are recorded beside the store at its first use; a store of other settings is an error.
+    """
+    meta, settings = f"{store}-meta", {k: v for k, v in vars(fb).items()}
+    if _exists(spark, meta):
+        if SO.matching_stores(SO.read_meta(spark, meta), "filterbank", settings).limit(1).count() == 0:
+            raise ValueError(f"the store {store} was written with other settings")
+    else:
+        SO.write_meta(spark, meta, "filterbank", "filterbank", settings)
+    new = src
+    if _exists(spark, store):
+        path = scratch_table(spark, "missing")  # the list must not change while the store grows
+        have = spark.read.parquet(store).filter("representation = 'filterbank'")
+        SO.missing_calls(src.select("call_id"), have).write.parquet(path)
+        missing = spark.read.parquet(path)
+        new = src.join(missing, "call_id", "left_semi")
+    else:
+        missing = src.select("call_id")
+    SO.write_fb_store(new, store, fb, mode="append")
+    return missing
+
+
+def extract_from_store(
+    spark: SparkSession, src: DataFrame, store: str, fb: FB.FilterbankConfig, ridge: TR.RidgeConfig = TR.RidgeConfig()
+) -> DataFrame:
+    """Ridge contours of ``src`` from stored filterbank grids: only grids that the store lacks are computed."""
+    fill_fb_store(spark, src, store, fb)
+    grid = SO.read_tf(spark, store, "filterbank", fb.stride, fb.sr).join(src.select("call_id").distinct(), "call_id", "left_semi")
+    return TR.track_store(grid, FB.fb_axis(fb), ridge)
 
 
 @dataclass(frozen=True)

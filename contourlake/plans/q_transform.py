@@ -14,6 +14,8 @@ from ..operators import track as TR
 from .base import query, r6
 from .q_scalar import aud_sql, hz_sql
 from .q_stats import rounded
+from ..session import scratch_table
+from . import jobs as J
 from .q_track import conf_ctes, lattice_ctes, proposal_ctes, track_ctes, viterbi_ctes
 
 SR = 1000
@@ -383,6 +385,20 @@ def _(t):
     return rounded(TR.track_fb(t.waveform, FBC, _FB_TRACK))
 
 
+@query(
+    "P18_fill_and_track",
+    _ROWS,
+    fgrid="SELECT call_id, frame_idx, channel, fc AS freq_hz, sqrt(re * re + im * im) AS magnitude, frame_idx * 32 / 1e3 AS time FROM f_co JOIN f_ch USING (channel)",
+    **coeff_ctes(False),
+    **track_ctes("fgrid", "SELECT channel, fc AS hz FROM f_ch", "2e1", "3e2", "12e1"),
+)
+def _(t):
+    """A store that holds every other call is filled, then all calls are tracked from it."""
+    store = scratch_table(t.spark, "grids")
+    J.fill_fb_store(t.spark, t.waveform.filter("call_id % 2 = 0"), store, FBC)
+    return rounded(J.extract_from_store(t.spark, t.waveform, store, FBC, _FB_TRACK))
+
+
 MRH = FR.MultiResConfig(sr=SR, hop=64, coarse_n_fft=512, coarse_win=256, fine_n_fft=512, fine_win=128, fmin=5.0, fmax=200.0)
 HCFG = H.HybridConfig(
     h1_min=17.0,
