@@ -32,7 +32,8 @@ from .suffixes import suffix_array
 LENGTH = 50
 ANCHOR = 20
 HOT_DOCS = 20_000
-STEP = 4
+STEP = 6
+CHUNK_BYTES = 2 << 20
 NO_ID = (1 << 63) - 1
 _SEGMENT = 30_000
 _BLOCK = 60_000
@@ -237,7 +238,7 @@ def string_classes(windows: list[bytes], anchor: np.ndarray, strings: np.ndarray
     """For each window and each of its 50-byte strings, the smallest document of all windows that hold the string.
 
     Windows with a string in common hold it at the same distance from their anchors, so suffixes need to be sorted at
-    every fourth byte from the anchor only: symbols are four bytes, a string starts up to three bytes before one.  The
+    every sixth byte from the anchor only: symbols are six bytes, a string starts up to five bytes before one.  The
     strings of one such remainder that follow each other in suffix order and agree in all bytes are a class.
     """
     sizes = np.array([len(w) for w in windows], np.int64)
@@ -251,10 +252,10 @@ def string_classes(windows: list[bytes], anchor: np.ndarray, strings: np.ndarray
     owner = np.repeat(np.arange(len(windows)), counts + 1)
     inner = np.arange(len(owner)) - np.repeat(ends - counts, counts + 1)
     place = starts[owner] + shift[owner] + STEP * inner
-    symbol = (word[place] & np.uint64(0xFFFFFFFF)).astype(np.uint32).byteswap()
+    symbol = (word[place] & np.uint64((1 << 8 * STEP) - 1)).byteswap() >> np.uint64(64 - 8 * STEP)
     over = place + STEP - (starts + sizes)[owner]  # bytes past the window's end count as 0
     over = np.clip(over, 0, STEP).astype(np.uint64)
-    symbol = (symbol.astype(np.uint64) >> (np.uint64(8) * over)) << (np.uint64(8) * over)
+    symbol = (symbol >> (np.uint64(8) * over)) << (np.uint64(8) * over)
     _, code = np.unique(symbol, return_inverse=True)
     order = suffix_array(code + 1, ends, int(code.max(initial=0)) + 1)
     closing = np.zeros(len(owner), bool)
@@ -276,7 +277,7 @@ def string_classes(windows: list[bytes], anchor: np.ndarray, strings: np.ndarray
         group = np.concatenate([[0], np.cumsum(~same)])
         if r:
             lead = word[q - r] & np.uint64((1 << (8 * r)) - 1)
-            _, group = np.unique(group.astype(np.uint64) << np.uint64(24) | lead, return_inverse=True)
+            _, group = np.unique(group.astype(np.uint64) << np.uint64(8 * STEP - 8) | lead, return_inverse=True)
         least = np.full(int(group.max()) + 1, NO_ID)
         np.minimum.at(least, group, low[who])
         flat[base[who] + q - r - starts[who]] = least[group]
@@ -298,16 +299,23 @@ def _judge(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     held: dict[int, int] = {}
     for k, *_ in parts:
         held[k] = held.get(k, 0) + 1
-    several = [i for i, p in enumerate(parts) if held[p[0]] > 1]
+    several = sorted((i for i, p in enumerate(parts) if held[p[0]] > 1), key=lambda i: parts[i][0])
     classes: dict[int, np.ndarray] = {}
-    if several:
-        got = string_classes(
-            [parts[i][1] for i in several],
-            np.array([parts[i][2] for i in several], np.int64),
-            np.array([parts[i][3] for i in several], np.int64),
-            least[several],
-        )
-        classes = dict(zip(several, got))
+    chunk: list[int] = []
+    size = 0
+    for at, i in enumerate(several):  # one suffix array for some megabytes of whole keys
+        chunk.append(i)
+        size += len(parts[i][1])
+        last = at + 1 == len(several)
+        if last or size >= CHUNK_BYTES and parts[several[at + 1]][0] != parts[i][0]:
+            got = string_classes(
+                [parts[k][1] for k in chunk],
+                np.array([parts[k][2] for k in chunk], np.int64),
+                np.array([parts[k][3] for k in chunk], np.int64),
+                least[chunk],
+            )
+            classes.update(zip(chunk, got))
+            chunk, size = [], 0
     short: dict[int, bytes] = {}
     lowest: dict[int, int] = {}
     out = []
@@ -407,7 +415,7 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, groups: int | None, hot:
     """The documents by group, and what steps 1 to 3 tell the groups."""
     spark = docs.sparkSession
     groups = groups or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = 4 * groups
+    buckets, spread = max(1, groups // 4), 4 * groups
     body = F.coalesce(F.col(text_col), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     dealt = docs.withColumns({"_doc": doc, "_rid": F.xxhash64(doc, body)}).withColumn("_g", F.pmod("_rid", F.lit(groups)).cast("long"))
@@ -419,9 +427,9 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, groups: int | None, hot:
     raw = F.unhex(F.lpad(F.hex("_rid"), 16, "0"))
     copies = later.select((F.col("_g") + F.lit(0)).alias("_g"), F.lit(_COPIES).alias("_kind"), raw.alias("_a"), none.alias("_b"))
     by = lambda df: df.groupBy("_g")
-    told = by(dealt).cogroup(by(copies)).applyInArrow(_report(groups, text_col), "_bucket bigint, _g bigint, keys binary, docs binary")
+    told = by(dealt).cogroup(by(copies)).applyInArrow(_report(buckets, text_col), "_bucket bigint, _g bigint, keys binary, docs binary")
     shared = told.groupBy("_bucket").applyInArrow(_shared(hot), _SIDE)
-    windows = by(dealt).cogroup(by(copies.union(shared))).applyInArrow(_windows(groups, spread, text_col), _WINDOWS)
+    windows = by(dealt).cogroup(by(copies.union(shared))).applyInArrow(_windows(buckets, spread, text_col), _WINDOWS)
     classes = windows.groupBy("_bucket").applyInArrow(_judge, _SIDE)
     return dealt, copies.union(classes)
 
