@@ -59,14 +59,16 @@ def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from records; None if they are too few or too short to train one."""
+    """A dictionary from records; where they are too few or too alike to train one, their own last bytes serve as one."""
     total = sum(map(len, samples))
-    if len(samples) < 8 or total < 8 * 1024:
-        return None
-    try:
-        return zstandard.train_dictionary(min(size, max(1024, total // 8)), samples, k=256, d=8)
-    except zstandard.ZstdError:
+    if not total:
         return None
+    if len(samples) >= 8 and total >= 8 * 1024:
+        try:
+            return zstandard.train_dictionary(min(size, max(1024, total // 8)), samples, k=256, d=8)
+        except zstandard.ZstdError:
+            pass
+    return zstandard.ZstdCompressionDict(b"".join(samples)[-min(size, max(64, total // 2)) :], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class ArchiveWriter:
@@ -92,7 +94,7 @@ class ArchiveWriter:
     def _start(self) -> None:
         dictionary = train_dictionary([r[: 1 << 16] for r in self.waiting])
         body = dictionary.as_bytes() if dictionary else b""
-        self.stream = self.filesystem.open_output_stream(self.path)
+        self.stream = self.filesystem.open_output_stream(self.path, compression=None)
         self.stream.write(struct.pack("<II", MAGIC, len(body)) + body)
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
         for record in self.waiting:
@@ -107,7 +109,7 @@ class ArchiveWriter:
 
 def read_archive(filesystem: pafs.FileSystem, path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of every record, one frame in memory at a time."""
-    with filesystem.open_input_stream(path) as stream:
+    with filesystem.open_input_stream(path, compression=None) as stream:
         magic, size = struct.unpack("<II", stream.read(8))
         if magic != MAGIC:
             raise ValueError(f"{path}: no leading dictionary frame")
