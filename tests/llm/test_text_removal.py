@@ -139,7 +139,7 @@ def test_contamination_equals_brute_force(spark):
     items = [(i, " ".join(rnd.choice("a B c é 1 dd ee".split()) for _ in range(rnd.choice([0, 1, 4, 10, 11, 25])))) for i in range(12)]
     items += [(None, "null Item words"), (5, "short ITEM"), (13, None), (14, "!!")]
     docs = [(i, " ".join(rnd.choice("a b c É é 1 dd ee x".split()) for _ in range(rnd.randint(0, 60)))) for i in range(60)]
-    docs += [(100 + i, f"intro, {t or ''}. OUTRO!") for i, t in items] + [(100, None), (None, ""), (7, "short-item Short.ITEM"), (7, "short-item")]
+    docs += [(100 + (i or 0), f"intro, {t or ''}. OUTRO!") for i, t in items] + [(100, None), (None, ""), (7, "short-item Short.ITEM"), (7, "short-item")]
     docs.append((900, "x " * 50_000 + (items[4][1] or "a")))
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
     got = lambda df: sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.collect())
