@@ -1,17 +1,18 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are whole words and word beginnings (four and five characters, so that unseen endings still match), chosen on a
-bounded sample of labelled rows by how strongly they go with a label.  Inverse document frequencies count all documents.
+Terms are whole words and word beginnings (four and five characters, so that unseen endings still match): every term of
+the bounded labelled examples, however rare.  Inverse document frequencies count all documents; a factor that is never 0
+raises terms by how strongly they go with a label.  Terms that no example has meet nothing and are outside the space.
 Every document's nearest examples vote with weights that fall with distance; isotonic calibration on leave-one-out votes
 of the examples turns the vote into a probability.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,12 @@ from pyspark.sql import functions as F
 from .common import pieces, stored, text_list
 
 FOLDS = 5
-#: The bounded labelled sample: rows by smallest id hash, and terms by strength.
-TRAIN_ROWS, MAX_TERMS = 20_000, 4096
-MIN_ROWS, LIFT, CHI2 = 4, 3.0, 20.0
+#: The bounded labelled sample: rows by smallest id hash.
+TRAIN_ROWS = 20_000
+#: Weight of a term that leans to no label, and pseudo-rows at the labels' own ratio.
+NEUTRAL, SHRINK = 0.05, 1.0
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 16
 EVIDENCE = 5
 
 _WORD = bytes(
@@ -38,81 +40,65 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
+def _of_word(word: bytes) -> list[bytes]:
+    """The word and its beginnings of four and five characters, marked by a trailing ``*``."""
+    start = word.decode("utf-8", "ignore") if len(word) >= 4 else ""
+    return [word, *(start[:k].encode() + b"*" for k in (4, 5) if len(start) >= k)]
+
+
 def terms(text: bytes) -> Counter:
     """Counts of words and of four- and five-character word beginnings (marked by a trailing ``*``)."""
     out: Counter = Counter()
     for word, n in Counter(text.translate(_WORD).split()).items():
-        out[word] += n
-        if len(word) >= 4:
-            start = word.decode("utf-8", "ignore")
-            for k in (4, 5):
-                if len(start) >= k:
-                    out[start[:k].encode() + b"*"] += n
+        for t in _of_word(word):
+            out[t] += n
     return out
 
 
 class Vocabulary:
-    """Fast counts of the chosen terms in a text."""
-
-    def __init__(self, chosen: list[bytes]):
-        self.number = {t: i for i, t in enumerate(chosen)}
-        self.whole = {t for t in chosen if not t.endswith(b"*")}
-        # a beginning is compared as bytes; characters have no common proper prefix in UTF-8
-        starts = [t[:-1] for t in chosen if t.endswith(b"*")]
-        self.starts = {n: {s for s in starts if len(s) == n} for n in {len(s) for s in starts}}
-
-    def count(self, text: bytes) -> dict[int, int]:
-        words = Counter(text.translate(_WORD).split())
-        out: dict[int, int] = {}
-        for w in self.whole & words.keys():
-            out[self.number[w]] = words[w]
-        for size, starts in self.starts.items():
-            found = starts.intersection([w[:size] for w in words])
-            if found:
-                for w, n in words.items():
-                    if w[:size] in found:
-                        k = self.number[w[:size] + b"*"]
-                        out[k] = out.get(k, 0) + n
-        return out
-
-
-def choose_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[bytes]:
-    """Terms of the labelled sample (text, toxic) that lean to one label: by lift and chi-squared, strongest first."""
+    """Fast counts of known terms in a text: the term numbers of each word seen are kept in a table."""
+
+    KEPT = 300_000
+
+    def __init__(self, known: list[bytes]):
+        self.number = {t: i for i, t in enumerate(known)}
+        self.row: dict[bytes, int] = {}
+        self.table = np.zeros((1024, 3), np.int64)
+
+    def count(self, text: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Numbers (ascending) and counts of the known terms, and whether the text has no word at all."""
+        words = text.translate(_WORD).split()
+        if len(self.row) > self.KEPT:
+            self.row.clear()
+        rows = list(map(self.row.get, words))
+        if None in rows:
+            for w in set(words).difference(self.row):
+                found = [self.number.get(t, -1) for t in _of_word(w)]
+                k = len(self.row)
+                if k == len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[k] = found + [-1] * (3 - len(found))
+                self.row[w] = k
+            rows = [self.row[w] for w in words]
+        ids = self.table[np.array(rows, np.int64)].ravel()
+        at, n = np.unique(ids[ids >= 0], return_counts=True)
+        return at.astype(np.int32), n.astype(np.int32), not words
+
+
+def all_terms(sample: DataFrame) -> list[bytes]:
+    """Every term of the texts of the labelled sample, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[bytes, list[int]] = {}
-        docs = [0, 0]
+        found: set[bytes] = set()
         for part in pieces(batches, "text", 4 << 20):
-            for text, toxic in zip(text_list(part.column("text")), part.column("toxic").to_pylist()):
-                docs[toxic] += 1
-                for t in terms(text):
-                    total.setdefault(t, [0, 0])[toxic] += 1
-            if len(total) > 200_000:
-                yield _counted(total)
-                total = {}
-        total[b""] = docs
-        yield _counted(total)
-
-    counts = sample.mapInArrow(run, "term binary, n0 bigint, n1 bigint")
-    sums = stored(counts.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(f"n0 + n1 >= {MIN_ROWS} or term = X''"), "terms")
-    whole = sums.filter("term = X''").first()
-    if whole is None or not whole["n0"] or not whole["n1"]:
-        return []
-    d0, d1 = float(whole["n0"]), float(whole["n1"])
-    n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
-    lift = ((n1 + 0.5) / (d1 + 1)) / ((n0 + 0.5) / (d0 + 1))
-    seen = n0 + n1
-    chi = (n1 * (d0 - n0) - n0 * (d1 - n1)) ** 2 * (d0 + d1) / (seen * (d0 + d1 - seen + 1e-9) * d0 * d1)
-    ranked = sums.filter("term <> X''").select("term", lift.alias("lift"), chi.alias("chi"))
-    ranked = ranked.filter((F.col("chi") >= CHI2) & ((F.col("lift") >= LIFT) | (F.col("lift") <= 1 / LIFT)))
-    return [bytes(r["term"]) for r in ranked.orderBy(F.desc("chi"), "term").limit(max_terms).collect()]
-
-
-def _counted(total: dict[bytes, list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.binary()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.int64())],
-        names=["term", "n0", "n1"],
-    )
+            for text in text_list(part.column("text")):
+                found.update(terms(text))
+            if len(found) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["term"])
+                found = set()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["term"])
+
+    return sorted(sample.mapInArrow(run, "term binary").distinct().toArrow().column(0).to_pylist())
 
 
 @dataclass
@@ -121,51 +107,92 @@ class Hit:
     example: int
 
 
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def _vector(v: dict[int, float] | Vector) -> Vector:
+    return v if isinstance(v, tuple) else (np.array(sorted(v), np.int32), np.array([v[t] for t in sorted(v)], float))
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges one after another."""
+    size = end - start
+    return np.arange(size.sum()) + np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) if len(size) else np.zeros(0, np.int64)
+
+
 class BlockMaxIndex:
-    """Inverted index over unit vectors: per term and block of ``BLOCK`` examples the postings and their largest weight."""
-
-    def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK):
-        self.block, self.size = block, len(vectors)
-        self.blocks = -(-len(vectors) // block) if vectors else 0
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists.setdefault(t, []).append((i, w))
-        self.postings: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-        self.maxima: dict[int, np.ndarray] = {}
-        for t, rows in lists.items():
-            at = np.array([r[0] for r in rows], np.int64)
-            weight = np.array([r[1] for r in rows])
-            own = at // block
-            self.maxima[t] = np.zeros(self.blocks)
-            np.maximum.at(self.maxima[t], own, weight)
-            cut = np.flatnonzero(np.diff(own)) + 1
-            self.postings[t] = {
-                int(own[a]): (at[a:b] % block, weight[a:b]) for a, b in zip(np.r_[0, cut], np.r_[cut, len(at)])
-            }
-
-    def nearest(self, query: dict[int, float], k: int) -> list[Hit]:
+    """Inverted index over unit vectors: per term the blocks of ``block`` examples that have it and its largest weight there.
+
+    Examples are laid out by their heaviest term, so that like ones share a block and bounds are close.
+    """
+
+    #: What terms of least weight may add to every bound together instead of being looked up by block.
+    SLACK = 0.02
+
+    def __init__(self, vectors: list[dict[int, float] | Vector], block: int = BLOCK):
+        rows = [_vector(v) for v in vectors]
+        lead = np.array([int(t[np.argmax(w)]) if len(t) else -1 for t, w in rows], np.int64)
+        self.order = np.argsort(lead, kind="stable")
+        self.block, self.size, self.blocks = block, len(rows), -(-len(rows) // block)
+        laid = [rows[i] for i in self.order.tolist()]
+        self.start = np.r_[0, np.cumsum([len(t) for t, _ in laid])].astype(np.int64)
+        self.term = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in laid)])
+        self.weight = np.concatenate([np.zeros(0), *(w for _, w in laid)])
+        self.width = int(self.term.max(initial=-1)) + 1
+        own = np.repeat(np.arange(self.size) // block, np.diff(self.start))
+        key = self.term.astype(np.int64) * max(1, self.blocks) + own
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        first = np.flatnonzero(np.r_[True, np.diff(key) > 0]) if len(key) else np.zeros(0, np.int64)
+        self.maxima = np.maximum.reduceat(self.weight[by], first) if len(key) else np.zeros(0)
+        self.inside = (key[first] % max(1, self.blocks)).astype(np.int32)
+        self.at = np.searchsorted(key[first] // max(1, self.blocks), np.arange(self.width + 1))
+        self.largest = np.zeros(self.width)
+        np.maximum.at(self.largest, self.term, self.weight)
+        self.query: np.ndarray | None = None
+
+    def _scores(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of all examples of some blocks."""
+        places = _ranges(blocks * self.block, np.minimum((blocks + 1) * self.block, self.size))
+        a, b = self.start[places], self.start[places + 1]
+        entries = _ranges(a, b)
+        part = self.query[self.term[entries]] * self.weight[entries]
+        return places, np.bincount(np.repeat(np.arange(len(places)), b - a), part, minlength=len(places))
+
+    def nearest(self, query: dict[int, float] | Vector, k: int) -> list[Hit]:
         """The k largest cosines above 0 and all that tie with the k-th, exactly: a block is scored unless its bound is lower."""
-        known = [(t, w) for t, w in query.items() if t in self.maxima]
-        if not known:
+        t, w = _vector(query)
+        t, w = t[t < self.width], w[t < self.width]
+        most = w * self.largest[t]
+        by = np.argsort(most, kind="stable")
+        light = int(np.searchsorted(np.cumsum(most[by]), self.SLACK))
+        heavy = by[light:]
+        if not most.any():
             return []
-        bound = sum(w * self.maxima[t] for t, w in known)
-        found: list[tuple[float, int]] = []
-        floor = 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < floor - 1e-12:
+        size = self.at[t[heavy] + 1] - self.at[t[heavy]]
+        entries = _ranges(self.at[t[heavy]], self.at[t[heavy] + 1])
+        bound = np.bincount(self.inside[entries], np.repeat(w[heavy], size) * self.maxima[entries], minlength=self.blocks)
+        bound += most[by[:light]].sum()
+        ranked = np.argsort(-bound, kind="stable")
+        if self.query is None:
+            self.query = np.zeros(self.width)
+        self.query[t] = w
+        places, scores, floor, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 2
+        while done < len(ranked):
+            now = ranked[done : done + step]
+            now = now[bound[now] >= floor - 1e-12]
+            if not len(now):
                 break
-            score = np.zeros(self.block)
-            for t, w in known:
-                rows = self.postings[t].get(b)
-                if rows is not None:
-                    score[rows[0]] += w * rows[1]
-            for i in np.flatnonzero((score > 0) & (score >= floor - 1e-12)).tolist():
-                found.append((round(float(score[i]), 12), b * self.block + i))
-            if len(found) >= k:
-                floor = sorted((s for s, _ in found), reverse=True)[k - 1]
-                found = [x for x in found if x[0] >= floor]
-        return [Hit(s, i) for s, i in sorted(found, key=lambda x: (-x[0], x[1]))]
+            more, cosine = self._scores(now)
+            places, scores = np.r_[places, more], np.r_[scores, np.round(cosine, 12)]
+            good = scores > 0
+            places, scores = places[good], scores[good]
+            if len(scores) >= k:
+                floor = float(np.partition(scores, len(scores) - k)[len(scores) - k])
+                places, scores = places[scores >= floor], scores[scores >= floor]
+            done, step = done + step, step * 2
+        self.query[t] = 0.0
+        return sorted((Hit(s, i) for s, i in zip(scores.tolist(), self.order[places].tolist())), key=lambda h: (-h.similarity, h.example))
 
 
 def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,67 +218,78 @@ def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.array(knots), np.maximum.accumulate(np.array(values))
 
 
+def strength(seen: np.ndarray, toxic: np.ndarray, prior: float) -> np.ndarray:
+    """Above 0 for every term: how far the share of toxic rows among a term's rows is from the prior, as squared log odds."""
+    if not 0 < prior < 1:
+        return np.ones(len(seen))
+    p = (toxic + SHRINK * prior) / (seen + SHRINK)
+    return NEUTRAL + (np.log(p / (1 - p)) - np.log(prior / (1 - prior))) ** 2
+
+
+def _key(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    return blake2b(ids.tobytes() + counts.tobytes(), digest_size=16).digest()
+
+
 class NearestVote:
-    """Examples merged by equal vectors, their index, and the calibrated vote."""
+    """Examples (id, term numbers, counts, toxic) merged by equal vectors, their index, and the vote."""
 
-    def __init__(self, examples: list[tuple[int, dict[int, int], int]], idf: dict[int, float], k: int = NEIGHBOURS):
-        self.idf, self.k = idf, k
-        merged: dict[tuple, list] = {}
-        for doc_id, tf, toxic in sorted(examples, key=lambda e: e[0]):
-            entry = merged.setdefault(tuple(sorted(tf.items())), [0, 0, []])
+    def __init__(self, examples: list[tuple[int, np.ndarray, np.ndarray, int]], idf: np.ndarray, k: int = NEIGHBOURS):
+        self.k, self.n, self.toxic = k, len(examples), sum(e[3] for e in examples)
+        self.prior = self.toxic / self.n if self.n else 0.0
+        seen, bad = np.zeros(len(idf)), np.zeros(len(idf))
+        merged: dict[bytes, list] = {}
+        firsts: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        for doc_id, ids, counts, toxic in sorted(examples, key=lambda e: e[0]):
+            seen[ids] += 1
+            bad[ids] += toxic
+            key = _key(ids, counts)
+            entry = merged.setdefault(key, [0, 0, []])
+            firsts.setdefault(key, (ids, counts))
             entry[0] += 1
             entry[1] += toxic
             if len(entry[2]) < EVIDENCE:
                 entry[2].append(doc_id)
-        self.n, self.toxic = len(examples), sum(e[2] for e in examples)
-        self.prior = self.toxic / self.n if self.n else 0.0
-        blank = merged.pop((), [0, 0, []])
-        self.blank = blank
-        self.keys = list(merged)
+        self.weight = idf * strength(seen, bad, self.prior)
+        nothing = _key(np.zeros(0, np.int32), np.zeros(0, np.int32))
+        self.blank = merged.pop(nothing, [0, 0, []])
+        firsts.pop(nothing, None)
         self.groups = list(merged.values())
-        self.index = BlockMaxIndex([self.vector(dict(key)) for key in self.keys])
-        self.knots = self.values = None
-        raw, label = [], []
-        for key, (count, toxic, _) in [((), blank), *merged.items()]:
-            for y, times in ((1, toxic), (0, count - toxic)):
-                if times:
-                    raw += [self.raw(dict(key), leave=(count, y))[0]] * times
-                    label += [y] * times
-        if raw:
-            self.knots, self.values = isotonic(np.array(raw), np.array(label))
-
-    def vector(self, tf: dict[int, int]) -> dict[int, float]:
-        """Unit vector of (1 + log tf) * idf."""
-        v = {t: (1.0 + math.log(n)) * self.idf[t] for t, n in sorted(tf.items())}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()} if norm else {}
-
-    def raw(self, tf: dict[int, int], leave: tuple[int, int] | None = None) -> tuple[float, list[int]]:
-        """The weighted vote and the ids of the nearest examples; ``leave`` takes one example of this vector out."""
-        if not tf:
-            voters = [(1.0, self.blank)]
+        self.number = {key: i for i, key in enumerate(merged)}
+        self.index = BlockMaxIndex([self.vector(*firsts[key]) for key in merged])
+
+    def vector(self, ids: np.ndarray, counts: np.ndarray) -> Vector:
+        """Unit vector of (1 + log tf) * idf * strength."""
+        v = (1.0 + np.log(counts)) * self.weight[ids]
+        norm = float(np.sqrt((v * v).sum()))
+        return ids, v / norm if norm else v
+
+    def raw(self, ids: np.ndarray, counts: np.ndarray, blank: bool, toxic: int | None = None) -> tuple[float, list[int]]:
+        """The weighted vote and the ids of the nearest examples; with ``toxic``, one example of this vector and label is out.
+
+        A text without words (``blank``) is nearest to the examples without any; words that no example has give the prior.
+        """
+        own = None
+        if blank:
+            voters, own = [(1.0, -1, self.blank)], -1
         else:
-            hits = self.index.nearest(self.vector(tf), self.k)
-            voters = [(h.similarity, self.groups[h.example]) for h in hits] or [(0.0, self.blank)]
-        total, toxic, ids = 1.0, self.prior, []
-        for similarity, (count, bad, docs) in voters:
-            if leave and similarity > 1 - 1e-9 and count == leave[0]:
-                count, bad, leave = count - 1, bad - leave[1], None
+            hits = self.index.nearest(self.vector(ids, counts), self.k) if len(ids) else []
+            voters = [(h.similarity, h.example, self.groups[h.example]) for h in hits]
+            own = self.number.get(_key(ids, counts)) if toxic is not None else None
+        total, vote, out = 1.0, self.prior, []
+        for similarity, group, (count, bad, docs) in voters:
+            if toxic is not None and group == own:
+                count, bad = count - 1, bad - toxic
             weight = 1.0 / (0.05 + max(0.0, 1.0 - similarity))
             total += weight * count
-            toxic += weight * bad
-            ids += docs
-        return toxic / total, ids[:EVIDENCE]
-
-    def score(self, tf: dict[int, int]) -> tuple[float, list[int]]:
-        raw, ids = self.raw(tf)
-        if self.knots is None:
-            return raw, ids
-        fit = float(np.interp(raw, self.knots, self.values))
-        return min(1.0, max(0.0, 0.98 * fit + 0.02 * raw)), ids  # the vote orders documents of one pool
+            vote += weight * bad
+            out += docs
+        return vote / total, out[:EVIDENCE]
 
 
-_VECTORS = "doc_id bigint, terms array<int>, counts array<int>"
+def calibrated(raw: float, knots: np.ndarray | None, values: np.ndarray | None) -> float:
+    if knots is None:
+        return raw
+    return min(1.0, max(0.0, 0.98 * float(np.interp(raw, knots, values)) + 0.02 * raw))  # the vote orders documents of one pool
 
 
 def toxicity(
@@ -260,61 +298,92 @@ def toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     train_rows: int = TRAIN_ROWS,
-    max_terms: int = MAX_TERMS,
     k: int = NEIGHBOURS,
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted, evidence (ids of nearest labelled examples).
 
-    Labels are learned from rows outside fold 0 only, at most ``train_rows`` of them (smallest id hash first); every
-    document is scored, and document frequencies count all of them.  A text without any chosen term (null and empty
-    ones too) is nearest to the examples without any.  Null ids are in fold 0 and never examples; repeated rows give
-    one row each; of several labels of an id the largest counts; other columns are ignored.  Without labels every
-    score is 0; an empty table gives no rows.
+    Labels are learned from rows outside fold 0 only, at most ``train_rows`` of them (smallest id hash first), with all
+    their terms; every document is scored, and document frequencies count all of them.  A text without words (null and
+    empty ones too) is nearest to the examples without any; one without a word of any example has no evidence and gets
+    the labels' ratio, calibrated.  Null ids are in fold 0 and never examples; repeated rows give one row each; of
+    several labels of an id the largest counts; other columns are ignored.  Without labels every score is 0; an empty
+    table gives no rows.
     """
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(fold(F.col("doc_id")) != 0)
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     drawn = stored(drawn.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), "labelled")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = choose_terms(narrow.join(F.broadcast(drawn), "doc_id").select("text", "toxic"), max_terms)
+    sample = stored(narrow.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic"), "examples")
+    context = docs.sparkSession.sparkContext
+    found = all_terms(sample)
+    size = len(found)
+    words = context.broadcast(Vocabulary(found))
+    del found
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per task: how many documents have each term; number -1 counts all documents."""
+        seen, n = np.zeros(size, np.int64), 0
+        for part in pieces(batches, "text", 4 << 20):
+            for text in text_list(part.column("text")):
+                seen[words.value.count(text)[0]] += 1
+                n += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int32()), pa.array(np.r_[n, seen[at]], pa.int64())], names=["t", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(chosen)
-        kind = pa.list_(pa.int32())
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text", 4 << 20):
-            found = [sorted(vocabulary.count(t).items()) for t in text_list(part.column("text"))]
+            rows = [words.value.count(t) for t in text_list(part.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([[t for t, _ in f] for f in found], kind), pa.array([[n for _, n in f] for f in found], kind)],
-                names=["doc_id", "terms", "counts"],
+                [part.column("doc_id"), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary()), part.column("toxic")],
+                names=["doc_id", "ids", "counts", "toxic"],
             )
 
-    vectors = stored(narrow.mapInArrow(count, _VECTORS), "vectors")
-    total = vectors.count()
-    frequency = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = {t: math.log((1 + total) / (1 + n)) + 1.0 for t, n in frequency.items()}
-    rows = vectors.join(F.broadcast(drawn), "doc_id").select("doc_id", "terms", "counts", "toxic").collect()
-    examples = [(r["doc_id"], dict(zip(r["terms"], r["counts"])), r["toxic"]) for r in rows]
-    model = docs.sparkSession.sparkContext.broadcast(NearestVote(examples, idf, k))
+    idf = np.ones(size)
+    if size:
+        sums = narrow.mapInArrow(frequencies, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+        at, n = sums.column("t").to_numpy(), sums.column("n").to_numpy()
+        total = int(n[at < 0].sum())
+        frequency = np.zeros(size)
+        frequency[at[at >= 0]] = n[at >= 0]
+        idf = np.log((1 + total) / (1 + frequency)) + 1.0
+    rows = sample.mapInArrow(vectors, "doc_id bigint, ids binary, counts binary, toxic int").toArrow()
+    unpack = lambda name: [np.frombuffer(x, np.int32) for x in rows.column(name).to_pylist()]
+    examples = list(zip(rows.column("doc_id").to_pylist(), unpack("ids"), unpack("counts"), rows.column("toxic").to_pylist()))
+    model = context.broadcast(NearestVote(examples, idf, k))
+    del rows, examples
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text", 4 << 20):
+            label = part.column("toxic").to_pylist()
+            votes = [model.value.raw(*words.value.count(x), toxic=y)[0] for x, y in zip(text_list(part.column("text")), label)]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), part.column("toxic")], names=["raw", "toxic"])
+
+    votes = sample.repartition(context.defaultParallelism).mapInArrow(left_out, "raw double, toxic int").toArrow()
+    knots = values = None
+    if votes.num_rows:
+        knots, values = isotonic(votes.column("raw").to_numpy(), votes.column("toxic").to_numpy())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vote = model.value
-        known: dict[tuple, tuple[float, list[int]]] = {}
-        for batch in batches:
+        known: dict[bytes, tuple[float, list[int]]] = {}
+        for part in pieces(batches, "text", 4 << 20):
             scores, evidence = [], []
-            for t, n in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                key = tuple(zip(t, n))
+            for text in text_list(part.column("text")):
+                ids, counts, blank = words.value.count(text)
+                key = _key(ids, counts) + bytes([blank])
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
-                    known[key] = vote.score(dict(key))
+                    raw, near = model.value.raw(ids, counts, blank)
+                    known[key] = calibrated(raw, knots, values), near
                 scores.append(known[key][0])
                 evidence.append(known[key][1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))],
+                [part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))],
                 names=["doc_id", "score", "evidence"],
             )
 
-    scored = vectors.mapInArrow(score, "doc_id bigint, score double, evidence array<bigint>")
+    scored = narrow.mapInArrow(score, "doc_id bigint, score double, evidence array<bigint>")
     return scored.select(
         "doc_id",
         (fold(F.col("doc_id")) == 0).alias("held_out"),

@@ -256,6 +256,18 @@ def test_toxicity_finds_held_out_rows(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_rare_terms_find_their_example(spark):
+    """A copy of a toxic example is scored and traced by words that one labelled row has, in a small labelled table."""
+    rows = [(i, f"plain{i} text{i % 7}") for i in range(1, 40)] + [(100, "zorgle fnarp"), (101, "quibber snood"), (200, "zorgle fnarp"), (201, "unheard")]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows if i < 200], "doc_id long, toxic int")
+    assert zlib.crc32(b"100") % 5 and zlib.crc32(b"101") % 5
+    by = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert by[200].evidence == [100] and by[201].evidence == []
+    plain = [by[i] for i in range(1, 40)]
+    assert all(by[200].score > r.score for r in plain) and all(r.evidence for r in plain if not r.held_out)
+
+
 # sharding
 
 
