@@ -1,10 +1,12 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
-Documents become pieces of at most ``capacity`` tokens.  Pieces are dealt at random into groups of bounded size; a group
-is a packing problem of its own (it leaves at most one open sequence more than the whole would).  Each group evolves on
-several islands: a crossover injects whole well-filled bins of one parent into another, removes the bins that hold
-duplicates, and best-fits the displaced pieces, longest first.  After each round every island receives its neighbour's
-elite (a shuffle of solutions, not of texts).  A group whose bins reach the lower bound is done.
+Documents become pieces of at most ``capacity`` tokens.  Pieces are dealt at random into groups of about GROUP_TOKENS
+tokens; a group is a packing problem of its own.  The pieces of its under-filled sequences (more than 1/32 empty) go back
+and are dealt anew, those of all groups together, round after round until one group holds them or a round saves less
+than 1 of 256 of its sequences.  Each group evolves on several islands: a crossover injects whole well-filled bins of one
+parent into another, removes the bins that hold duplicates, and best-fits the displaced pieces, longest first.  After
+each round every island receives its neighbour's elite (a shuffle of solutions, not of texts).  A group whose bins reach
+the lower bound is done.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from .common import stored
 MODEL = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 CAPACITY = 2048
-GROUP = 1500
+GROUP, GROUP_TOKENS = 1500, 1 << 20
+OPEN, GAIN = 32, 256
 ISLANDS = 3
 ROUNDS = 2
 GENERATIONS = 12
@@ -221,6 +224,48 @@ def _islands(problems: DataFrame, capacity: int, islands: int, rounds: int) -> D
     return state.groupBy("group").agg(best.alias("place"))
 
 
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sequence, offset and the sequence's fill of every item of a group."""
+    for batch in batches:
+        sequences, offsets, fills = [], [], []
+        for group, lengths, raw in zip(*(batch.column(n).to_pylist() for n in ("group", "lengths", "place"))):
+            n = len(lengths)
+            bins = np.frombuffer(raw, "<i4").astype(np.int64) if raw else np.zeros(0, np.int64)
+            used = int(bins.max(initial=-1)) + 1
+            bins = np.concatenate([bins, used + np.arange(n - len(bins))])  # whole pieces sort last
+            filled = [0] * (int(bins.max(initial=-1)) + 1)
+            at = []
+            for k, length in zip(bins.tolist(), lengths):
+                at.append(filled[k])
+                filled[k] += length
+            sequences.append(((group << 24) + bins).tolist())
+            offsets.append(at)
+            fills.append(np.array(filled, np.int64)[bins].tolist())
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("items"), pa.array(sequences, kind), pa.array(offsets, kind), pa.array(fills, kind)],
+            names=["items", "sequence_id", "offset", "fill"],
+        )
+
+
+def _packed(cut: DataFrame, groups: int, base: int, capacity: int, islands: int, rounds: int) -> DataFrame:
+    """One round: pieces with sequence_id, offset and the sequence's fill; groups are numbered from ``base``."""
+    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_salt", F.lit(base)), F.lit(groups)) + F.lit(base)
+    item = F.struct(F.col("length"), "doc_id", "piece", "start", "ids_crc32", "_salt")
+    dealt = cut.groupBy(key.alias("group")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    dealt = stored(dealt, "packing-groups")
+    small = F.filter("items", lambda x: x["length"] < capacity)
+    problems = dealt.select("group", F.transform(small, lambda x: x["length"].cast("int")).alias("sizes"))
+    solved = _islands(problems.filter(F.size("sizes") > 0), capacity, islands, rounds)
+    joined = dealt.join(solved, "group", "left").select(
+        "group", "items", F.transform("items", lambda x: x["length"]).alias("lengths"), "place"
+    )
+    kind = "items array<struct<length:bigint,doc_id:bigint,piece:int,start:bigint,ids_crc32:bigint,_salt:bigint>>"
+    placed = joined.mapInArrow(_place, f"{kind}, sequence_id array<bigint>, offset array<bigint>, fill array<bigint>")
+    rows = placed.select(F.explode(F.arrays_zip("items", "sequence_id", "offset", "fill")).alias("z"))
+    return rows.select("z.items.*", "z.sequence_id", "z.offset", "z.fill")
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -231,49 +276,34 @@ def pack(
     rounds: int = ROUNDS,
     model: str | None = None,
     ranks: str | None = None,
+    group_tokens: int = GROUP_TOKENS,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is empty and packs as its closing id 0 alone.  Null and repeated ids and repeated rows give pieces of
     their own; other columns are ignored; an empty table gives no rows.  Groups are drawn from a hash with a salt, so
-    equal rows spread; their number follows the number of pieces.
+    equal rows spread; a group has about ``group_items`` pieces and ``group_tokens`` tokens at least, if there are so many.
     """
     cut = stored(tokenized(docs, id_col, text_col, capacity, model, ranks), "pieces")
-    groups = max(1, -(-cut.count() // group_items))
-    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_salt"), F.lit(groups))
-    item = F.struct(F.col("length"), "doc_id", "piece", "start", "ids_crc32")
-    dealt = cut.groupBy(key.alias("group")).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    dealt = stored(dealt, "packing-groups")
-    small = F.filter("items", lambda x: x["length"] < capacity)
-    problems = dealt.select("group", F.transform(small, lambda x: x["length"].cast("int")).alias("sizes"))
-    solved = _islands(problems.filter(F.size("sizes") > 0), capacity, islands, rounds)
-    joined = dealt.join(solved, "group", "left").select(
-        "group", "items", F.transform("items", lambda x: x["length"]).alias("lengths"), "place"
-    )
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sequences, offsets = [], []
-            for group, lengths, raw in zip(*(batch.column(n).to_pylist() for n in ("group", "lengths", "place"))):
-                n = len(lengths)
-                bins = np.frombuffer(raw, "<i4").astype(np.int64) if raw else np.zeros(0, np.int64)
-                used = int(bins.max(initial=-1)) + 1
-                bins = np.concatenate([bins, used + np.arange(n - len(bins))])  # whole pieces sort last
-                filled = [0] * (int(bins.max(initial=-1)) + 1)
-                at = []
-                for k, length in zip(bins.tolist(), lengths):
-                    at.append(filled[k])
-                    filled[k] += length
-                sequences.append(((group << 24) + bins).tolist())
-                offsets.append(at)
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("items"), pa.array(sequences, kind), pa.array(offsets, kind)], names=["items", "sequence_id", "offset"]
-            )
-
-    kind = "items array<struct<length:bigint,doc_id:bigint,piece:int,start:bigint,ids_crc32:bigint>>"
-    placed = joined.mapInArrow(place, f"{kind}, sequence_id array<bigint>, offset array<bigint>")
-    rows = placed.select(F.explode(F.arrays_zip("items", "sequence_id", "offset")).alias("z"))
-    return rows.select(
-        "z.items.doc_id", "z.items.piece", "z.items.start", "z.items.length", "z.items.ids_crc32", "z.sequence_id", "z.offset"
-    )
+    done: list[DataFrame] = []
+    base, before, last = 0, 0, None
+    while True:
+        n, tokens = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        groups = max(1, min(-(-n // group_items), -(-tokens // group_tokens)))
+        placed = stored(_packed(cut, groups, base, capacity, islands, rounds), "packed")
+        base += groups
+        is_open = F.col("fill") < capacity - capacity // OPEN
+        made, left = placed.filter("offset = 0").agg(F.count(F.lit(1)), F.count_if(is_open)).first()
+        if last is not None and made > before:  # the former places were better
+            done.append(last)
+            break
+        if groups == 1 or not left or (last is not None and before - made < before / GAIN):
+            done.append(placed)
+            break
+        done.append(placed.filter(~is_open))
+        last, before = placed.filter(is_open), left
+        cut = last.drop("sequence_id", "offset", "fill")
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.union(more)
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from contourlake.llm import packing, quality, sharding, simhash, tokens, toxicity
 
@@ -115,6 +116,17 @@ def test_pieces_ids_and_places(spark, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"group_items": 1, "group_tokens": 6000}])
+def test_short_pieces_leave_one_open_sequence(spark, options):
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    rows = packing.pack(docs, **options).collect()
+    used = Counter()
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert len(rows) == 12_000 and max(used.values()) <= packing.CAPACITY
+    assert len(used) == -(-sum(used.values()) // packing.CAPACITY)
+
+
 def test_pieces_of_long_documents():
     assert packing.spans(2048) == [(0, 2048)] and packing.spans(2049) == [(0, 1), (1, 2048)] and packing.spans(4096) == [(0, 2048), (2048, 2048)]
 
