@@ -10,7 +10,7 @@ of the examples turns the vote into a probability.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -129,28 +129,46 @@ class BlockMaxIndex:
     #: What terms of least weight may add to every bound together instead of being looked up by block.
     SLACK = 0.02
 
-    def __init__(self, vectors: list[dict[int, float] | Vector], block: int = BLOCK):
-        rows = [_vector(v) for v in vectors]
-        lead = np.array([int(t[np.argmax(w)]) if len(t) else -1 for t, w in rows], np.int64)
-        self.order = np.argsort(lead, kind="stable")
-        self.block, self.size, self.blocks = block, len(rows), -(-len(rows) // block)
-        laid = [rows[i] for i in self.order.tolist()]
-        self.start = np.r_[0, np.cumsum([len(t) for t, _ in laid])].astype(np.int64)
-        self.term = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in laid)])
-        self.weight = np.concatenate([np.zeros(0), *(w for _, w in laid)])
+    def __init__(self, vectors: Iterable[dict[int, float] | Vector], block: int = BLOCK):
+        """``vectors`` is read twice, so that they need not all be held beside the index."""
+        shape = [(int(t[np.argmax(w)]) if len(t) else -1, len(t)) for t, w in map(_vector, vectors)]
+        self.order = np.argsort(np.array([s[0] for s in shape], np.int64), kind="stable")
+        self.block, self.size, self.blocks = block, len(shape), -(-len(shape) // block)
+        sizes = np.array([s[1] for s in shape], np.int64)
+        self.start = np.r_[0, np.cumsum(sizes[self.order])].astype(np.int64)
+        self.term, self.weight = np.zeros(self.start[-1], np.int32), np.zeros(self.start[-1])
+        place = np.argsort(self.order)
+        for i, (t, w) in enumerate(map(_vector, vectors)):
+            a, b = self.start[place[i]], self.start[place[i] + 1]
+            self.term[a:b], self.weight[a:b] = t, w
         self.width = int(self.term.max(initial=-1)) + 1
-        own = np.repeat(np.arange(self.size) // block, np.diff(self.start))
-        key = self.term.astype(np.int64) * max(1, self.blocks) + own
-        by = np.argsort(key, kind="stable")
-        key = key[by]
-        first = np.flatnonzero(np.r_[True, np.diff(key) > 0]) if len(key) else np.zeros(0, np.int64)
-        self.maxima = np.maximum.reduceat(self.weight[by], first) if len(key) else np.zeros(0)
-        self.inside = (key[first] % max(1, self.blocks)).astype(np.int32)
-        self.at = np.searchsorted(key[first] // max(1, self.blocks), np.arange(self.width + 1))
-        self.largest = np.zeros(self.width)
-        np.maximum.at(self.largest, self.term, self.weight)
         self.query: np.ndarray | None = None
 
+    def _prepare(self) -> None:
+        """Maxima by term and block: made where they are used, not sent; rounded up where they are shortened."""
+        terms, blocks, largest = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        for low in range(0, self.blocks, 64):
+            places = np.arange(low * self.block, min((low + 64) * self.block, self.size))
+            a, b = self.start[places[0]], self.start[places[-1] + 1]
+            own = np.repeat(places // self.block - low, np.diff(self.start[places[0] : places[-1] + 2]))
+            key = self.term[a:b].astype(np.int64) * 64 + own
+            by = np.argsort(key, kind="stable")
+            key = key[by]
+            if not len(key):
+                continue
+            first = np.flatnonzero(np.r_[True, np.diff(key) > 0])
+            terms.append((key[first] // 64).astype(np.int32))
+            blocks.append((key[first] % 64 + low).astype(np.int32))
+            most = np.maximum.reduceat(self.weight[a:b][by], first)
+            largest.append(np.nextafter(most.astype(np.float32), np.float32(np.inf)))
+        term = np.concatenate(terms)
+        by = np.argsort(term, kind="stable")
+        self.at = np.searchsorted(term[by], np.arange(self.width + 1))
+        self.inside, self.maxima = np.concatenate(blocks)[by], np.concatenate(largest)[by]
+        self.largest = np.zeros(self.width)
+        np.maximum.at(self.largest, term[by], self.maxima.astype(np.float64))
+        self.query = np.zeros(self.width)
+
     def _scores(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of all examples of some blocks."""
         places = _ranges(blocks * self.block, np.minimum((blocks + 1) * self.block, self.size))
@@ -161,6 +179,8 @@ class BlockMaxIndex:
 
     def nearest(self, query: dict[int, float] | Vector, k: int) -> list[Hit]:
         """The k largest cosines above 0 and all that tie with the k-th, exactly: a block is scored unless its bound is lower."""
+        if self.query is None:
+            self._prepare()
         t, w = _vector(query)
         t, w = t[t < self.width], w[t < self.width]
         most = w * self.largest[t]
@@ -172,10 +192,8 @@ class BlockMaxIndex:
         size = self.at[t[heavy] + 1] - self.at[t[heavy]]
         entries = _ranges(self.at[t[heavy]], self.at[t[heavy] + 1])
         bound = np.bincount(self.inside[entries], np.repeat(w[heavy], size) * self.maxima[entries], minlength=self.blocks)
-        bound += most[by[:light]].sum()
+        bound = bound + most[by[:light]].sum()
         ranked = np.argsort(-bound, kind="stable")
-        if self.query is None:
-            self.query = np.zeros(self.width)
         self.query[t] = w
         places, scores, floor, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 2
         while done < len(ranked):
@@ -230,6 +248,17 @@ def _key(ids: np.ndarray, counts: np.ndarray) -> bytes:
     return blake2b(ids.tobytes() + counts.tobytes(), digest_size=16).digest()
 
 
+@dataclass
+class _Each:
+    """A function of each row, as often as it is read."""
+
+    fn: Callable[..., Vector]
+    rows: list[tuple[np.ndarray, np.ndarray]]
+
+    def __iter__(self) -> Iterator[Vector]:
+        return (self.fn(*row) for row in self.rows)
+
+
 class NearestVote:
     """Examples (id, term numbers, counts, toxic) merged by equal vectors, their index, and the vote."""
 
@@ -255,7 +284,7 @@ class NearestVote:
         firsts.pop(nothing, None)
         self.groups = list(merged.values())
         self.number = {key: i for i, key in enumerate(merged)}
-        self.index = BlockMaxIndex([self.vector(*firsts[key]) for key in merged])
+        self.index = BlockMaxIndex(_Each(self.vector, [firsts[key] for key in merged]))
 
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> Vector:
         """Unit vector of (1 + log tf) * idf * strength."""

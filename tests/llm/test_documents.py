@@ -238,6 +238,8 @@ def test_nearest_equals_a_scan():
         got = index.nearest(q, 10)
         assert {h.example for h in got} == {i for i, c in enumerate(cosines) if c > 0 and c >= floor - 1e-9}
     assert toxicity.BlockMaxIndex([]).nearest({1: 1.0}, 3) == []
+    light = toxicity.BlockMaxIndex([{1: 0.01, 2: 0.99}, {2: 1.0}]).nearest({1: 1.0}, 3)  # all terms within the slack
+    assert [h.example for h in light] == [0]
 
 
 def test_isotonic_is_monotone():
