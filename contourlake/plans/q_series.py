@@ -380,3 +380,25 @@ def _(t):
     )
 
 
+@query(
+    "J11_effective_contour_all",
+    """SELECT call_id, frame_idx, round(time, 6) AS time, round(frequency, 6) + 0e0 AS frequency, source FROM (
+   SELECT g.call_id, g.frame_idx, g.time, CASE WHEN f.call_id IS NULL THEN g.frequency WHEN g.time > f.t1 THEN 0e0 ELSE coalesce(c.frequency, 0e0) END AS frequency,
+     CASE WHEN f.call_id IS NULL THEN g.source ELSE 'corrected' END AS source
+   FROM (SELECT call_id, frame_idx, time, frequency, 'extracted' AS source FROM ext
+     UNION ALL SELECT call_id, frame_idx, time, frequency, 'corrected' FROM cor WHERE call_id NOT IN (SELECT call_id FROM ext)
+     UNION ALL SELECT call_id, CAST(range AS INT), range * 1.6e-2, 0e0, 'blank' FROM
+       (SELECT -1 - call_id AS call_id, count(*) AS n FROM sample GROUP BY 1), range(100000) WHERE call_id NOT IN (SELECT call_id FROM ext) AND call_id NOT IN (SELECT call_id FROM cor)
+        AND range < ceil(n / 1e3 / 1.6e-2 - 1e-9)) g
+   LEFT JOIN (SELECT call_id, max(time) AS t1 FROM cor GROUP BY 1) f ON f.call_id = g.call_id
+   LEFT JOIN cor c ON c.call_id = g.call_id AND c.frame_idx = g.frame_idx)""",
+    ext="SELECT * FROM contour WHERE call_id % 3 <> 1",
+    cor="SELECT * FROM contour_ref WHERE call_id % 3 <> 0",
+)
+def _(t):
+    """Every call is in a group: by id, a third is extracted only, a third corrected only, a third both; waveforms have none."""
+    wf = t.waveform.withColumn("call_id", -1 - F.col("call_id"))
+    out = L.effective_contour(t.contour.filter("call_id % 3 <> 1"), t.contour_ref.filter("call_id % 3 <> 0"), wf, 1.6e-2)
+    return out.select(
+        "call_id", "frame_idx", r6("time").alias("time"), r6("frequency").alias("frequency"), "source"
+    )
