@@ -24,7 +24,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DAMPING = 0.85
-ITERATIONS = 40
+ITERATIONS = 200
 TOLERANCE = 1e-7
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 
@@ -81,7 +81,9 @@ def propagate(
 
     trust = (1 - damping) * seed + damping * (what links bring, and what hosts without links would lose, back to the
     seeds); distrust is the same over reversed links.  Each sums to 1 over all hosts if it has any seed, else it is 0.
-    Ends when a round changes scores by less than ``tolerance`` in sum.  Each round is written to the shared folder.
+    Ends when a round changes scores by less than ``tolerance`` in sum; the change shrinks by ``damping`` a round, so the
+    default takes some 110 rounds at most, and a run that needs more than ``iterations`` is an error.  Each round is
+    written to the shared folder.
     """
     ways = [
         links.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "n"),
@@ -116,6 +118,8 @@ def propagate(
         now = stored(moved.select("kind", "host", "seed", new.alias("score"), "ends", F.abs(new - F.col("score")).alias("change")), "trust")
         if (now.agg(F.sum("change")).first()[0] or 0.0) < tolerance:
             break
+    else:
+        raise RuntimeError(f"propagation has not settled to {tolerance} in {iterations} rounds")
     pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
     return now.groupBy("host").agg(pick("trust").alias("trust"), pick("distrust").alias("distrust"))
 

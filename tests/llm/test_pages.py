@@ -62,6 +62,14 @@ def test_propagation_equals_power_iteration(spark):
     assert all(r.trust == pytest.approx(trust[h], abs=1e-9) and r.distrust == pytest.approx(distrust[h], abs=1e-9) for h, r in got.items())
 
 
+def test_propagation_settles_or_fails(spark):
+    assert 4 * U.DAMPING**U.ITERATIONS < U.TOLERANCE  # two scores, each of which changes by at most 2 in the first round
+    links = [(f"h{i}", f"h{i + 1}", 1) for i in range(6)]
+    seeds = spark.createDataFrame([("h0", 1.0, 0.0), ("h6", 0.0, 1.0)], "host string, good double, bad double")
+    with pytest.raises(RuntimeError):
+        U.propagate(seeds, spark.createDataFrame(links, "src string, dst string, n long"), iterations=3)
+
+
 def test_verdicts_follow_links(spark):
     rows = [
         (1, "http://a.com/x", page("http://b.org/", "//c.org/z", "/self", "mailto:x@y", "http://a.com/2")),
