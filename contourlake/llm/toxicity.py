@@ -9,9 +9,11 @@ of the examples turns the vote into a probability.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from hashlib import blake2b
 
 import numpy as np
@@ -65,6 +67,12 @@ class Vocabulary:
         self.row: dict[bytes, int] = {}
         self.table = np.zeros((1024, 3), np.int64)
 
+    def __getstate__(self) -> bytes:
+        return zlib.compress(b" ".join(self.number), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__init__(zlib.decompress(state).split())
+
     def count(self, text: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
         """Numbers (ascending) and counts of the known terms, and whether the text has no word at all."""
         words = text.translate(_WORD).split()
@@ -284,7 +292,26 @@ class NearestVote:
         firsts.pop(nothing, None)
         self.groups = list(merged.values())
         self.number = {key: i for i, key in enumerate(merged)}
-        self.index = BlockMaxIndex(_Each(self.vector, [firsts[key] for key in merged]))
+        rows = list(firsts.values())
+        self.start = np.r_[0, np.cumsum([len(r[0]) for r in rows])].astype(np.int64)
+        self.ids = np.concatenate([np.zeros(0, np.int32), *(r[0] for r in rows)])
+        self.counts = np.concatenate([np.zeros(0, np.int32), *(r[1] for r in rows)])
+
+    def __getstate__(self) -> dict:
+        """What is sent holds term numbers and counts, compressed; the index is built where it is used."""
+        state = {k: v for k, v in self.__dict__.items() if k != "index"}
+        steps = np.diff(self.ids, prepend=np.int32(0)).astype(np.int32)
+        return state | {"ids": zlib.compress(steps.tobytes(), 1), "counts": zlib.compress(self.counts.tobytes(), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.ids = np.cumsum(np.frombuffer(zlib.decompress(state["ids"]), np.int32), dtype=np.int32)
+        self.counts = np.frombuffer(zlib.decompress(state["counts"]), np.int32)
+
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        cuts = list(zip(self.start[:-1].tolist(), self.start[1:].tolist()))
+        return BlockMaxIndex(_Each(self.vector, [(self.ids[a:b], self.counts[a:b]) for a, b in cuts]))
 
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> Vector:
         """Unit vector of (1 + log tf) * idf * strength."""
