@@ -9,8 +9,8 @@ segment and its one-deletion neighbourhood.  A set meets smaller ones in its own
 Cost-based allocation: capacity beyond H + 1 is given up where it costs most.  Empty segments are left out first, then,
 when it is known how many other sets hold a signature, the most frequent ones.
 
-No signature's pairs are listed.  First all holders of a signature are compared with one of them (the same one for most
-signatures of a group), and what that links is merged.  Then only sets of different components are compared, each with
+No signature's pairs are listed.  Every signature names one of its holders (the same one for most signatures of a
+group); a set is first compared with the nearest of those that its signatures name, and what that links is merged.  Then only sets of different components are compared, each with
 those of larger components.  Compared pairs pass a necessary test on parity sketches (every differing shingle turns one
 bit) and are verified on the words themselves.
 """
@@ -24,7 +24,6 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,25 +71,36 @@ def layout(band: int, threshold: int = THRESHOLD) -> tuple[int, int]:
     return most + 1, min(most + 1, 2 + most // 32) if most else 0
 
 
-class Shingles:
-    """Hashes of a text's distinct shingles; hashes of words are kept."""
+_BASE = 0x9E3779B97F4A7C15 | 1
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    KEPT = 400_000
 
-    def __init__(self, shingle: int = SHINGLE):
-        self.shingle, self.known = shingle, {}
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the base modulo 2^64, and of its inverse."""
+    if len(_powers[0]) <= n:
+        size = 1 << n.bit_length()
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[i] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, base, np.uint64))])
+    return _powers[0], _powers[1]
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.translate(_LOWER).split()
-        if len(words) < self.shingle:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))] if words else [], np.uint64)
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-        for w in set(words).difference(self.known):
-            self.known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        n = len(words) - self.shingle + 1
-        return np.unique(_mix(reduce(add, (h[i : i + n] * _mix(_ODD[:1] + np.uint64(i)) for i in range(self.shingle)))))
+
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, step: int = 200_000) -> np.ndarray:
+    """Different hashes of a text's shingles, ascending: polynomials of their bytes as differences of prefix sums."""
+    words = text.translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    out = []
+    for low in range(0, max(1, len(words) - shingle + 1), step):  # stretches of words, which overlap by a shingle
+        joined = np.frombuffer(b" ".join(words[low : low + step + shingle - 1]), np.uint8)
+        up, down = _power(len(joined))
+        prefix = np.zeros(len(joined) + 1, np.uint64)
+        np.cumsum((joined + np.uint64(1)) * up[: len(joined)], out=prefix[1:])
+        blank = np.flatnonzero(joined == 32)
+        starts, ends = np.concatenate([[0], blank + 1]), np.concatenate([blank, [len(joined)]])
+        k = min(shingle, len(starts))
+        starts, ends = starts[: len(starts) - k + 1], ends[k - 1 :]
+        out.append(_mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD[1]))
+    return np.unique(np.concatenate(out))
 
 
 def _segments(h: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -153,13 +163,12 @@ def prints(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD)
     """Per row of ``docs`` (doc_id, text, t1, t2): size, digest and sketch of its set, and its signatures with tags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(shingle)
         for part in pieces(batches, "text", 4 << 20):
             cells: list[list] = [[] for _ in range(4)]
             sketches = np.zeros((part.num_rows, SKETCH), np.int64)
             keys, tags = [], []
             for row, text in enumerate(text_list(part.column("text"))):
-                h = shingles(text)
+                h = shingle_hashes(text, shingle)
                 digest = np.frombuffer(blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
                 key, tag, spare = signatures(h, threshold) if len(h) else (np.zeros(0, np.int64), np.zeros(0, np.int8), 0)
                 for cell, value in zip(cells, (len(h), int(digest[0]), int(digest[1]), spare)):
@@ -190,7 +199,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     turned = reduce(add, (F.bit_count(F.col(f"u_s{i}").bitwiseXOR(F.col(f"v_s{i}"))) for i in range(SKETCH)))
     limit = (100 - threshold) * (F.col("u_n") + F.col("v_n"))
     near = ((100 + threshold) * turned <= limit) & (100 * F.least("u_n", "v_n") >= threshold * F.greatest("u_n", "v_n"))
-    return both.filter(near).select("u", "v")
+    return both.filter(near).select("u", "v", turned.alias("turned"))
 
 
 def word_shingles(text: bytes, shingle: int = SHINGLE) -> set[bytes]:
@@ -206,7 +215,7 @@ def word_shingles(text: bytes, shingle: int = SHINGLE) -> set[bytes]:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """The pairs (u, v) of nodes whose sets of shingles, made from the texts, are similar."""
-    pairs = stored(pairs, "pairs")
+    pairs = stored(pairs.select("u", "v"), "pairs")
     named = nodes.select("node", "t1", "t2")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     needed = stored(ends.join(named, "node"), "needed")
@@ -242,7 +251,8 @@ def classes(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, threshold
     seen = entries.select("*", F.count(F.lit(1)).over(by_key).alias("holders"), F.max(F.col("tag").bitwiseAND(F.lit(PROBE))).over(by_key).alias("probed"), drawn.alias("star"))
     shared = stored(seen.filter("holders > 1 and probed = 1").select("key", "node", "tag", "star"), "shared")
     pairs = shared.filter("node <> star").select(F.col("node").alias("u"), F.col("star").alias("v")).distinct()
-    first = stored(components(_verified(_possible(pairs, nodes, threshold), nodes, docs, shingle, threshold)), "first")
+    nearest = _possible(pairs, nodes, threshold).groupBy("u").agg(F.min(F.struct("turned", "v")).alias("to")).select("u", "to.v")
+    first = stored(components(_verified(nearest, nodes, docs, shingle, threshold)), "first")
 
     # within a band a set seeks members of later components, so that the large ones never seek; from the band below it
     # seeks all others, as its signatures there are no more than it needs

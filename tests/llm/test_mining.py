@@ -62,7 +62,7 @@ def brute_collocations(rows, min_count, max_words, keep, cover):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("min_count", "max_words", "keep", "cover", "block"), [(10, 3, 2000, 50, 16 << 20), (3, 5, 2000, 50, 700), (2, 4, 30, 80, 2000)])
+@pytest.mark.parametrize(("min_count", "max_words", "keep", "cover", "block"), [(10, 3, 2000, 50, 16 << 20), (3, 4, 30, 80, 20_000)])
 def test_collocations(docs, rows, min_count, max_words, keep, cover, block):
     got = collocations.collocations(docs, min_count=min_count, max_words=max_words, keep=keep, cover=cover, block_bytes=block)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -106,7 +106,7 @@ def brute_search(docs, items, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("shard", "query_bytes", "k"), [(32 << 20, 16 << 20, 50), (2500, 200, 50), (4000, 500, 3)])
+@pytest.mark.parametrize(("shard", "query_bytes", "k"), [(32 << 20, 16 << 20, 50), (9000, 500, 3)])
 def test_search(spark, docs, rows, shard, query_bytes, k):
     rnd = random.Random(3)
     items = [("i0", None), ("i1", ""), ("i2", "w1 w1 W2"), ("i2", "w1 w1 W2"), (None, "w3"), ("i3", "zzz é"), ("i4", "é" * 40_000)]
@@ -192,8 +192,7 @@ def families():
     return rows
 
 
-@pytest.mark.parametrize("threshold", [85, 80])
-def test_jaccard(spark, families, threshold):
+def test_jaccard(spark, families, threshold=85):
     docs = spark.createDataFrame([(*r, 1, 2) for r in families], "doc_id long, text string, n long, node long").repartition(6)
     got = jaccard.jaccard_join(docs, threshold=threshold)
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
