@@ -6,7 +6,8 @@ group, and the semi-join with the frequent groups makes the next level's relatio
 
 A relation is persisted in blocks of about ``BLOCK_BYTES`` of text, each one row of group numbers in order of piece and
 position (-1: a gap, where a piece ends or an occurrence is not frequent).  Both sides of the merge join lie sorted in
-the same block, so it needs no shuffle; what is shuffled are a block's distinct groups with their counts.
+the same block; what is shuffled are a block's distinct groups with their counts, and the relation once a level to meet the
+block's frequent groups.  A level is deleted when the next one is written.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, text_list
+from ..session import scratch_table
+from .common import dropped, few, stored, text_list
 
 BLOCK_BYTES = 16 << 20
 MIN_COUNT, MAX_WORDS, KEEP, COVER = 10, 3, 2000, 50
@@ -29,7 +32,17 @@ SALTS = 64
 
 _FORM = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _FIRST = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("relation", pa.binary())])
-_NEXT = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64()), ("relation", pa.binary())])
+_LEVEL = pa.schema([("block", pa.int64()), ("relation", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("n", pa.binary())])
+#: Rows of frequent groups up to which they are broadcast for the semi-join; more are joined by shuffle.
+BROADCAST_ROWS = 300_000
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(numbers.tobytes())
+
+
+def _unpacked(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
 class _Codes(dict):
@@ -58,16 +71,6 @@ def _parts(text: bytes, size: int) -> Iterator[bytes]:
     yield text[start:]
 
 
-def _rows(schema: pa.Schema, block: int, relation: np.ndarray, columns: dict) -> pa.RecordBatch:
-    """A block's groups, one row each, and its relation in a last row."""
-    n = len(columns["n"])
-    end = {f.name: pa.nulls(1, f.type) for f in schema} | {"relation": pa.array([relation.astype(np.int32).tobytes()], pa.binary())}
-    own = {f.name: pa.nulls(n, f.type) for f in schema} | {"code": pa.array(np.arange(n, dtype=np.int32))} | columns
-    for part, size in ((own, n), (end, 1)):
-        part["block"] = pa.array(np.full(size, block, np.int64))
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([own[f.name].cast(f.type), end[f.name]]) for f in schema], schema=schema)
-
-
 def words(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The relation of level 1 over ``docs`` (lang, text), and its groups (lang, word) with their counts by block."""
 
@@ -84,7 +87,10 @@ def words(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             codes = codes[codes > 0] - 2
             n = np.bincount(codes[codes >= 0], minlength=len(found)).astype(np.int64)
             text = pa.array(found, pa.binary()).cast(pa.string())
-            return _rows(_FIRST, block, codes, {"lang": pa.array(langs, pa.string()), "word": text, "n": pa.array(n)})
+            size = len(found) + 1  # the block's words, one row each, and its relation in a last row
+            rows = [pa.array(np.full(size, block)), pa.array(np.arange(size, dtype=np.int32)), pa.array([*langs, None], pa.string())]
+            rows += [pa.concat_arrays([text, pa.nulls(1, pa.string())]), pa.array(np.r_[n, 0]), pa.array([None] * len(found) + [_packed(codes)], pa.binary())]
+            return pa.RecordBatch.from_arrays(rows, schema=_FIRST)
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), text_list(batch.column("text"))):
@@ -126,21 +132,34 @@ def extended(relation: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> tuple[
 
 
 def _next(relation: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The relation of the next level from one level's blocks and ``frequent`` (block, code, id)."""
+    """The relation of the next level and its groups, a row per block, from ``relation`` and ``frequent`` (block, code, id)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for block, raw in zip(left.column("block").to_pylist(), left.column("relation").to_pylist()):
             codes, ids = right.column("code").to_numpy(), right.column("id").to_numpy()
-            by = np.argsort(codes)
-            got = extended(np.frombuffer(raw, np.int32), codes[by], ids[by])
-            columns = {"left": pa.array(got[1], pa.int64()), "right": pa.array(got[2], pa.int64()), "n": pa.array(got[3].astype(np.int64))}
-            out.append(_rows(_NEXT, block, got[0], columns))
-        return pa.Table.from_batches(out, _NEXT)
+            by = np.argsort(ids)  # groups then come in order of the left name, so that its steps are small
+            got = extended(_unpacked(raw, np.int32), codes[by], ids[by])
+            cells = (got[0].astype(np.int32), np.diff(got[1], prepend=0), got[2], got[3].astype(np.int64))
+            out.append({"block": block} | dict(zip(("relation", "left", "right", "n"), map(_packed, cells))))
+        return pa.Table.from_pylist(out, _LEVEL)
+
+    asked = frequent.select(F.col("block").alias("at"), "code", "id")
+    schema = "block long, relation binary, left binary, right binary, n binary"
+    return relation.select("block", "relation").groupBy("block").cogroup(asked.groupBy("at")).applyInArrow(run, schema)
 
-    blocks = relation.filter("relation is not null").select("block", "relation")
-    schema = "block long, code int, left long, right long, n long, relation binary"
-    return blocks.groupBy("block").cogroup(frequent.select(F.col("block").alias("at"), "code", "id").groupBy("at")).applyInArrow(run, schema)
+
+def _groups(level: DataFrame) -> DataFrame:
+    """(block, code, left, right, n): the groups of a level, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *raw in zip(*(batch.column(c).to_pylist() for c in ("block", "left", "right", "n"))):
+                steps, right, n = (_unpacked(r, np.int64) for r in raw)
+                columns = [np.full(len(n), block), np.arange(len(n), dtype=np.int32), np.cumsum(steps), right, n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "code", "left", "right", "n"])
+
+    return level.select("block", "left", "right", "n").mapInArrow(run, "block long, code int, left long, right long, n long")
 
 
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, block_bytes: int = BLOCK_BYTES) -> tuple[list[DataFrame], DataFrame]:
@@ -150,29 +169,39 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min
     starts at its first, second, ... word), left and right (ids of the phrases without its last and first word).
     """
     narrow = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    relation = stored(words(narrow, block_bytes), "setm-1")
-    own = relation.filter("relation is null").select("block", "code", "lang", "word", "n")
+    spark = docs.sparkSession
+
+    def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = scratch_table(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    relation, path = kept(words(narrow, block_bytes), "setm-1")
+    own = relation.filter("word is not null").select("block", "code", "lang", "word", "n")
+    relation = relation.filter("relation is not null")
     counts = own.groupBy("lang", "word").agg(F.sum("n").alias("f"))
-    totals = own.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = stored(own.groupBy("lang").agg(F.sum("n").alias("n")), "setm-totals")
     table = counts.filter(F.col("f") >= min_count).select(
         F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
         F.array("f").alias("heads"), F.array("f").alias("tails"), F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"),
     )
     tables = [stored(table, "setm-frequent-1")]
     first = tables[0].select("id", "lang", F.col("phrase").alias("word"))
-    answer = own.join(first, ["lang", "word"]).select("block", "code", "id")
+    answer = own.join(few(first, BROADCAST_ROWS), ["lang", "word"]).select("block", "code", "id")
     for k in range(2, max_words + 1):
-        relation = stored(_next(relation, answer), f"setm-{k}")
-        own = relation.filter("relation is null").select("block", "code", "left", "right", "n")
-        summed = own.withColumn("f", F.sum("n").over(W.partitionBy("left", "right"))).filter(F.col("f") >= min_count)
-        summed = stored(summed.select("block", "code", "left", "right", "f"), f"setm-kept-{k}")
+        level, made = kept(_next(relation, answer), f"setm-{k}")
+        dropped(spark, path)  # the level before is not read again
+        own, relation, path = _groups(level), level, made
+        summed = stored(own.groupBy("left", "right").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count), f"setm-kept-{k}")
         head, tail = (tables[-1].select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("lang", "phrase", "last", "heads", "tails"))) for s in ("left", "right"))
-        table = summed.select("left", "right", "f").distinct().join(head, "left").join(tail, "right").select(
+        table = summed.join(head, "left").join(tail, "right").select(
             F.monotonically_increasing_id().alias("id"), F.col("left_lang").alias("lang"), F.concat_ws(" ", "left_phrase", "right_last").alias("phrase"), F.col("right_last").alias("last"), "f",
             F.concat("left_heads", F.array("f")).alias("heads"), F.concat(F.array("f"), "right_tails").alias("tails"), "left", "right",
         )
         tables.append(stored(table, f"setm-frequent-{k}"))
-        answer = summed.join(tables[-1].select("id", "left", "right"), ["left", "right"]).select("block", "code", "id")
+        names = tables[-1].select("id", "left", "right")
+        answer = own.join(few(names, BROADCAST_ROWS), ["left", "right"]).select("block", "code", "id")
+    dropped(spark, path)
     return tables, totals
 
 

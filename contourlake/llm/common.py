@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_table
 
@@ -23,6 +24,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def few(rows: DataFrame, limit: int) -> DataFrame:
+    """A table to be joined: broadcast if it has at most ``limit`` rows, else left to a join by shuffle."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column without copies: (data, offsets); a null is an empty text."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
