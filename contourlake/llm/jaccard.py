@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pieces, stored, text_list
+from .common import few, pieces, stored, text_list
 from .components import components
 
 SHINGLE, THRESHOLD = 4, 85
 #: Sizes of a band grow by this share (in fifths: 7/5), which is more than 100 / 85, so that links reach the next band only.
 GROWTH = (7, 5)
+#: Least size of a parity sketch in words of 64 bits.
 SKETCH = 8
 #: Rows up to which a list of names is broadcast (16 bytes each); longer lists are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -154,52 +155,65 @@ def signatures(h: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, n
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """Parity of the set in 64 * SKETCH places: sketches differ in no more bits than sets differ in shingles."""
-    odd = np.bincount((h >> np.uint64(7)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    """Parity of the set in a power of two of places, as many as it has shingles: sketches differ in no more bits than sets."""
+    places = 64 * max(SKETCH, 1 << max(0, len(h) - 1).bit_length() >> 6)
+    odd = np.bincount((h >> np.uint64(7)).astype(np.int64) % places, minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def turned(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bits in which sketches differ, pair by pair; the longer one of a pair is folded to the size of the other."""
+    sizes = np.array([(len(x) // 8, len(y) // 8) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(a), np.int64)
+    for i, j in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes == (i, j)).all(axis=1))
+        small = min(i, j)
+        sides = (np.frombuffer(b"".join([side[r] for r in at]), np.uint64).reshape(len(at), -1, small) for side in (a, b))
+        one, two = (np.bitwise_xor.reduce(side, axis=1) for side in sides)
+        out[at] = np.bitwise_count(one ^ two).sum(axis=1)
+    return out
+
+
 def prints(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, t1, t2): size, digest and sketch of its set, and its signatures with tags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text", 4 << 20):
             cells: list[list] = [[] for _ in range(4)]
-            sketches = np.zeros((part.num_rows, SKETCH), np.int64)
-            keys, tags = [], []
-            for row, text in enumerate(text_list(part.column("text"))):
+            sketches, keys, tags = [], [], []
+            for text in text_list(part.column("text")):
                 h = shingle_hashes(text, shingle)
                 digest = np.frombuffer(blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
                 key, tag, spare = signatures(h, threshold) if len(h) else (np.zeros(0, np.int64), np.zeros(0, np.int8), 0)
                 for cell, value in zip(cells, (len(h), int(digest[0]), int(digest[1]), spare)):
                     cell.append(value)
-                sketches[row] = sketch(h)
+                sketches.append(sketch(h).tobytes())
                 keys.append(key)
                 tags.append(tag)
             ends = pa.array(np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32))
-            columns = [part.column(c) for c in ("doc_id", "t1", "t2")] + [pa.array(c, pa.int64()) for c in cells] + [pa.array(c) for c in sketches.T]
+            columns = [part.column(c) for c in ("doc_id", "t1", "t2")] + [pa.array(c, pa.int64()) for c in cells] + [pa.array(sketches, pa.binary())]
             columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tags)))]
-            names = ["doc_id", "t1", "t2", "n", "d1", "d2", "spare", *(f"s{i}" for i in range(SKETCH)), "keys", "tags"]
+            names = ["doc_id", "t1", "t2", "n", "d1", "d2", "spare", "sketch", "keys", "tags"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kept = "doc_id long, t1 long, t2 long, n long, d1 long, d2 long, spare long, "
-    return docs.mapInArrow(run, kept + "".join(f"s{i} long, " for i in range(SKETCH)) + "keys array<long>, tags array<tinyint>")
+    return docs.mapInArrow(run, kept + "sketch binary, keys array<long>, tags array<tinyint>")
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """Names to be joined: broadcast if they are at most BROADCAST_ROWS, else left to a join by shuffle."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+def _possible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """(u, v, turned): the pairs of nodes that sizes and sketches allow."""
+    facts = nodes.select("node", "n", "sketch")
+    sides = [facts.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")) for side in "uv"]
+    both = pairs.join(sides[0], "u").join(sides[1], "v").filter(100 * F.least("u_n", "v_n") >= threshold * F.greatest("u_n", "v_n"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = turned(batch.column("u_sketch").to_pylist(), batch.column("v_sketch").to_pylist())
+            both = batch.column("u_n").to_numpy() + batch.column("v_n").to_numpy()
+            good = (100 + threshold) * bits <= (100 - threshold) * both
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(bits)], names=["u", "v", "turned"]).filter(pa.array(good, pa.bool_()))
 
-def _possible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (u, v) of nodes that sizes and sketches allow."""
-    facts = nodes.select("node", "n", *(f"s{i}" for i in range(SKETCH)))
-    sides = [facts.select(*(F.col(c).alias(f"{side}_{c}") for c in facts.columns)) for side in "uv"]
-    both = pairs.join(sides[0], F.col("u") == F.col("u_node")).join(sides[1], F.col("v") == F.col("v_node"))
-    turned = reduce(add, (F.bit_count(F.col(f"u_s{i}").bitwiseXOR(F.col(f"v_s{i}"))) for i in range(SKETCH)))
-    limit = (100 - threshold) * (F.col("u_n") + F.col("v_n"))
-    near = ((100 + threshold) * turned <= limit) & (100 * F.least("u_n", "v_n") >= threshold * F.greatest("u_n", "v_n"))
-    return both.filter(near).select("u", "v", turned.alias("turned"))
+    return both.select("u", "v", "u_n", "v_n", "u_sketch", "v_sketch").mapInArrow(run, "u long, v long, turned long")
 
 
 def word_shingles(text: bytes, shingle: int = SHINGLE) -> set[bytes]:
@@ -219,7 +233,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     named = nodes.select("node", "t1", "t2")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     needed = stored(ends.join(named, "node"), "needed")
-    texts = docs.select("t1", "t2", "text").join(_few(needed.select("t1", "t2")), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    texts = docs.select("t1", "t2", "text").join(few(needed.select("t1", "t2"), BROADCAST_ROWS), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
     texts = stored(texts.join(needed, ["t1", "t2"]).select("node", "text"), "texts")
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("a"))
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
@@ -294,7 +308,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = stored(sets, "sets")
     members = made.select("uid", "doc_id", "n", "d1", "d2")
     copies = stored(members.filter("n > 0").join(sets, ["d1", "d2"]).filter("uid <> node").select("uid"), "copies")
-    nodes = made.filter("n > 0").join(_few(copies), "uid", "left_anti").withColumnRenamed("uid", "node")
+    nodes = made.filter("n > 0").join(few(copies, BROADCAST_ROWS), "uid", "left_anti").withColumnRenamed("uid", "node")
     found = stored(classes(nodes, narrow, shingle, threshold), "classes")
     named = sets.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     low = named.groupBy("c").agg(F.min("low").alias("component_id"))
