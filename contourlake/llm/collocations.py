@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_table
 from .common import dropped, few, stored, text_list
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 MIN_COUNT, MAX_WORDS, KEEP, COVER = 10, 3, 2000, 50
 #: Groups in which a language's phrases are ranked first.
 SALTS = 64
