@@ -41,7 +41,7 @@ BROADCAST_ROWS = 2_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-PROBE, SPARE, NEXT = 1, 2, 4
+PROBE, SPARE, NEXT, MINUS = 1, 2, 4, 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,7 +115,8 @@ def _segments(h: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray,
 
 def signatures(h: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, int]:
     """(keys, tags, spare) of a set: PROBE marks keys by which it seeks others, SPARE those it may
-    give up, one unit each, and NEXT those in the band above its own."""
+    give up, one unit each, NEXT those in the band above its own, MINUS those of a segment without one shingle (two of which
+    need not meet)."""
     s = len(h)
     most = s * 100 // threshold
     own = int(np.searchsorted(bands(), s, side="right")) - 1
@@ -150,7 +151,7 @@ def signatures(h: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, n
             at = seg[inside].astype(np.int64)
             at, token = at[emit[at]], tokens[inside][emit[at]]
             keys.append(_mix(sums[at] - token + name[at]))
-            tags.append(np.where(probe[at], PROBE, 0) | (NEXT if band > own else 0))
+            tags.append(np.where(probe[at], PROBE, 0) | (NEXT if band > own else 0) | MINUS)
     return np.concatenate(keys).view(np.int64), np.concatenate(tags).astype(np.int8), spare
 
 
@@ -262,8 +263,8 @@ def classes(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, threshold
     by_key = W.partitionBy("key")
     entries = nodes.select("node", "tags", F.posexplode("keys").alias("at", "key")).select("key", "node", F.col("tags")[F.col("at")].cast("int").alias("tag"))
     drawn = F.min(F.struct(F.xxhash64("node").alias("h"), "node")).over(by_key)["node"]
-    seen = entries.select("*", F.count(F.lit(1)).over(by_key).alias("holders"), F.max(F.col("tag").bitwiseAND(F.lit(PROBE))).over(by_key).alias("probed"), drawn.alias("star"))
-    shared = stored(seen.filter("holders > 1 and probed = 1").select("key", "node", "tag", "star"), "shared")
+    seen = entries.select("*", F.count(F.lit(1)).over(by_key).alias("holders"), F.max(F.col("tag").bitwiseAND(F.lit(PROBE))).over(by_key).alias("probed"), F.min(F.col("tag").bitwiseAND(F.lit(MINUS))).over(by_key).alias("minus"), drawn.alias("star"))
+    shared = stored(seen.filter("holders > 1 and probed = 1 and minus = 0").select("key", "node", "tag", "star"), "shared")
     pairs = shared.filter("node <> star").select(F.col("node").alias("u"), F.col("star").alias("v")).distinct()
     nearest = _possible(pairs, nodes, threshold).groupBy("u").agg(F.min(F.struct("turned", "v")).alias("to")).select("u", "to.v")
     first = stored(components(_verified(nearest, nodes, docs, shingle, threshold)), "first")
@@ -281,10 +282,11 @@ def classes(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, threshold
     cost = own.withColumn("cost", upto - F.count(F.lit(1)).over(W.partitionBy("key", "place"))).filter(has(PROBE) & (F.col("cost") > 0))
     dearest = W.partitionBy("node", has(SPARE)).orderBy(F.desc("cost"), "key")
     ranked = cost.join(nodes.select("node", "spare"), "node").withColumn("rank", F.row_number().over(dearest))
-    seeking = ranked.filter(~has(SPARE) | (F.col("rank") > F.col("spare"))).select("key", "node", "place", F.lit(False).alias("above"))
-    above = mixed.filter(has(NEXT)).select("key", "node", "place", F.lit(True).alias("above"))
-    seek = seeking.union(above).select("key", F.col("node").alias("u"), F.col("place").alias("p"), "above")
-    met = seek.join(own.select("key", F.col("node").alias("v"), F.col("place").alias("q")), "key").filter("p < q or (above and p > q)")
+    seeking = ranked.filter(~has(SPARE) | (F.col("rank") > F.col("spare"))).select("key", "node", "place", has(MINUS).alias("less"), F.lit(False).alias("above"))
+    above = mixed.filter(has(NEXT)).select("key", "node", "place", has(MINUS).alias("less"), F.lit(True).alias("above"))
+    seek = seeking.union(above).select("key", F.col("node").alias("u"), F.col("place").alias("p"), "less", "above")
+    met = seek.join(own.select("key", F.col("node").alias("v"), F.col("place").alias("q"), has(MINUS).alias("without")), "key")
+    met = met.filter("(p < q or (above and p > q)) and not (less and without)")
     more = _possible(met.select("u", "v").distinct(), nodes, threshold)
     later = _verified(more, nodes, docs, shingle, threshold)
     return components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(later))
