@@ -129,96 +129,115 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Inverted index over unit vectors: per term the blocks of ``block`` examples that have it and its largest weight there.
-
-    Examples are laid out by their heaviest term, so that like ones share a block and bounds are close.
+    """Exact nearest unit vectors by bounds on blocks of ``block`` examples, for many queries at a time.
+
+    Terms that many examples have (a share of ``COMMON``) are columns: block maxima and the examples' weights are
+    matrices, so that bounds and scores of all queries are products of matrices.  All other terms have inverted lists.
+    A block's bound is the product with its maxima and the largest sum its lists give to one of its examples; a block is
+    scored for the queries whose k-th best score so far does not exceed its bound.  Like examples share a block: they
+    lie in order of the nearest of some drawn examples.  Bounds and first scores have single precision and a margin;
+    what remains is scored again in double precision.
     """
 
-    #: What terms of least weight may add to every bound together instead of being looked up by block.
-    SLACK = 0.02
+    COMMON, MARGIN, FIRST, BATCH = 1 / 16, 1e-4, 4, 128
 
     def __init__(self, vectors: Iterable[dict[int, float] | Vector], block: int = BLOCK):
-        """``vectors`` is read twice, so that they need not all be held beside the index."""
-        shape = [(int(t[np.argmax(w)]) if len(t) else -1, len(t)) for t, w in map(_vector, vectors)]
-        self.order = np.argsort(np.array([s[0] for s in shape], np.int64), kind="stable")
-        self.block, self.size, self.blocks = block, len(shape), -(-len(shape) // block)
-        sizes = np.array([s[1] for s in shape], np.int64)
-        self.start = np.r_[0, np.cumsum(sizes[self.order])].astype(np.int64)
-        self.term, self.weight = np.zeros(self.start[-1], np.int32), np.zeros(self.start[-1])
-        place = np.argsort(self.order)
-        for i, (t, w) in enumerate(map(_vector, vectors)):
-            a, b = self.start[place[i]], self.start[place[i] + 1]
-            self.term[a:b], self.weight[a:b] = t, w
-        self.width = int(self.term.max(initial=-1)) + 1
+        """``vectors`` is read several times, so that they need not all be held beside the index."""
+        self.vectors, self.block = vectors, block
+        terms = [_vector(v)[0] for v in vectors]
+        self.size = len(terms)
+        self.start = np.r_[0, np.cumsum([len(t) for t in terms])].astype(np.int64)
+        self.width = int(max((t.max(initial=-1) for t in terms), default=-1)) + 1
         self.query: np.ndarray | None = None
+        self.terms = np.concatenate([np.zeros(0, np.int32), *terms]).astype(np.int32)
 
     def _prepare(self) -> None:
-        """Maxima by term and block: made where they are used, not sent; rounded up where they are shortened."""
-        terms, blocks, largest = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
-        for low in range(0, self.blocks, 64):
-            places = np.arange(low * self.block, min((low + 64) * self.block, self.size))
-            a, b = self.start[places[0]], self.start[places[-1] + 1]
-            own = np.repeat(places // self.block - low, np.diff(self.start[places[0] : places[-1] + 2]))
-            key = self.term[a:b].astype(np.int64) * 64 + own
-            by = np.argsort(key, kind="stable")
-            key = key[by]
-            if not len(key):
-                continue
-            first = np.flatnonzero(np.r_[True, np.diff(key) > 0])
-            terms.append((key[first] // 64).astype(np.int32))
-            blocks.append((key[first] % 64 + low).astype(np.int32))
-            most = np.maximum.reduceat(self.weight[a:b][by], first)
-            largest.append(np.nextafter(most.astype(np.float32), np.float32(np.inf)))
-        term = np.concatenate(terms)
-        by = np.argsort(term, kind="stable")
-        self.at = np.searchsorted(term[by], np.arange(self.width + 1))
-        self.inside, self.maxima = np.concatenate(blocks)[by], np.concatenate(largest)[by]
-        self.largest = np.zeros(self.width)
-        np.maximum.at(self.largest, term[by], self.maxima.astype(np.float64))
+        """Matrices and lists: made where they are used, not sent."""
+        weights = np.concatenate([np.zeros(0), *(_vector(v)[1] for v in self.vectors)])
+        owner = np.repeat(np.arange(self.size), np.diff(self.start))
+        seen = np.bincount(self.terms, minlength=self.width)
+        common = np.flatnonzero(seen >= max(2, self.size * self.COMMON))
+        self.column = np.full(self.width, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        inside = self.column[self.terms] >= 0
+        dense = np.zeros((self.size, len(common)), np.float32)
+        dense[owner[inside], self.column[self.terms[inside]]] = weights[inside]
+        drawn = dense[:: max(1, self.size // 512)]
+        nearest = np.concatenate([np.argmax(dense[i : i + 1024] @ drawn.T, axis=1) for i in range(0, self.size, 1024)])
+        self.order = np.argsort(nearest, kind="stable")
+        place = np.argsort(self.order)
+        self.blocks = -(-self.size // self.block)
+        padded = np.zeros((self.blocks * self.block, len(common)), np.float32)
+        padded[: self.size] = dense[self.order]
+        self.dense = padded.reshape(self.blocks, self.block, len(common))
+        self.maxima = self.dense.max(axis=1)
+        rest = np.flatnonzero(~inside)
+        rest = rest[np.argsort(self.terms[rest], kind="stable")]
+        self.at = np.searchsorted(self.terms[rest], np.arange(self.width + 1))
+        self.places, self.parts = place[owner[rest]].astype(np.int32), weights[rest].astype(np.float32)
+        self.weights = weights
         self.query = np.zeros(self.width)
 
-    def _scores(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of all examples of some blocks."""
-        places = _ranges(blocks * self.block, np.minimum((blocks + 1) * self.block, self.size))
-        a, b = self.start[places], self.start[places + 1]
+    def _exact(self, t: np.ndarray, w: np.ndarray, examples: np.ndarray) -> np.ndarray:
+        """Cosines of some examples (numbers as given) in double precision."""
+        self.query[t] = w
+        a, b = self.start[examples], self.start[examples + 1]
         entries = _ranges(a, b)
-        part = self.query[self.term[entries]] * self.weight[entries]
-        return places, np.bincount(np.repeat(np.arange(len(places)), b - a), part, minlength=len(places))
-
-    def nearest(self, query: dict[int, float] | Vector, k: int) -> list[Hit]:
-        """The k largest cosines above 0 and all that tie with the k-th, exactly: a block is scored unless its bound is lower."""
+        out = np.bincount(np.repeat(np.arange(len(examples)), b - a), self.query[self.terms[entries]] * self.weights[entries], minlength=len(examples))
+        self.query[t] = 0.0
+        return np.round(out, 12)
+
+    def _batch(self, queries: list[Vector], k: int) -> list[list[Hit]]:
+        n, block = len(queries), self.block
+        own = np.zeros((n, self.dense.shape[2]), np.float32)
+        rare = np.zeros((n, self.blocks * block), np.float32)
+        for row, (t, w) in enumerate(queries):
+            column = self.column[t]
+            own[row, column[column >= 0]] = w[column >= 0]
+            t, w = t[column < 0], w[column < 0]
+            size = self.at[t + 1] - self.at[t]
+            entries = _ranges(self.at[t], self.at[t + 1])
+            rare[row] = np.bincount(self.places[entries], np.repeat(w, size) * self.parts[entries], minlength=rare.shape[1])
+        rare = rare.reshape(n, self.blocks, block)
+        bound = own @ self.maxima.T + rare.max(axis=2) + self.MARGIN
+        # a first floor from the blocks of the highest bounds
+        first = min(self.FIRST, self.blocks)
+        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        floor = np.zeros(n, np.float32)
+        for row in range(n):
+            scores = (self.dense[best[row]].reshape(first * block, -1) @ own[row]) + rare[row, best[row]].ravel()
+            if len(scores) >= k:
+                floor[row] = np.partition(scores, len(scores) - k)[len(scores) - k] - self.MARGIN
+        score = np.full((n, self.blocks, block), -1, np.float32)
+        open_ = bound >= floor[:, None]
+        for b in np.flatnonzero(open_.any(axis=0)):
+            rows = np.flatnonzero(open_[:, b])
+            score[rows, b] = own[rows] @ self.dense[b].T + rare[rows, b]
+        score = score.reshape(n, -1)[:, : self.size]
+        out = []
+        for row, (t, w) in enumerate(queries):
+            last = np.partition(score[row], self.size - k)[self.size - k] if self.size > k else 0.0
+            near = np.sort(self.order[np.flatnonzero(score[row] >= max(last - 2 * self.MARGIN, 0.0))])
+            exact = self._exact(t, w, near)
+            near, exact = near[exact > 0], exact[exact > 0]
+            if len(exact) > k:
+                keep = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
+                near, exact = near[keep], exact[keep]
+            by = np.lexsort((near, -exact))
+            out.append([Hit(s, i) for s, i in zip(exact[by].tolist(), near[by].tolist())])
+        return out
+
+    def nearest_of(self, queries: list[dict[int, float] | Vector], k: int) -> list[list[Hit]]:
+        """For each query the k largest cosines above 0 and all that tie with the k-th."""
+        if not self.size:
+            return [[] for _ in queries]
         if self.query is None:
             self._prepare()
-        t, w = _vector(query)
-        t, w = t[t < self.width], w[t < self.width]
-        most = w * self.largest[t]
-        by = np.argsort(most, kind="stable")
-        light = int(np.searchsorted(np.cumsum(most[by]), self.SLACK))
-        heavy = by[light:]
-        if not most.any():
-            return []
-        size = self.at[t[heavy] + 1] - self.at[t[heavy]]
-        entries = _ranges(self.at[t[heavy]], self.at[t[heavy] + 1])
-        bound = np.bincount(self.inside[entries], np.repeat(w[heavy], size) * self.maxima[entries], minlength=self.blocks)
-        bound = bound + most[by[:light]].sum()
-        ranked = np.argsort(-bound, kind="stable")
-        self.query[t] = w
-        places, scores, floor, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 2
-        while done < len(ranked):
-            now = ranked[done : done + step]
-            now = now[bound[now] >= floor - 1e-12]
-            if not len(now):
-                break
-            more, cosine = self._scores(now)
-            places, scores = np.r_[places, more], np.r_[scores, np.round(cosine, 12)]
-            good = scores > 0
-            places, scores = places[good], scores[good]
-            if len(scores) >= k:
-                floor = float(np.partition(scores, len(scores) - k)[len(scores) - k])
-                places, scores = places[scores >= floor], scores[scores >= floor]
-            done, step = done + step, step * 2
-        self.query[t] = 0.0
-        return sorted((Hit(s, i) for s, i in zip(scores.tolist(), self.order[places].tolist())), key=lambda h: (-h.similarity, h.example))
+        known = [(t[t < self.width], w[t < self.width]) for t, w in map(_vector, queries)]
+        return [hits for i in range(0, len(known), self.BATCH) for hits in self._batch(known[i : i + self.BATCH], k)]
+
+    def nearest(self, query: dict[int, float] | Vector, k: int) -> list[Hit]:
+        return self.nearest_of([query], k)[0]
 
 
 def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -319,16 +338,21 @@ class NearestVote:
         norm = float(np.sqrt((v * v).sum()))
         return ids, v / norm if norm else v
 
-    def raw(self, ids: np.ndarray, counts: np.ndarray, blank: bool, toxic: int | None = None) -> tuple[float, list[int]]:
-        """The weighted vote and the ids of the nearest examples; with ``toxic``, one example of this vector and label is out.
+    def raw(self, rows: list[tuple[np.ndarray, np.ndarray, bool]], toxic: list[int] | None = None) -> list[tuple[float, list[int]]]:
+        """Per row (term numbers, counts, no word at all) the weighted vote and the ids of the nearest examples.
 
-        A text without words (``blank``) is nearest to the examples without any; words that no example has give the prior.
+        With ``toxic``, one example of a row's vector and label is out.  A text without words is nearest to the examples
+        without any; words that no example has give the prior.
         """
+        asked = [i for i, (ids, _, blank) in enumerate(rows) if len(ids) and not blank]
+        found = dict(zip(asked, self.index.nearest_of([self.vector(*rows[i][:2]) for i in asked], self.k))) if asked else {}
+        return [self._vote(*row, found.get(i, []), toxic[i] if toxic is not None else None) for i, row in enumerate(rows)]
+
+    def _vote(self, ids: np.ndarray, counts: np.ndarray, blank: bool, hits: list[Hit], toxic: int | None) -> tuple[float, list[int]]:
         own = None
         if blank:
             voters, own = [(1.0, -1, self.blank)], -1
         else:
-            hits = self.index.nearest(self.vector(ids, counts), self.k) if len(ids) else []
             voters = [(h.similarity, h.example, self.groups[h.example]) for h in hits]
             own = self.number.get(_key(ids, counts)) if toxic is not None else None
         total, vote, out = 1.0, self.prior, []
@@ -359,7 +383,7 @@ def toxicity(
     """Per row of ``docs``: doc_id, held_out, score, predicted, evidence (ids of nearest labelled examples).
 
     Labels are learned from rows outside fold 0 only, at most ``train_rows`` of them (smallest id hash first), with all
-    their terms; every document is scored, and document frequencies count all of them.  A text without words (null and
+    their terms (one row per id: of several texts that of the smallest hash); every document is scored, and document frequencies count all of them.  A text without words (null and
     empty ones too) is nearest to the examples without any; one without a word of any example has no evidence and gets
     the labels' ratio, calibrated.  Null ids are in fold 0 and never examples; repeated rows give one row each; of
     several labels of an id the largest counts; other columns are ignored.  Without labels every score is 0; an empty
@@ -370,7 +394,10 @@ def toxicity(
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     drawn = stored(drawn.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), "labelled")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sample = stored(narrow.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic"), "examples")
+    labelled = narrow.join(F.broadcast(drawn), "doc_id").withColumn("name", F.struct(F.xxhash64("text"), F.crc32(F.col("text").cast("binary"))))
+    once = labelled.groupBy("doc_id").agg(F.min("name").alias("name"), F.first("toxic").alias("toxic"))
+    sample = labelled.select("doc_id", "text", "name").join(F.broadcast(once), ["doc_id", "name"]).dropDuplicates(["doc_id"])
+    sample = stored(sample.select("doc_id", "text", "toxic"), "examples")
     context = docs.sparkSession.sparkContext
     found = all_terms(sample)
     size = len(found)
@@ -412,7 +439,7 @@ def toxicity(
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text", 4 << 20):
             label = part.column("toxic").to_pylist()
-            votes = [model.value.raw(*words.value.count(x), toxic=y)[0] for x, y in zip(text_list(part.column("text")), label)]
+            votes = [v for v, _ in model.value.raw([words.value.count(x) for x in text_list(part.column("text"))], label)]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), part.column("toxic")], names=["raw", "toxic"])
 
     votes = sample.repartition(context.defaultParallelism).mapInArrow(left_out, "raw double, toxic int").toArrow()
@@ -423,19 +450,16 @@ def toxicity(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[float, list[int]]] = {}
         for part in pieces(batches, "text", 4 << 20):
-            scores, evidence = [], []
-            for text in text_list(part.column("text")):
-                ids, counts, blank = words.value.count(text)
-                key = _key(ids, counts) + bytes([blank])
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    raw, near = model.value.raw(ids, counts, blank)
-                    known[key] = calibrated(raw, knots, values), near
-                scores.append(known[key][0])
-                evidence.append(known[key][1])
+            rows = [words.value.count(text) for text in text_list(part.column("text"))]
+            names = [_key(ids, counts) + bytes([blank]) for ids, counts, blank in rows]
+            if len(known) > 50_000:
+                known.clear()
+            fresh = {name: row for name, row in zip(names, rows) if name not in known}
+            for name, (raw, near) in zip(fresh, model.value.raw(list(fresh.values()))):
+                known[name] = calibrated(raw, knots, values), near
+            scores, evidence = zip(*(known[name] for name in names))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))],
+                [part.column("doc_id"), pa.array(list(scores), pa.float64()), pa.array(list(evidence), pa.list_(pa.int64()))],
                 names=["doc_id", "score", "evidence"],
             )
 
