@@ -11,7 +11,8 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     """Suffix array of a sequence of symbols >= 1 in which every 0 ends a run.
 
     Suffixes compare up to their run's 0 and then by position, so no comparison passes a run's end: as many symbols
-    as fit 64 bits are compared at a time, and only suffixes that still tie are sorted again.
+    as fit 64 bits are compared first, then twice as many by the ranks of what follows, in as many rounds as the logarithm
+    of the longest repeat; only suffixes that still tie are sorted again.
     """
     n = len(text)
     bits = max(1, int(text.max(initial=0)).bit_length())
@@ -28,25 +29,23 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     depth = width
     sorted_key = key[order]
     group = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]) if n else np.zeros(0, bool)
-    # ties without a 0 among the compared symbols may still differ further on
+    # ties with a 0 among the compared symbols are settled by position; the others differ further on, and what follows
+    # them is ranked already: every round compares twice as many symbols
+    starts = np.flatnonzero(group)
+    open_ = np.repeat(np.diff(np.append(starts, n)) > 1, np.diff(np.append(starts, n))) & ((sorted_key & last) != 0)
+    group |= ~open_
+    rank = np.zeros(n + 1, np.int64)
     while True:
-        starts = np.flatnonzero(group)
-        sizes = np.diff(np.append(starts, n))
-        open_ = np.repeat((sizes > 1), sizes) & ((sorted_key & last) != 0)
-        at = np.flatnonzero(open_)
+        rank[order] = np.maximum.accumulate(np.where(group, np.arange(n), 0))
+        sizes = np.diff(np.append(np.flatnonzero(group), n))
+        at = np.flatnonzero(np.repeat(sizes > 1, sizes))
         if not len(at):
             return order
-        label = (np.cumsum(group) - 1)[at]
-        pos = order[at] + depth
-        pos = np.minimum(pos, n)
-        next_key = np.concatenate([key, np.zeros(1, np.uint64)])[pos]
-        again = np.lexsort((order[at], next_key, label))
-        order[at] = order[at][again]
-        next_key = next_key[again]
-        sorted_key[at] = next_key
-        new = np.concatenate([[True], (next_key[1:] != next_key[:-1]) | (label[1:] != label[:-1])])
-        group[at] |= new
-        depth += width
+        label, follows = rank[order[at]], rank[np.minimum(order[at] + depth, n)]
+        again = np.lexsort((order[at], follows, label))
+        order[at], follows = order[at][again], follows[again]
+        group[at] |= np.concatenate([[True], (follows[1:] != follows[:-1]) | (label[1:] != label[:-1])])
+        depth *= 2
 
 
 class Wavelet:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -158,3 +159,17 @@ def test_decontaminated_cuts_spans_and_keeps_rows(spark):
     assert out[1].text == "Zero, ) four" and out[1].n_chars == 12 and out[1].n_words == "k"
     assert out[2].text == "clean" and out[3].text is None and out[4].text.strip() == ""
     assert D.merge_spans([(3, 5), (0, 2), (2, 3), (7, 9)]) == [(0, 5), (7, 9)]
+
+
+def test_suffix_order_of_repeated_words():
+    """Long repeats are sorted in rounds of doubled length, not word by word."""
+    rnd = np.random.default_rng(1)
+    for _ in range(40):
+        text = rnd.integers(0, 3, rnd.integers(1, 60))
+        text[-1] = 0
+        ends = np.flatnonzero(text == 0)
+        stop = lambda i: ends[np.searchsorted(ends, i)]
+        assert suffix_order(text).tolist() == sorted(range(len(text)), key=lambda i: (text[i : stop(i) + 1].tolist(), i))
+    t0 = time.time()
+    order = suffix_order(np.r_[np.ones(400_000, np.int64), 0])
+    assert order.tolist() == list(range(400_000, -1, -1)) and time.time() - t0 < 20
