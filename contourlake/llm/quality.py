@@ -21,8 +21,8 @@ from .common import pieces
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MIN_SHARE = 0.5
-#: Bounds of the training sample: documents per label, bytes per document, lines per chain.
-TRAIN_DOCS, TRAIN_BYTES, TRAIN_LINES = 1500, 1 << 15, 64
+#: Bound of the training sample (documents per label), and lines of one of a document's chains.
+TRAIN_DOCS, TRAIN_LINES = 1500, 64
 FEATURES = 12
 
 _ENDS = frozenset(b".,;:!?\"')")
@@ -172,11 +172,11 @@ def fit(
     text_col: str = "text",
     id_col: str = "doc_id",
     per_label: int = TRAIN_DOCS,
-    max_bytes: int = TRAIN_BYTES,
 ) -> Crf:
-    """Train on at most ``per_label`` documents of each label (smallest id hash first), of at most ``max_bytes`` each.
+    """Train on at most ``per_label`` documents of each label (smallest id hash first).
 
-    A chain holds a document's first ``TRAIN_LINES`` lines.  These bounds concern training only.  Labels other than 0
+    Whole texts are used: a document gives one chain for every ``TRAIN_LINES`` lines.  Of several rows of a drawn id that
+    of the smallest text hash counts.  These bounds concern training only.  Labels other than 0
     and 1, null texts and labels without a document are left out.
     """
     known = labels.select(F.col("doc_id").alias("_label_id"), F.col("quality").alias("_quality")).filter("_quality in (0, 1)")
@@ -185,14 +185,14 @@ def fit(
         # the sample is drawn from ids alone; texts are read for the drawn ids only
         parts.append(known.filter(F.col("_quality") == value).orderBy(F.xxhash64("_label_id"), "_label_id").limit(per_label))
     drawn = parts[0].union(parts[1])
-    texts = docs.select(F.col(id_col).alias("_label_id"), F.col(text_col).alias("text")).filter(
-        F.octet_length("text") <= max_bytes
-    )
-    rows = texts.join(F.broadcast(drawn), "_label_id").select("_label_id", "text", "_quality")
+    texts = docs.select(F.col(id_col).alias("_label_id"), F.col(text_col).alias("text")).filter("text is not null")
+    named = texts.join(F.broadcast(drawn.dropDuplicates(["_label_id"])), "_label_id").withColumn("_name", F.struct(F.xxhash64("text"), F.octet_length("text")))
+    once = named.groupBy("_label_id").agg(F.min("_name").alias("_name"))
+    rows = named.join(F.broadcast(once), ["_label_id", "_name"]).dropDuplicates(["_label_id"]).select("_label_id", "text", "_quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            found = [line_features(t)[0][:TRAIN_LINES] for t in part.column("text").to_pylist()]
+            found = [line_features(t)[0] for t in part.column("text").to_pylist()]
             flat = [[float(v) for r in rows for v in r] for rows in found]
             yield pa.RecordBatch.from_arrays(
                 [part.column("_label_id"), part.column("_quality"), pa.array(flat, pa.list_(pa.float64()))],
@@ -201,7 +201,9 @@ def fit(
 
     sample = rows.mapInArrow(run, "id bigint, quality int, flat array<double>").filter(F.size("flat") > 0)
     taken = sorted(((r["id"], r["quality"], r["flat"]) for r in sample.collect()), key=lambda r: (r[0], r[2]))
-    return train([np.array(r[2]).reshape(-1, FEATURES) for r in taken], [r[1] for r in taken])
+    whole = [(np.array(r[2]).reshape(-1, FEATURES), r[1]) for r in taken]
+    chains = [(rows[i : i + TRAIN_LINES], label) for rows, label in whole for i in range(0, len(rows), TRAIN_LINES)]
+    return train([c for c, _ in chains], [label for _, label in chains])
 
 
 _COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
