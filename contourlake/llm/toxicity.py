@@ -153,8 +153,10 @@ class BlockMaxIndex:
 
     def _prepare(self) -> None:
         """Matrices and lists: made where they are used, not sent."""
-        weights = np.concatenate([np.zeros(0), *(_vector(v)[1] for v in self.vectors)])
-        owner = np.repeat(np.arange(self.size), np.diff(self.start))
+        weights = np.zeros(len(self.terms), np.float32)
+        for i, v in enumerate(self.vectors):
+            weights[self.start[i] : self.start[i + 1]] = _vector(v)[1]
+        owner = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.start))
         seen = np.bincount(self.terms, minlength=self.width)
         common = np.flatnonzero(seen >= max(2, self.size * self.COMMON))
         self.column = np.full(self.width, -1, np.int32)
@@ -169,21 +171,23 @@ class BlockMaxIndex:
         self.blocks = -(-self.size // self.block)
         padded = np.zeros((self.blocks * self.block, len(common)), np.float32)
         padded[: self.size] = dense[self.order]
+        del dense, drawn
         self.dense = padded.reshape(self.blocks, self.block, len(common))
         self.maxima = self.dense.max(axis=1)
         rest = np.flatnonzero(~inside)
         rest = rest[np.argsort(self.terms[rest], kind="stable")]
         self.at = np.searchsorted(self.terms[rest], np.arange(self.width + 1))
-        self.places, self.parts = place[owner[rest]].astype(np.int32), weights[rest].astype(np.float32)
-        self.weights = weights
+        self.places, self.parts = place[owner[rest]].astype(np.int32), weights[rest]
+        self.rows = list(self.vectors.rows) if isinstance(self.vectors, _Each) else [_vector(v) for v in self.vectors]
         self.query = np.zeros(self.width)
 
     def _exact(self, t: np.ndarray, w: np.ndarray, examples: np.ndarray) -> np.ndarray:
         """Cosines of some examples (numbers as given) in double precision."""
         self.query[t] = w
-        a, b = self.start[examples], self.start[examples + 1]
-        entries = _ranges(a, b)
-        out = np.bincount(np.repeat(np.arange(len(examples)), b - a), self.query[self.terms[entries]] * self.weights[entries], minlength=len(examples))
+        out = np.zeros(len(examples))
+        for i, row in enumerate(self.rows[e] for e in examples):
+            ids, weights = self.vectors.fn(*row) if isinstance(self.vectors, _Each) else row
+            out[i] = self.query[ids] @ weights
         self.query[t] = 0.0
         return np.round(out, 12)
 
