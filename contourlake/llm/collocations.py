@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import scratch_table
-from .common import dropped, few, stored, text_list
+from .common import dropped, stored, text_list
 
 BLOCK_BYTES = 8 << 20
 MIN_COUNT, MAX_WORDS, KEEP, COVER = 10, 3, 2000, 50
@@ -33,8 +33,6 @@ SALTS = 64
 _FORM = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _FIRST = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("relation", pa.binary())])
 _LEVEL = pa.schema([("block", pa.int64()), ("relation", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("n", pa.binary())])
-#: Rows of frequent groups up to which they are broadcast for the semi-join; more are joined by shuffle.
-BROADCAST_ROWS = 300_000
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -187,7 +185,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min
     )
     tables = [stored(table, "setm-frequent-1")]
     first = tables[0].select("id", "lang", F.col("phrase").alias("word"))
-    answer = own.join(few(first, BROADCAST_ROWS), ["lang", "word"]).select("block", "code", "id")
+    answer = own.join(first, ["lang", "word"]).select("block", "code", "id")
     for k in range(2, max_words + 1):
         level, made = kept(_next(relation, answer), f"setm-{k}")
         dropped(spark, path)  # the level before is not read again
@@ -200,7 +198,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min
         )
         tables.append(stored(table, f"setm-frequent-{k}"))
         names = tables[-1].select("id", "left", "right")
-        answer = own.join(few(names, BROADCAST_ROWS), ["left", "right"]).select("block", "code", "id")
+        answer = own.join(names, ["left", "right"]).select("block", "code", "id")
     dropped(spark, path)
     return tables, totals
 
