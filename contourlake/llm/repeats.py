@@ -2,10 +2,11 @@
 
 1. Rows are dealt to groups.  Every 50-byte string has an anchor, the position of the smallest hash among its 20-byte
    substrings; neighbouring strings with the same anchor form a run.  The anchor's hash is the run's key, so equal
-   strings meet under one key.  Groups tell buckets of keys how many documents hold each key; keys of one document end.
+   strings meet under one key.  Groups tell buckets of keys how many windows of which documents hold each key; keys of
+   one document end.  A group holds about ``GROUP_BYTES`` of text, so groups grow in number and not in size.
 2. Groups cut the runs of shared keys out as windows (a run and the 49 bytes after it), merged if equal, and deal them
-   by key.  A key that very many documents hold is dealt by its single 50-byte strings instead, of which each group
-   sends one row, so no key gathers more rows than there are groups.
+   by key.  A key of very many windows, whether of many documents or of few, is dealt by its single 50-byte strings
+   instead, of which each group sends one row, so no string gathers more rows than there are groups.
 3. Each bucket builds one suffix array (``suffixes``) over its distinct windows and reads off the classes of equal
    50-byte strings and each class's smallest document.
 4. Groups mark the bytes of strings whose class has a smaller document.
@@ -31,7 +32,10 @@ from .suffixes import suffix_array
 
 LENGTH = 50
 ANCHOR = 20
-HOT_DOCS = 20_000
+#: Windows of a key above which its strings are dealt one by one.
+HOT_WINDOWS = 20_000
+#: Text of one group.
+GROUP_BYTES = 16 << 20
 STEP = 6
 CHUNK_BYTES = 2 << 20
 NO_ID = (1 << 63) - 1
@@ -41,6 +45,8 @@ _BLOCK = 60_000
 _SIDE = "_g bigint, _kind int, _a binary, _b binary"
 _SIDE_SCHEMA = pa.schema([("_g", pa.int64()), ("_kind", pa.int32()), ("_a", pa.binary()), ("_b", pa.binary())])
 _KEYS, _COPIES, _CLASSES = 0, 1, 2
+#: Added to a number of windows that belong to more than one document of a group.
+_SEVERAL = 1 << 31
 
 
 def _words8(data: np.ndarray) -> np.ndarray:
@@ -137,7 +143,7 @@ def _runs_of(group: _Group, buckets: int) -> tuple[np.ndarray, ...]:
 
 
 def _report(buckets: int, text_col: str):
-    """Per group: every key and the number of its documents, one row per bucket."""
+    """Per group: every key, the number of its windows and whether several documents hold it, one row per bucket."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, side: pa.Table) -> pa.Table:
         group = _Group(docs, side, text_col)
@@ -147,19 +153,20 @@ def _report(buckets: int, text_col: str):
         new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
         other = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else new
         at = np.flatnonzero(new)
-        count = np.add.reduceat(other.astype(np.int64), at) if len(at) else at
+        several = np.add.reduceat(other.astype(np.int64), at) > 1 if len(at) else at
+        count = np.minimum(np.diff(np.append(at, len(k))), _SEVERAL - 1) + _SEVERAL * several
         # equal documents (same id and text) are one here; a key of one document stays unshared
         k = k[at]
         bucket = (k >> np.uint64(32)).astype(np.int64)
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-        rest, count = (k & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(count, 1 << 30).astype("<u4")
+        rest, count = (k & np.uint64(0xFFFFFFFF)).astype("<u4"), count.astype("<u4")
         parts = list(zip(cut.tolist(), [*cut[1:].tolist(), len(k)]))
         return pa.table(
             {
                 "_bucket": pa.array(bucket[cut], pa.int64()),
                 "_g": pa.array([key[0].as_py()] * len(parts), pa.int64()),
                 "keys": pa.array([rest[a:b].tobytes() for a, b in parts], pa.binary()),
-                "docs": pa.array([count[a:b].tobytes() for a, b in parts], pa.binary()),
+                "windows": pa.array([count[a:b].tobytes() for a, b in parts], pa.binary()),
             }
         )
 
@@ -171,15 +178,16 @@ def _shared(hot: int):
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         keys = [np.frombuffer(x, "<u4") for x in rows.column("keys").to_pylist()]
-        docs = [np.frombuffer(x, "<u4") for x in rows.column("docs").to_pylist()]
+        told = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("windows").to_pylist()])
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(docs), len(every))
+        several = np.bincount(inverse, 1 + (told >= _SEVERAL), len(every)) > 1
+        total = np.bincount(inverse, told % _SEVERAL, len(every))
         out, at = [], 0
         bucket = np.uint64(key[0].as_py()) << np.uint64(32)
         for g, own in zip(rows.column("_g").to_pylist(), keys):
-            n = total[inverse[at : at + len(own)]]
+            here = inverse[at : at + len(own)]
             at += len(own)
-            keep = n > 1
+            n, keep = total[here], several[here]
             if keep.any():
                 out.append((g, _KEYS, (bucket | own[keep].astype("<u8")).tobytes(), (n[keep] > hot).astype(np.uint8).tobytes()))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), _SIDE_SCHEMA)] if out else _SIDE_SCHEMA.empty_table().columns, schema=_SIDE_SCHEMA)
@@ -414,9 +422,11 @@ def _rewrite(names: list[str], text_col: str, length_col: str | None):
 def _plan(docs: DataFrame, id_col: str, text_col: str, groups: int | None, hot: int) -> tuple[DataFrame, DataFrame]:
     """The documents by group, and what steps 1 to 3 tell the groups."""
     spark = docs.sparkSession
-    groups = groups or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, spread = max(1, groups // 4), 4 * groups
     body = F.coalesce(F.col(text_col), F.lit(""))
+    if groups is None:
+        size = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
+        groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
+    buckets, spread = max(1, groups // 4), 4 * groups
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     dealt = docs.withColumns({"_doc": doc, "_rid": F.xxhash64(doc, body)}).withColumn("_g", F.pmod("_rid", F.lit(groups)).cast("long"))
     # whole copies: by digest, combined before the shuffle
@@ -427,19 +437,20 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, groups: int | None, hot:
     raw = F.unhex(F.lpad(F.hex("_rid"), 16, "0"))
     copies = later.select((F.col("_g") + F.lit(0)).alias("_g"), F.lit(_COPIES).alias("_kind"), raw.alias("_a"), none.alias("_b"))
     by = lambda df: df.groupBy("_g")
-    told = by(dealt).cogroup(by(copies)).applyInArrow(_report(buckets, text_col), "_bucket bigint, _g bigint, keys binary, docs binary")
+    told = by(dealt).cogroup(by(copies)).applyInArrow(_report(buckets, text_col), "_bucket bigint, _g bigint, keys binary, windows binary")
     shared = told.groupBy("_bucket").applyInArrow(_shared(hot), _SIDE)
     windows = by(dealt).cogroup(by(copies.union(shared))).applyInArrow(_windows(buckets, spread, text_col), _WINDOWS)
     classes = windows.groupBy("_bucket").applyInArrow(_judge, _SIDE)
     return dealt, copies.union(classes)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: int | None = None, hot: int = HOT_DOCS) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: int | None = None, hot: int = HOT_WINDOWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Strings are judged on the input.  A null text is empty.  Rows with the same id do not remove each other's strings;
     a null id counts as larger than every other one.  Texts below 50 bytes lose nothing.  Other columns are ignored; an
-    empty table gives no rows.  ``groups`` follows the shuffle partitions of the session; any number gives the result.
+    empty table gives no rows.  ``groups`` follows the bytes of the texts (and is at least four times the shuffle partitions of the
+    session); any number gives the result.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt, told = _plan(narrow, "doc_id", "text", groups, hot)
@@ -448,7 +459,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", groups: int | None = None, hot: int = HOT_DOCS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", groups: int | None = None, hot: int = HOT_WINDOWS
 ) -> DataFrame:
     """``docs`` with removed bytes cut out of the texts, and ``length_col`` set to the new number of characters.
 

@@ -14,15 +14,15 @@ from __future__ import annotations
 import numpy as np
 
 
-def groups(text: str, codes: list[int], ends: list[int], alphabet: int) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+def groups(text: bytes, codes: list[int], ends: list[int], alphabet: int) -> tuple[list[int], list[int], list[tuple[int, int]]]:
     """Group of every suffix, the next smaller suffix, and the trie edges.
 
-    ``text`` holds strings over the symbols 1..alphabet (as code points, ``codes`` the same as numbers), each closed by
-    one symbol at the positions ``ends`` (ascending), which is smaller than anything whatever its value.  Trie nodes
-    1..alphabet are single symbols; node alphabet + k is made by edge k - 1 = (node, word).  A closing symbol has
+    ``text`` holds strings over the symbols 1..alphabet (four bytes each, the highest first, so that slices compare like
+    their symbols; ``codes`` the same as numbers), each closed by one symbol at the positions ``ends`` (ascending), which
+    is smaller than anything whatever its value.  Trie nodes 1..alphabet are single symbols; node alphabet + k is made by edge k - 1 = (node, word).  A closing symbol has
     group 0.
     """
-    n = len(text)
+    n = len(codes)
     group, following = [0] * n, [0] * n
     edges: list[tuple[int, int]] = []
     known: dict[int, int] = {}
@@ -37,7 +37,7 @@ def groups(text: str, codes: list[int], ends: list[int], alphabet: int) -> tuple
             # the stack of smaller suffixes is the chain of next smaller positions
             while end != close:
                 top = codes[end]
-                if top < symbol or (top == symbol and text[i:end] >= text[end : following[end]]):
+                if top < symbol or (top == symbol and text[4 * i : 4 * end] >= text[4 * end : 4 * following[end]]):
                     break
                 word = group[end]
                 key = node << 32 | word
@@ -110,12 +110,11 @@ def emit(group: np.ndarray, following: np.ndarray) -> np.ndarray:
 def suffix_array(codes: np.ndarray, ends: np.ndarray, alphabet: int) -> np.ndarray:
     """Positions in the order of their suffixes; suffixes that are equal up to their closing symbols are neighbours.
 
-    ``codes``: symbols 1..alphabet (below 1.1 million), and anything at the closing positions ``ends``.
+    ``codes``: symbols 1..alphabet (below 2^32), and anything at the closing positions ``ends``.
     """
     if not len(codes):
         return np.zeros(0, np.int64)
-    numbers = codes.astype("<u4")
-    text = numbers.tobytes().decode("utf-32-le", "surrogatepass")
-    group, following, edges = groups(text, numbers.tolist(), ends.tolist(), alphabet)
+    numbers = codes.astype(">u4")
+    group, following, edges = groups(numbers.tobytes(), numbers.tolist(), ends.tolist(), alphabet)
     rank = descending(edges, alphabet)
     return emit(rank[np.array(group, np.int64)], np.array(following, np.int64))

@@ -38,6 +38,27 @@ def test_suffix_array_of_periodic_text(part):
     assert order == sorted(range(len(part) + 1), key=lambda i: part[i:])
 
 
+def test_suffix_array_of_more_symbols_than_code_points():
+    n = 1_300_000
+    codes = np.concatenate([np.arange(n, 0, -1), [1], [n, 1], [1]])
+    order = suffix_array(codes, np.array([n, n + 3]), n)
+    # closing places, "1" twice, then 2, 3, ... and n twice: n followed by 1 is below n followed by n - 1
+    assert order[:4].tolist() in ([n, n + 3, n - 1, n + 2], [n, n + 3, n + 2, n - 1])
+    assert order[4:].tolist() == [*range(n - 2, 0, -1), n + 1, 0]
+
+
+def test_log_like_texts_with_many_windows_under_few_keys(spark):
+    """Two documents hold one anchor in every line, so a key has far more windows than documents."""
+    rnd = random.Random(9)
+    line = lambda: f"{rnd.randrange(10**12):012d} GET /static/app.js HTTP/1.1 200 {rnd.randrange(10**9):09d} "
+    lines = [line() for _ in range(300)]
+    rows = [(1, "".join(lines)), (2, "".join(line() for _ in range(200)) + "".join(lines[50:90])), (3, lines[7] * 5)]
+    df = spark.createDataFrame(rows, DOCS)
+    want = removed(rows)
+    for hot in (20, R.HOT_WINDOWS):
+        assert result(R.repeated_spans(df, hot=hot)) == want
+
+
 def removed(rows):
     """Brute force over all 50-byte strings."""
     first = {}
@@ -80,7 +101,7 @@ def repeated():
     return rows + [(600, long), (601, "zz" + long[100:69_000] + "y")]
 
 
-@pytest.mark.parametrize(("groups", "hot"), [(None, R.HOT_DOCS), (3, 3), (1, 1)])
+@pytest.mark.parametrize(("groups", "hot"), [(None, R.HOT_WINDOWS), (3, 3), (1, 1)])
 def test_repeated_spans_equal_brute_force(spark, repeated, groups, hot):
     df = spark.createDataFrame(repeated, DOCS).repartition(4)
     assert result(R.repeated_spans(df, groups=groups, hot=hot)) == removed(repeated)
