@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cluster as K
@@ -39,7 +39,23 @@ class ExtractConfig:
             raise ValueError(f"method must be one of: {', '.join(METHODS)}")
 
 
-def _track(wf: DataFrame, cfg: ExtractConfig) -> DataFrame:
+def unusable(cfg: ExtractConfig) -> Column:
+    """Why a call (sr, samples) cannot enter grouped work; null if it can."""
+    finite = F.forall("samples", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    return (
+        F.when(F.col("samples").isNull(), "the call has no samples")
+        .when(F.col("sr").isNull() | (F.col("sr") != cfg.sr), "the sampling rate differs")
+        .when(F.size("samples") < cfg.min_samples, f"fewer than {cfg.min_samples} samples")
+        .when(~finite, "a sample is not finite")
+    )
+
+
+def _track(wf: DataFrame, cfg: ExtractConfig, store: str | None = None) -> DataFrame:
+    if store is not None:
+        if cfg.method not in ("filterbank", "hybrid_filterbank"):
+            raise ValueError("a store of filterbank grids serves the filterbank methods only")
+        hybrid = cfg.hybrid if cfg.method == "hybrid_filterbank" else None
+        return extract_from_store(wf.sparkSession, wf, store, cfg.fb, cfg.ridge, hybrid)
     if cfg.method == "stft":
         return TR.track_stft(wf, cfg.sr, cfg.n_fft, None, cfg.frame_resolution, cfg.ridge)
     if cfg.method == "filterbank":
@@ -50,27 +66,40 @@ def _track(wf: DataFrame, cfg: ExtractConfig) -> DataFrame:
 
 
 def extract_dataset(
-    spark: SparkSession, src: DataFrame, sink: str, cfg: ExtractConfig, overwrite: bool = False, start: int = 1
+    spark: SparkSession,
+    src: DataFrame,
+    sink: str,
+    cfg: ExtractConfig,
+    overwrite: bool = False,
+    start: int = 1,
+    store: str | None = None,
 ) -> DataFrame:
-    """Track every call the sink lacks and append its contour; returns one status per call.
-
-    Calls are validated before grouped work, so an unusable one is reported and never fails the run.  The
-    sink is a table partitioned by version; a lost executor only repeats its own tasks.
+    """Track every call the sink lacks and append its contour; returns (call_id, status, reason) per call.
+
+    Calls are validated before grouped work, so an unusable one is reported with its reason and never fails the run:
+    no samples, another sampling rate, fewer than ``min_samples``, or a sample that is null
+    or not finite (transforms of the whole call would spread it).  A call whose contour has no
+    frame of finite frequency and confidence is ``failed`` too.  Any other call is tracked; one shorter than a hop has a single frame.  With
+    ``store`` the filterbank methods take grids from that store and compute only those that it lacks.  The sink is a
+    table partitioned by version; a lost executor only repeats its own tasks.
     """
     version = cfg.version or cfg.method
     calls = SO.from_ordinal(src, start)
     if not overwrite and _exists(spark, sink):
         done = spark.read.parquet(sink).filter(F.col("version") == version)
         calls = SO.missing_calls(calls, done)
-    usable = (F.size("samples") >= cfg.min_samples) & (F.col("sr") == cfg.sr)
-    good, bad = SO.split_valid(calls, usable)
-    contour = _track(good, cfg).select("call_id", "frame_idx", "time", "frequency", "confidence")
+    judged = calls.withColumn("_reason", unusable(cfg))
+    good, bad = SO.split_valid(judged, F.col("_reason").isNull())
+    contour = _track(good.drop("_reason"), cfg, store).select("call_id", "frame_idx", "time", "frequency", "confidence")
     out = contour.withColumn("version", F.lit(version))
     writer = out.write.mode("overwrite" if overwrite else "append").partitionBy("version")
     # overwriting replaces this version only
     writer.option("partitionOverwriteMode", "dynamic").parquet(sink)
     written = spark.read.parquet(sink).filter(F.col("version") == version)
-    return SO.run_report(src, written, bad)
+    finite = F.max(F.coalesce(F.abs("frequency") + F.abs("confidence") < float("inf"), F.lit(False)))
+    silent = written.groupBy("call_id").agg(finite.alias("any")).filter("not any")
+    failed = bad.select("call_id", F.col("_reason").alias("reason"))
+    return SO.run_report(src, written, failed.union(silent.select("call_id", F.lit("no finite frame"))))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -104,11 +133,21 @@ def fill_fb_store(spark: SparkSession, src: DataFrame, store: str, fb: FB.Filter
 
 
 def extract_from_store(
-    spark: SparkSession, src: DataFrame, store: str, fb: FB.FilterbankConfig, ridge: TR.RidgeConfig = TR.RidgeConfig()
+    spark: SparkSession,
+    src: DataFrame,
+    store: str,
+    fb: FB.FilterbankConfig,
+    ridge: TR.RidgeConfig = TR.RidgeConfig(),
+    hybrid: H.HybridConfig | None = None,
 ) -> DataFrame:
-    """Ridge contours of ``src`` from stored filterbank grids: only grids that the store lacks are computed."""
+    """Contours of ``src`` from stored filterbank grids: only grids that the store lacks are computed.
+
+    The ridge tracker is used, or the hybrid one if its settings are given.
+    """
     fill_fb_store(spark, src, store, fb)
     grid = SO.read_tf(spark, store, "filterbank", fb.stride, fb.sr).join(src.select("call_id").distinct(), "call_id", "left_semi")
+    if hybrid is not None:
+        return H.contour_rows(H.track_hybrid(FR.pack_calls(FR.pack_frames(grid)), FB.fb_axis(fb), hybrid))
     return TR.track_store(grid, FB.fb_axis(fb), ridge)
 
 

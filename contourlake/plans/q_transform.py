@@ -399,6 +399,22 @@ def _(t):
     return rounded(J.extract_from_store(t.spark, t.waveform, store, FBC, _FB_TRACK))
 
 
+@query(
+    "P18_extract_contours",
+    "SELECT call_id, frame_idx, round(time, 6) AS time, round(frequency, 6) + 0e0 AS frequency, round(confidence, 6) + 0e0 AS confidence FROM ridge_rows",
+    fgrid="SELECT call_id, frame_idx, channel, fc AS freq_hz, sqrt(re * re + im * im) AS magnitude, frame_idx * 32 / 1e3 AS time FROM f_co JOIN f_ch USING (channel)",
+    **coeff_ctes(False),
+    **track_ctes("fgrid", "SELECT channel, fc AS hz FROM f_ch", "2e1", "3e2", "12e1"),
+)
+def _(t):
+    """The job's own output: half of the calls first, then the rest, from a store that the job fills."""
+    sink, store = scratch_table(t.spark, "extracted"), scratch_table(t.spark, "grids")
+    cfg = J.ExtractConfig(method="filterbank", sr=SR, fb=FBC, ridge=_FB_TRACK)
+    J.extract_dataset(t.spark, t.waveform.filter("call_id % 2 = 0"), sink, cfg, store=store)
+    J.extract_dataset(t.spark, t.waveform, sink, cfg, store=store)
+    return rounded(t.spark.read.parquet(sink).drop("version"))
+
+
 MRH = FR.MultiResConfig(sr=SR, hop=64, coarse_n_fft=512, coarse_win=256, fine_n_fft=512, fine_win=128, fmin=5.0, fmax=200.0)
 HCFG = H.HybridConfig(
     h1_min=17.0,

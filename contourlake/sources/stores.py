@@ -302,12 +302,13 @@ def split_valid(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def run_report(calls: DataFrame, results: DataFrame, failed: DataFrame) -> DataFrame:
-    """One status per call: ok, failed or skipped."""
+    """One status per call: ok, failed or skipped; with its ``reason`` if ``failed`` tells one."""
+    told = ["reason"] if "reason" in failed.columns else []
     r = results.select("call_id").distinct().withColumn("_ok", F.lit(True))
-    f = failed.select("call_id").distinct().withColumn("_bad", F.lit(True))
+    f = failed.groupBy("call_id").agg(F.lit(True).alias("_bad"), *[F.min(c).alias(c) for c in told])
     joined = calls.select("call_id").distinct().join(r, "call_id", "full_outer").join(f, "call_id", "full_outer")
     status = F.when(F.col("_bad"), "failed").when(F.col("_ok"), "ok").otherwise("skipped")
-    return joined.select("call_id", status.alias("status"))
+    return joined.select("call_id", status.alias("status"), *told)
 
 
 def report_counts(report: DataFrame) -> DataFrame:

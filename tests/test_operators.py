@@ -447,6 +447,62 @@ def test_extraction_isolates_bad_calls(spark, tmp_path):
     assert spark.read.parquet(sink).count() == before
 
 
+def test_extraction_tells_why_calls_fail(spark, tmp_path):
+    tone = np.cos(2 * np.pi * 30 * np.arange(2000) / 1000).tolist()
+    rows = [(1, 1000, tone), (2, 1000, [1.0]), (3, 1000, None), (4, 1000, [float("nan"), None, float("inf")] * 200), (5, 500, tone), (6, None, tone)]
+    rows.append((7, 1000, [float("nan") if i % 50 == 0 else v for i, v in enumerate(tone)]))
+    wf = spark.createDataFrame(rows, "call_id long, sr int, samples array<double>")
+    cfg = J.ExtractConfig(method="stft", sr=1000, n_fft=256, frame_resolution=0.064, ridge=TR.RidgeConfig(max_jump=8.0))
+    rep = {r["call_id"]: (r["status"], r["reason"]) for r in J.extract_dataset(spark, wf, str(tmp_path / "sink"), cfg).collect()}
+    rate = ("failed", "the sampling rate differs")
+    short, none, bad = "fewer than 2 samples", "the call has no samples", "a sample is not finite"
+    assert {k: rep[k] for k in range(1, 7)} == {1: ("ok", None), 2: ("failed", short), 3: ("failed", none), 4: ("failed", bad), 5: rate, 6: rate}
+    assert rep[7] == ("failed", bad)
+
+
+def test_filterbank_errors_are_rows(spark):
+    cfg = FB.FilterbankConfig(kernel_size=33, num_channels=5, stride=7, f_min=50.0, f_max=400.0, sr=1000)
+    calls = [(1, [1.0, 2.0] * 40), (2, [1.0] * 16), (3, None), (4, [0.5] * 17)]
+    wf = spark.createDataFrame(calls, "call_id long, samples array<double>")
+    got = FB.fb_transform(wf, cfg, "reflect", errors="rows").collect()
+    assert {r.call_id: r.reason for r in got if r.reason} == {2: FB.SHORT_REFLECT, 3: "the call has no samples"}
+    assert all((r.frame_idx is None) == (r.reason is not None) for r in got)
+    assert sorted({r.call_id for r in got if r.reason is None}) == [1, 4]
+    with pytest.raises(Exception, match="reflect padding"):
+        FB.fb_transform(wf, cfg, "reflect").collect()
+
+
+def test_blocks_do_not_show_in_long_calls(spark):
+    """Calls of many blocks, of one block, and shorter than the kernel, at strides that do and do not divide them."""
+    rng = np.random.default_rng(11)
+    calls = {i: rng.normal(size=n) for i, n in enumerate([20, 33, 34, 500, 4001])}
+    for stride in (1, 8, 50):
+        cfg = FB.FilterbankConfig(kernel_size=33, num_channels=5, stride=stride, f_min=50.0, f_max=400.0, sr=1000)
+        c = -(-FB.kernel_plan(cfg).kernel_size // 2)
+        g = FB.kernel_matrix(cfg)[FB.first_channel(cfg) :]
+        got = {}
+        for r in FB.fb_transform(waves(spark, calls), cfg).collect():
+            got.setdefault(r.call_id, {})[r.frame_idx] = np.array(r.re) + 1j * np.array(r.im)
+        for i, x in calls.items():
+            x = np.concatenate([x, np.zeros(max(0, g.shape[1] - len(x)))])
+            whole = np.fft.ifft(np.fft.fft(g, n=len(x), axis=1) * np.fft.fft(x), axis=1)
+            at = np.arange(0, len(x), stride)
+            assert sorted(got[i]) == list(range(len(at)))
+            assert np.allclose([got[i][m] for m in range(len(at))], whole[:, (at + c) % len(x)].T, atol=1e-9)
+
+
+def test_stored_grids_serve_the_hybrid_tracker(spark, tmp_path):
+    n = np.arange(1600) / 1000
+    wf = waves(spark, {i: np.sin(2 * np.pi * (40 + 5 * i) * n) + 0.5 * np.sin(2 * np.pi * (80 + 10 * i) * n) for i in range(3)})
+    fb = FB.FilterbankConfig(kernel_size=400, num_channels=96, stride=32, f_min=12.0, f_max=400.0, sr=1000)
+    cfg = J.H.HybridConfig(candidate_step=1.0)
+    rows = lambda d: sorted((r.call_id, r.frame_idx, round(r.frequency, 6), round(r.confidence, 6)) for r in d.collect())
+    direct = rows(J.H.contour_rows(J.H.track_hybrid_fb(wf, fb, cfg)))
+    store = str(tmp_path / "store")
+    J.fill_fb_store(spark, wf.filter("call_id = 1"), store, fb)
+    assert rows(J.extract_from_store(spark, wf, store, fb, hybrid=cfg)) == direct and direct
+
+
 def test_constants_fold(spark):
     plan = spark.range(1).select(A.dlit([1.0, 2.0]).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan.lower() and "jsontostructs" not in plan.lower()
