@@ -77,11 +77,11 @@ def extract_dataset(
     """Track every call the sink lacks and append its contour; returns (call_id, status, reason) per call.
 
     Calls are validated before grouped work, so an unusable one is reported with its reason and never fails the run:
-    no samples, another sampling rate, fewer than ``min_samples``, or a sample that is null
-    or not finite (transforms of the whole call would spread it).  A call whose contour has no
-    frame of finite frequency and confidence is ``failed`` too.  Any other call is tracked; one shorter than a hop has a single frame.  With
-    ``store`` the filterbank methods take grids from that store and compute only those that it lacks.  The sink is a
-    table partitioned by version; a lost executor only repeats its own tasks.
+    no samples, another sampling rate, fewer than ``min_samples``, or a sample that is null or not finite (transforms of
+    the whole call would spread it).  A call whose contour has no frame of finite frequency and confidence is ``failed``
+    too.  Any other call is tracked; one shorter than a hop has a single frame.  With ``store`` the filterbank methods
+    take grids from that store and compute only those that it lacks.  The sink is a table partitioned by version; a lost
+    executor only repeats its own tasks.
     """
     version = cfg.version or cfg.method
     calls = SO.from_ordinal(src, start)
