@@ -12,7 +12,8 @@ when it is known how many other sets hold a signature, the most frequent ones.
 No signature's pairs are listed.  Every signature names one of its holders (the same one for most signatures of a
 group); a set is first compared with the nearest of those that its signatures name, and what that links is merged.  Then only sets of different components are compared, each with
 those of larger components.  Compared pairs pass a necessary test on parity sketches (every differing shingle turns one
-bit) and are verified on the words themselves.
+bit) and are verified on the words themselves.  A sketch folded to a few words travels with the signatures of the second
+step, so that the join by signature gives only pairs that sizes and folded sketches allow.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ SHINGLE, THRESHOLD = 4, 85
 GROWTH = (7, 5)
 #: Least size of a parity sketch in words of 64 bits.
 SKETCH = 8
+#: Words of 64 bits of the folded sketch that travels with a signature.
+FOLD = 4
 #: Rows up to which a list of names is broadcast (16 bytes each); longer lists are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -175,37 +178,45 @@ def turned(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
+def _allowed(a: Column, b: Column, turned: Column, threshold: int) -> Column:
+    """Whether sets of these sizes can be similar if at least ``turned`` shingles differ."""
+    near = 100 * F.least(a, b) >= threshold * F.greatest(a, b)
+    return near & ((100 + threshold) * turned <= (100 - threshold) * (a + b))
+
+
 def prints(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, t1, t2): size, digest and sketch of its set, and its signatures with tags."""
+    """Per row of ``docs`` (doc_id, text, t1, t2): size, digest, sketch and folded sketch of its set, and its signatures with tags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text", 4 << 20):
             cells: list[list] = [[] for _ in range(4)]
-            sketches, keys, tags = [], [], []
+            sketches, folds, keys, tags = [], [], [], []
             for text in text_list(part.column("text")):
                 h = shingle_hashes(text, shingle)
                 digest = np.frombuffer(blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
                 key, tag, spare = signatures(h, threshold) if len(h) else (np.zeros(0, np.int64), np.zeros(0, np.int8), 0)
                 for cell, value in zip(cells, (len(h), int(digest[0]), int(digest[1]), spare)):
                     cell.append(value)
-                sketches.append(sketch(h).tobytes())
+                places = sketch(h)
+                sketches.append(places.tobytes())
+                folds.append(np.bitwise_xor.reduce(places.reshape(-1, FOLD), axis=0))
                 keys.append(key)
                 tags.append(tag)
             ends = pa.array(np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32))
-            columns = [part.column(c) for c in ("doc_id", "t1", "t2")] + [pa.array(c, pa.int64()) for c in cells] + [pa.array(sketches, pa.binary())]
+            columns = [part.column(c) for c in ("doc_id", "t1", "t2")] + [pa.array(c, pa.int64()) for c in cells] + [pa.array(sketches, pa.binary()), pa.array(folds, pa.list_(pa.int64()))]
             columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tags)))]
-            names = ["doc_id", "t1", "t2", "n", "d1", "d2", "spare", "sketch", "keys", "tags"]
+            names = ["doc_id", "t1", "t2", "n", "d1", "d2", "spare", "sketch", "fold", "keys", "tags"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kept = "doc_id long, t1 long, t2 long, n long, d1 long, d2 long, spare long, "
-    return docs.mapInArrow(run, kept + "sketch binary, keys array<long>, tags array<tinyint>")
+    return docs.mapInArrow(run, kept + "sketch binary, fold array<long>, keys array<long>, tags array<tinyint>")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     """(u, v, turned): the pairs of nodes that sizes and sketches allow."""
     facts = nodes.select("node", "n", "sketch")
     sides = [facts.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")) for side in "uv"]
-    both = pairs.join(sides[0], "u").join(sides[1], "v").filter(100 * F.least("u_n", "v_n") >= threshold * F.greatest("u_n", "v_n"))
+    both = pairs.join(sides[0], "u").join(sides[1], "v").filter(_allowed(F.col("u_n"), F.col("v_n"), F.lit(0), threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +269,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
 def classes(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(node, component) for the nodes that have a link: the smallest node reachable.
 
-    ``nodes``: node, n, t1, t2, sketch, keys, tags, spare of different sets; ``docs``: t1, t2, text.
+    ``nodes``: node, n, t1, t2, sketch, fold, keys, tags, spare of different sets; ``docs``: t1, t2, text.
     """
     by_key = W.partitionBy("key")
     entries = nodes.select("node", "tags", F.posexplode("keys").alias("at", "key")).select("key", "node", F.col("tags")[F.col("at")].cast("int").alias("tag"))
@@ -275,18 +286,20 @@ def classes(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, threshold
     placed = shared.select("key", "node", "tag").distinct().join(first.join(size, "component"), "node", "left")
     placed = placed.select("key", "node", "tag", F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "node").alias("c")).alias("place"))
     mixed = placed.withColumn("low", F.min("place").over(by_key)).withColumn("high", F.max("place").over(by_key)).filter("low <> high").drop("low", "high")
-    mixed = stored(mixed, "mixed")
+    mixed = stored(mixed.join(nodes.select("node", "n", "fold", "spare"), "node"), "mixed")
     has = lambda flag: F.col("tag").bitwiseAND(F.lit(flag)) > 0
     own = mixed.filter(~has(NEXT))
     upto = F.count(F.lit(1)).over(by_key.orderBy(F.desc("place")))
     cost = own.withColumn("cost", upto - F.count(F.lit(1)).over(W.partitionBy("key", "place"))).filter(has(PROBE) & (F.col("cost") > 0))
     dearest = W.partitionBy("node", has(SPARE)).orderBy(F.desc("cost"), "key")
-    ranked = cost.join(nodes.select("node", "spare"), "node").withColumn("rank", F.row_number().over(dearest))
-    seeking = ranked.filter(~has(SPARE) | (F.col("rank") > F.col("spare"))).select("key", "node", "place", has(MINUS).alias("less"), F.lit(False).alias("above"))
-    above = mixed.filter(has(NEXT)).select("key", "node", "place", has(MINUS).alias("less"), F.lit(True).alias("above"))
-    seek = seeking.union(above).select("key", F.col("node").alias("u"), F.col("place").alias("p"), "less", "above")
-    met = seek.join(own.select("key", F.col("node").alias("v"), F.col("place").alias("q"), has(MINUS).alias("without")), "key")
-    met = met.filter("(p < q or (above and p > q)) and not (less and without)")
+    ranked = cost.withColumn("rank", F.row_number().over(dearest))
+    seeking = ranked.filter(~has(SPARE) | (F.col("rank") > F.col("spare"))).withColumn("above", F.lit(False))
+    above = mixed.filter(has(NEXT)).withColumn("above", F.lit(True))
+    side = lambda u, p: [F.col("node").alias(u), F.col("place").alias(p), F.col("n").alias(f"{u}_n"), F.col("fold").alias(f"{u}_fold"), has(MINUS).alias(f"{u}_less")]
+    seek = seeking.select("key", *side("u", "p"), "above").union(above.select("key", *side("u", "p"), "above"))
+    met = seek.join(own.select("key", *side("v", "q")), "key")
+    bits = reduce(add, [F.bit_count(F.col("u_fold")[i].bitwiseXOR(F.col("v_fold")[i])) for i in range(FOLD)])
+    met = met.filter("(p < q or (above and p > q)) and not (u_less and v_less)").filter(_allowed(F.col("u_n"), F.col("v_n"), bits, threshold))
     more = _possible(met.select("u", "v").distinct(), nodes, threshold)
     later = _verified(more, nodes, docs, shingle, threshold)
     return components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(later))
