@@ -10,7 +10,8 @@ Cost-based allocation: capacity beyond H + 1 is given up where it costs most.  E
 when it is known how many other sets hold a signature, the most frequent ones.
 
 No signature's pairs are listed.  Every signature names one of its holders (the same one for most signatures of a
-group); a set is first compared with the nearest of those that its signatures name, and what that links is merged.  Then only sets of different components are compared, each with
+group); a set is first compared with the nearest of those that its signatures name, and what that links is merged.  A second
+such round draws from the largest component of every signature, another member for each.  Then only sets of different components are compared, each with
 those of larger components.  Compared pairs pass a necessary test on parity sketches (every differing shingle turns one
 bit) and are verified on the words themselves.  A sketch folded to a few words travels with the signatures of the second
 step, so that the join by signature gives only pairs that sizes and folded sketches allow.
@@ -266,6 +267,17 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     return met.mapInArrow(run, "u long, v long, good boolean").filter("good").select("u", "v")
 
 
+def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries (key, node, tag) of keys held by several components, with the place (size, name) of the node's component
+    and a drawn member of the last component of the key.  ``found``: node, component; a node not in it stands alone."""
+    by_key = W.partitionBy("key")
+    size = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    placed = entries.join(found.join(size, "component"), "node", "left")
+    placed = placed.select("key", "node", "tag", F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "node").alias("c")).alias("place"))
+    star = F.max(F.struct("place", F.xxhash64("key", "node").alias("h"), "node")).over(by_key)
+    return placed.withColumn("low", F.min("place").over(by_key)).withColumn("star", star).filter("low <> star.place").drop("low")
+
+
 def classes(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(node, component) for the nodes that have a link: the smallest node reachable.
 
@@ -276,16 +288,22 @@ def classes(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, threshold
     drawn = F.min(F.struct(F.xxhash64("node").alias("h"), "node")).over(by_key)["node"]
     seen = entries.select("*", F.count(F.lit(1)).over(by_key).alias("holders"), F.max(F.col("tag").bitwiseAND(F.lit(PROBE))).over(by_key).alias("probed"), F.min(F.col("tag").bitwiseAND(F.lit(MINUS))).over(by_key).alias("minus"), drawn.alias("star"))
     shared = stored(seen.filter("holders > 1 and probed = 1 and minus = 0").select("key", "node", "tag", "star"), "shared")
-    pairs = shared.filter("node <> star").select(F.col("node").alias("u"), F.col("star").alias("v")).distinct()
-    nearest = _possible(pairs, nodes, threshold).groupBy("u").agg(F.min(F.struct("turned", "v")).alias("to")).select("u", "to.v")
-    first = stored(components(_verified(nearest, nodes, docs, shingle, threshold)), "first")
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        allowed = _possible(pairs.distinct(), nodes, threshold).groupBy("u").agg(F.min(F.struct("turned", "v")).alias("to"))
+        return _verified(allowed.select("u", "to.v"), nodes, docs, shingle, threshold)
+
+    first = stored(components(nearest(shared.filter("node <> star").select(F.col("node").alias("u"), F.col("star").alias("v")))), "first")
+
+    # signatures whose holders are of one component are done; under the others a set is compared with one member of the
+    # last component, another one under each signature, and joins the component of the nearest
+    mixed = stored(_mixed(shared.select("key", "node", "tag").distinct(), first), "mixed")
+    links = nearest(mixed.filter("place <> star.place").select(F.col("node").alias("u"), F.col("star.node").alias("v")))
+    first = stored(components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)), "first")
 
     # within a band a set seeks members of later components, so that the large ones never seek; from the band below it
     # seeks all others, as its signatures there are no more than it needs
-    size = first.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = shared.select("key", "node", "tag").distinct().join(first.join(size, "component"), "node", "left")
-    placed = placed.select("key", "node", "tag", F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("component", "node").alias("c")).alias("place"))
-    mixed = placed.withColumn("low", F.min("place").over(by_key)).withColumn("high", F.max("place").over(by_key)).filter("low <> high").drop("low", "high")
+    mixed = _mixed(mixed.select("key", "node", "tag"), first).drop("star")
     mixed = stored(mixed.join(nodes.select("node", "n", "fold", "spare"), "node"), "mixed")
     has = lambda flag: F.col("tag").bitwiseAND(F.lit(flag)) > 0
     own = mixed.filter(~has(NEXT))
