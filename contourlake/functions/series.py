@@ -5,6 +5,8 @@ Every function takes and returns array columns, so a chain of them costs one gro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +51,30 @@ def median_filter(a: Column, k: int, edge: str = "mirror") -> Column:
     return A.let(a, lambda v: _window_median(v, k, {"mirror": mirror, "nearest": nearest}[edge]))
 
 
-def median_positive(a: Column, k: int) -> Column:
-    """Mirror-edge median applied to positive values; zeros stay."""
+def median_positive(a: Column, k: int, edge: str = "mirror") -> Column:
+    """Median applied to positive values; zeros stay."""
     if k <= 1:
         return a
     return A.let(
-        a, lambda v: F.zip_with(v, median_filter(v, k), lambda x, m: F.when(x > 0, m).otherwise(x))
+        a, lambda v: F.zip_with(v, median_filter(v, k, edge), lambda x, m: F.when(x > 0, m).otherwise(x))
     )
 
 
+def _between(v: Column, starts: Column, ends: Column, piece: Callable[[Column, Column], Column]) -> Column:
+    """``v`` with the stretches from ``starts`` to ``ends`` (ascending, apart) replaced by ``piece(start, ordinal)``.
+
+    Pieces and the stretches between them are joined once, so no array grows step by step.
+    """
+
+    def part(at: Column, j: Column) -> Column:
+        end = F.get(ends, j)
+        until = F.coalesce(F.get(starts, j + 1), F.size(v))
+        return F.concat(piece(at, j), F.slice(v, end + 2, until - end - 1))
+
+    head = F.slice(v, F.lit(1), F.coalesce(F.get(starts, F.lit(0)), F.size(v)))
+    return F.concat(head, F.flatten(F.transform(starts, part)))
+
+
 def confidence_threshold(conf: Column) -> Column:
     """Lower quartile of the positive confidences."""
     return A.percentile(F.filter(conf, lambda c: c > 0), 0.25)
@@ -77,14 +94,13 @@ def gated_median(freq: Column, conf: Column, k: int, threshold: Column | None =
         f, c, t = s["f"], s["c"], s["t"]
         chosen = F.filter(A.seq(F.size(f)), lambda i: F.get(c, i) > t)
 
-        def replaced(pair: Column) -> Column:
-            where, med = pair["w"], pair["m"]
-            return F.transform(f, lambda x, i: F.coalesce(F.get(med, (F.array_position(where, i) - 1).cast("int")), x))
-
         def apply(w: Column) -> Column:
             med = median_filter(F.transform(w, lambda i: F.get(f, i)), k)
             return F.when(F.size(w) > k, A.let(F.struct(w.alias("w"), med.alias("m")), replaced)).otherwise(f)
 
+        def replaced(pair: Column) -> Column:
+            return _between(f, pair["w"], pair["w"], lambda at, j: F.array(F.coalesce(F.get(pair["m"], j), F.get(f, at))))
+
         return A.let(chosen, apply)
 
     return A.let(F.struct(freq.alias("f"), conf.alias("c"), thr.alias("t")), body)
@@ -104,38 +120,23 @@ def energy_gate(freq: Column, peak: Column, fraction: float) -> Column:
 def voiced_run_median(a: Column, k: int) -> Column:
     """Median inside each run of positive values, edges of the run held; zeros stay.
 
-    A window position that leaves the run takes the run's nearest sample, so the run bounds are found first.
+    The bounds of all runs are found first and each run is filtered alone: time is linear in the frames.
     """
     if k <= 1:
         return a
     k += k % 2 == 0
-    r = k // 2
 
     def body(v: Column) -> Column:
-        n = F.size(v)
-        # first index of the current run (forward) and last index (backward), one pass each
-        grow = lambda acc, x: F.concat(
-            acc, F.array(F.when(x <= 0, F.lit(-1)).when(F.coalesce(F.element_at(acc, -1), F.lit(-1)) >= 0, F.element_at(acc, -1)).otherwise(F.size(acc)))
-        )
-        empty = F.expr("array(-1)")
-        # a leading sentinel keeps element_at defined; indices are shifted by one
-        starts = F.aggregate(v, empty, grow)
-        ends_rev = F.aggregate(F.reverse(v), empty, grow)
-
-        def at(s: Column) -> Column:
-            st, en = s["s"], s["e"]
-
-            def one(x: Column, i: Column) -> Column:
-                lo = F.get(st, i + 1) - 1
-                hi = n - F.get(en, n - i)
-                near = F.transform(
-                    F.sequence(i - r, i + r), lambda j: F.get(v, F.greatest(F.least(j, hi), lo).cast("int"))
-                )
-                return F.when(x > 0, F.get(F.array_sort(near), F.lit(r))).otherwise(x)
-
-            return F.transform(v, one)
-
-        return A.let(F.struct(starts.alias("s"), ends_rev.alias("e")), at)
+        inside = lambda i: (i >= 0) & (i < F.size(v)) & ~F.coalesce(F.get(v, i) <= 0, F.lit(False))
+        bound = lambda side: F.filter(A.seq(F.size(v)), lambda i: inside(i) & ~inside(i + side))
+
+        def smoothed(s: Column) -> Column:
+            def one(at: Column, j: Column) -> Column:
+                return A.let(F.slice(v, at + 1, F.get(s["e"], j) - at + 1), lambda run: median_positive(run, k, "nearest"))
+
+            return _between(v, s["s"], s["e"], one)
+
+        return A.let(F.struct(bound(-1).alias("s"), bound(1).alias("e")), smoothed)
 
     return A.let(a, body)
 

@@ -27,18 +27,29 @@ def _spline(times: pd.Series, px: pd.Series, py: pd.Series) -> pd.Series:
 
 
 def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic spline with continuous third derivative at the second and last-but-one knot (>= 4 knots)."""
+    """Cubic spline with continuous third derivative at the second and last-but-one knot (>= 4 knots).
+
+    The end conditions are put into the second and last-but-one row, so the inner curvatures are a tridiagonal and
+    diagonally dominant system, solved by one elimination forward and one substitution back.
+    """
     n = len(x)
     h = np.diff(x)
-    slope = np.diff(y) / h
-    m = np.zeros((n, n))
-    rhs = np.zeros(n)
-    i = np.arange(1, n - 1)
-    m[i, i - 1], m[i, i], m[i, i + 1] = h[:-1], 2.0 * (h[:-1] + h[1:]), h[1:]
-    rhs[i] = 6.0 * np.diff(slope)
-    m[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    m[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    s = np.linalg.solve(m, rhs)
+    low, diagonal, up = h[:-1].copy(), 2.0 * (h[:-1] + h[1:]), h[1:].copy()
+    p, q = h[0], h[1]
+    diagonal[0], up[0] = (p + q) * (p + 2.0 * q) / q, (q * q - p * p) / q
+    p, q = h[-2], h[-1]
+    diagonal[-1], low[-1] = (p + q) * (2.0 * p + q) / p, (p * p - q * q) / p
+    right = 6.0 * np.diff(np.diff(y) / h)
+    for i in range(1, n - 2):
+        share = low[i] / diagonal[i - 1]
+        diagonal[i] -= share * up[i - 1]
+        right[i] -= share * right[i - 1]
+    s = np.zeros(n)
+    s[n - 2] = right[-1] / diagonal[-1]
+    for i in range(n - 4, -1, -1):
+        s[i + 1] = (right[i] - up[i] * s[i + 2]) / diagonal[i]
+    s[0] = ((h[0] + h[1]) * s[1] - h[0] * s[2]) / h[1]
+    s[-1] = ((h[-2] + h[-1]) * s[-2] - h[-1] * s[-3]) / h[-2]
     k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     u, v = x[k + 1] - at, at - x[k]
     return (

@@ -20,6 +20,10 @@ from . import filterbank as FB
 from . import frames as FR
 
 
+#: Frames in a block of the fold.
+BLOCK = 256
+
+
 @dataclass(frozen=True)
 class RidgeConfig:
     """Search band and post-processing of the plain ridge tracker."""
@@ -55,8 +59,11 @@ def allowed_peak(frame: Column, prev: Column, lo: Column, hi: Column) -> Column:
 
 
 def _fold(frames: Column, first: Column, lo: Column, hi: Column) -> Column:
-    """Channels chosen frame by frame, each within reach of the one before."""
-    zero = F.struct(first.alias("prev"), F.expr("cast(array() as array<int>)").alias("path"))
+    """Channels chosen frame by frame, each within reach of the one before.
+
+    Frames are taken in blocks, so that an array that grows frame by frame ends with its block.
+    """
+    none = F.expr("cast(array() as array<int>)")
 
     def step(s: Column, fr: Column) -> Column:
         return A.let(
@@ -64,7 +71,17 @@ def _fold(frames: Column, first: Column, lo: Column, hi: Column) -> Column:
             lambda c: F.struct(c.alias("prev"), F.concat(s["path"], F.array(c)).alias("path")),
         )
 
-    return F.aggregate(frames, zero, step, lambda s: s["path"])
+    def blocks(v: Column) -> Column:
+        def block(s: Column, b: Column) -> Column:
+            zero = F.struct(s["prev"].alias("prev"), none.alias("path"))
+            inner = F.aggregate(F.slice(v, b * BLOCK + 1, F.lit(BLOCK)), zero, step)
+            return A.let(inner, lambda r: F.struct(r["prev"].alias("prev"), F.concat(s["paths"], F.array(r["path"])).alias("paths")))
+
+        zero = F.struct(first.alias("prev"), F.expr("cast(array() as array<array<int>>)").alias("paths"))
+        count = F.ceil(F.size(v) / F.lit(BLOCK)).cast("int")
+        return F.aggregate(A.seq(count), zero, block, lambda s: F.flatten(s["paths"]))
+
+    return A.let(frames, blocks)
 
 
 def band_frames(frames: Column, axis: list[float], lo: float, hi: float) -> tuple[Column, list[float]]:

@@ -45,9 +45,52 @@ def _(t):
     return out.select("call_id", "frame_idx", r6("frequency").alias("frequency"))
 
 
-@query("C1_apply_corrections")
+# Not-a-knot curvatures of all calls at once: elimination forward, substitution back, then the two ends.
+SPLINE = {
+    **FEW,
+    "base": f"""SELECT call_id, frame_idx, time, CASE WHEN start_s IS NOT NULL AND end_s IS NOT NULL AND (time < least(start_s, end_s) OR time > greatest(start_s, end_s))
+   THEN 0e0 ELSE frequency END AS frequency FROM contour JOIN ({BOUNDS}) USING (call_id)""",
+    "gap": """SELECT call_id, k, row_number() OVER w - 1 AS i, time AS x, freq AS y, lead(time) OVER w AS nx, lead(freq) OVER w AS ny
+  FROM pt JOIN pn USING (call_id) WHERE k >= 4 WINDOW w AS (PARTITION BY call_id ORDER BY time)""",
+    "eq": """SELECT call_id, k, i, p, q, CASE WHEN i = k - 2 THEN (p * p - q * q) / p ELSE p END AS lo,
+   CASE WHEN i = 1 THEN (p + q) * (p + 2 * q) / q WHEN i = k - 2 THEN (p + q) * (2 * p + q) / p ELSE 2 * (p + q) END AS di,
+   CASE WHEN i = 1 THEN (q * q - p * p) / q ELSE q END AS up, 6 * (m - pm) AS rhs
+  FROM (SELECT call_id, k, i, lag(nx - x) OVER w AS p, nx - x AS q, lag((ny - y) / (nx - x)) OVER w AS pm, (ny - y) / (nx - x) AS m
+   FROM gap WINDOW w AS (PARTITION BY call_id ORDER BY i)) WHERE i BETWEEN 1 AND k - 2""",
+    "fwd": """SELECT call_id, i, up / di AS cp, rhs / di AS dp FROM eq WHERE i = 1
+  UNION ALL SELECT e.call_id, e.i, e.up / (e.di - e.lo * f.cp), (e.rhs - e.lo * f.dp) / (e.di - e.lo * f.cp)
+  FROM fwd f JOIN eq e ON e.call_id = f.call_id AND e.i = f.i + 1""",
+    "steps": "SELECT f.*, n.k FROM fwd f JOIN pn n USING (call_id)",
+    "bwd": """SELECT call_id, i, dp AS s FROM steps WHERE i = k - 2
+  UNION ALL SELECT f.call_id, f.i, f.dp - f.cp * b.s FROM bwd b JOIN steps f ON f.call_id = b.call_id AND f.i = b.i - 1""",
+    "inner_s": "SELECT * FROM bwd",
+    "curv": """SELECT * FROM inner_s
+  UNION ALL SELECT e.call_id, 0, ((e.p + e.q) * a.s - e.p * b.s) / e.q FROM eq e JOIN inner_s a ON a.call_id = e.call_id AND a.i = 1
+   JOIN inner_s b ON b.call_id = e.call_id AND b.i = 2 WHERE e.i = 1
+  UNION ALL SELECT e.call_id, e.k - 1, ((e.p + e.q) * a.s - e.q * b.s) / e.p FROM eq e JOIN inner_s a ON a.call_id = e.call_id AND a.i = e.k - 2
+   JOIN inner_s b ON b.call_id = e.call_id AND b.i = e.k - 3 WHERE e.i = e.k - 2""",
+    "seg": """SELECT g.call_id, g.x, g.nx, g.nx - g.x AS h, g.y, g.ny, a.s, b.s AS ns, g.i = g.k - 2 AS is_last FROM gap g
+   JOIN curv a ON a.call_id = g.call_id AND a.i = g.i JOIN curv b ON b.call_id = g.call_id AND b.i = g.i + 1 WHERE g.i <= g.k - 2""",
+}
+
+
+@query(
+    "C1_apply_corrections",
+    """SELECT call_id, frame_idx, round(greatest(least(f, 45e0), 0e0), 6) + 0e0 AS frequency FROM
+  (SELECT c.call_id, c.frame_idx, CASE
+    WHEN g.h IS NOT NULL THEN (g.s * pow(g.nx - c.time, 3) + g.ns * pow(c.time - g.x, 3)) / (6 * g.h)
+      + (g.y / g.h - g.s * g.h / 6) * (g.nx - c.time) + (g.ny / g.h - g.ns * g.h / 6) * (c.time - g.x)
+    WHEN n.k = 1 THEN CASE WHEN abs(c.time - n.t0) < 5e-1 THEN n.f1 ELSE c.frequency END
+    WHEN n.k IN (2, 3) AND c.time >= n.t0 AND c.time <= n.t1 THEN l.freq + CASE WHEN r.time > l.time THEN (r.freq - l.freq) * ((c.time - l.time) / (r.time - l.time)) ELSE 0e0 END
+    ELSE c.frequency END AS f
+   FROM base c LEFT JOIN pn n USING (call_id)
+   LEFT JOIN seg g ON g.call_id = c.call_id AND c.time >= g.x AND (c.time < g.nx OR g.is_last AND c.time <= g.nx)
+   LEFT JOIN pt l ON l.call_id = c.call_id AND n.k < 4 AND l.time = (SELECT max(p.time) FROM pt p WHERE p.call_id = c.call_id AND p.time <= c.time)
+   LEFT JOIN pt r ON r.call_id = c.call_id AND n.k < 4 AND r.time = coalesce((SELECT min(p.time) FROM pt p WHERE p.call_id = c.call_id AND p.time > c.time), n.t1))""",
+    **SPLINE,
+)
 def _(t):
-    """All calls, cubic ones included (spline checked against hand-computed values in the tests)."""
+    """All calls: constants, lines and cubic splines."""
     out = E.apply_corrections(t.contour, t.correction, 45.0, bounds_of(t))
     return out.select("call_id", "frame_idx", r6("frequency").alias("frequency"))
 

@@ -126,3 +126,39 @@ def test_names(spark):
     assert v("  Hybrid-STFT ") == "hybrid_stft" and v("   ") == "peak" and v(None) == "peak"
     assert one(spark, SO.store_name("STFT ", 750.0)) == "stft_750"
     assert one(spark, SO.store_name("stft", 62.5)) == "stft_62p5"
+
+
+def _runs(values, k):
+    """Median of ``k`` inside each positive run, the run's edges held."""
+    out, r = list(values), k // 2
+    for i, x in enumerate(values):
+        if x > 0:
+            lo = hi = i
+            while lo > 0 and values[lo - 1] > 0:
+                lo -= 1
+            while hi + 1 < len(values) and values[hi + 1] > 0:
+                hi += 1
+            out[i] = sorted(values[min(max(j, lo), hi)] for j in range(i - r, i + r + 1))[r]
+    return out
+
+
+def test_voiced_run_median_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    rows = [(rng.integers(0, 4, n) * 1.5).tolist() for n in (0, 1, 2, 7, 40, 200)]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, v array<double>")
+    got = got.orderBy("i").select(*[R.voiced_run_median(F.col("v"), k).alias(f"k{k}") for k in (3, 5)]).collect()
+    assert [(r["k3"], r["k5"]) for r in got] == [(_runs(v, 3), _runs(v, 5)) for v in rows]
+
+
+def test_gated_median_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.random(n).tolist(), rng.random(n).round(1).tolist()) for i, n in enumerate((0, 1, 6, 60, 300))]
+    df = spark.createDataFrame(rows, "i int, f array<double>, c array<double>").orderBy("i")
+    for (_, f, c), row in zip(rows, df.select(R.gated_median(F.col("f"), F.col("c"), 5, F.lit(0.5)).alias("g")).collect()):
+        at = [i for i, x in enumerate(c) if x > 0.5]
+        want = list(f)
+        if len(at) > 5:
+            chosen = np.pad([f[i] for i in at], 2, mode="symmetric")
+            for j, i in enumerate(at):
+                want[i] = float(np.median(chosen[j : j + 5]))
+        assert row["g"] == want

@@ -277,6 +277,37 @@ def test_correction_counts(spark, contour_of):
     assert got[4][10:] == [1.0, 1.0] and got[5] == [1.0] * 12
 
 
+def test_not_a_knot_equals_the_dense_system():
+    rng = np.random.default_rng(5)
+    for n in (4, 5, 6, 50):
+        x, y = np.cumsum(rng.uniform(0.05, 2.0, n)), rng.normal(size=n)
+        h = np.diff(x)
+        m, right = np.zeros((n, n)), np.zeros(n)
+        for i in range(1, n - 1):
+            m[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+            right[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+        m[0, :3], m[-1, -3:] = (h[1], -h[0] - h[1], h[0]), (h[-1], -h[-2] - h[-1], h[-2])
+        s = np.linalg.solve(m, right)
+        mid = (x[:-1] + x[1:]) / 2
+        want = (y[:-1] + y[1:]) / 2 - (s[:-1] + s[1:]) * h * h / 16
+        assert np.allclose(E.not_a_knot(x, y, mid), want)
+        assert np.allclose(E.not_a_knot(x, y, x), y)
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_causal_track_over_blocks_equals_a_loop(spark, n):
+    rng = np.random.default_rng(n)
+    frames = rng.random((n, 6)).tolist()
+    df = spark.createDataFrame([(frames,)], "frames array<array<double>>")
+    got = df.select(TR.track_causal(F.col("frames"), [float(i) for i in range(6)], 1.0).alias("p")).first()["p"]
+    want, prev = [], None
+    for fr in frames:
+        lo, hi = (0, 5) if prev is None else (max(0, prev - 1), min(5, prev + 1))
+        prev = lo + int(np.argmax(fr[lo : hi + 1]))
+        want.append(prev)
+    assert got == want
+
+
 def test_not_a_knot_reproduces_cubics():
     x = np.array([0.0, 0.7, 1.1, 2.0, 3.5])
     f = lambda t: 2 * t**3 - t**2 + 0.5 * t - 3
