@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .ranks import positive_medians
 
 
 def _c(c: Column | str) -> Column:
@@ -35,14 +36,17 @@ def to_db(tf: DataFrame, floor: float = 1e-5, top_db: float = 80.0) -> DataFrame
 
 
 def log_mag(tf: DataFrame, mode: str = "eps") -> DataFrame:
-    """Add ``log_mag``: ``ln(x + 1e-10)``, or ``ln(max(x, 1e-6 * median positive of the call))``."""
+    """Add ``log_mag``: ``ln(x + 1e-10)``, or ``ln(max(x, 1e-6 * median positive of the call))``.
+
+    A call without a positive value has the floor 1e-12.
+    """
     m = F.col("magnitude")
     if mode == "eps":
         return tf.withColumn("log_mag", F.log(m + 1e-10))
     if mode != "floored":
         raise ValueError("mode must be 'eps' or 'floored'")
-    median = tf.groupBy("call_id").agg(F.percentile(F.when(m > 0, m), F.lit(0.5)).alias("_median"))
-    out = tf.join(median, "call_id").withColumn("log_mag", F.log(F.greatest(m, F.coalesce(F.col("_median") * 1e-6, F.lit(1e-12)))))
+    median = positive_medians(tf, "magnitude").withColumnRenamed("median", "_median")
+    out = tf.join(median, "call_id", "left").withColumn("log_mag", F.log(F.greatest(m, F.coalesce(F.col("_median") * 1e-6, F.lit(1e-12)))))
     return out.select(*tf.columns, "log_mag")
 
 

@@ -185,6 +185,15 @@ def _(t):
     return SO.from_ordinal(t.duration, 40)
 
 
+@query(
+    "S11_from_ordinal_text",
+    "SELECT call_id, duration FROM (SELECT call_id || '-' || chr(CAST(97 + call_id % 3 AS INT)) AS call_id, duration, row_number() OVER (ORDER BY call_id || '-' || chr(CAST(97 + call_id % 3 AS INT))) AS rn FROM duration) WHERE rn >= 40",
+)
+def _(t):
+    text = F.concat(F.col("call_id").cast("string"), F.lit("-"), F.char(97 + F.col("call_id") % 3))
+    return SO.from_ordinal(t.duration.withColumn("call_id", text), 40)
+
+
 @query(
     "S12_write_contours",
     "SELECT call_id, frame_idx, printf('%.3f', time) AS time, printf('%.3f', frequency) AS frequency, 'realigned' AS version FROM contour",

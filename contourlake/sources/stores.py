@@ -272,16 +272,12 @@ def missing_calls(src: DataFrame, sink: DataFrame, overwrite: bool = False) -> D
 def from_ordinal(df: DataFrame, start: int) -> DataFrame:
     """Resume at the ``start``-th call (1-based) of the ordered list.
 
-    Numeric calls are ranked by distributed prefix sums; other keys by the boundary of a top-k.
+    Calls of any ordered type are ranked by distributed prefix sums; rows without a call are left out.
     """
     if start <= 1:
         return df
-    calls = df.select("call_id").distinct()
-    if dict(df.dtypes)["call_id"] in ("tinyint", "smallint", "int", "bigint", "double"):
-        late = value_ranks(calls, "call_id").filter(F.col("cum") >= start).select(F.col("value").alias("call_id"))
-        return df.join(late, "call_id", "left_semi")
-    boundary = calls.orderBy("call_id").limit(start).agg(F.max("call_id").alias("b"), F.count(F.lit(1)).alias("n"))
-    return df.join(F.broadcast(boundary), F.col("call_id") >= F.col("b")).filter(F.col("n") == start).drop("b", "n")
+    late = value_ranks(df.select("call_id").distinct(), "call_id").filter(F.col("cum") >= start)
+    return df.join(late.select(F.col("value").alias("call_id")), "call_id", "left_semi")
 
 
 def first_n(df: DataFrame, n: int, offset: int = 0) -> DataFrame:

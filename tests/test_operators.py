@@ -560,3 +560,26 @@ def test_mean_density_takes_all_calls_and_keeps_bins(spark):
     short = spark.createDataFrame([(1, tone[:64].tolist())], "call_id long, samples array<double>")
     peak = max(ST.mean_psd(short, 1000, 128).collect(), key=lambda r: r.psd)
     assert peak.freq_hz == 250.0
+
+
+def test_positive_medians_equal_numpy(spark):
+    rng = np.random.default_rng(8)
+    calls = {1: rng.lognormal(0, 4, 501), 2: rng.integers(0, 4, 400) * 1.0, 3: np.full(90, 2.5), 4: np.zeros(5), 5: np.array([5e-324, 1e308]), 6: np.array([1.0, np.inf, np.inf])}
+    rows = [(k, float(x)) for k, v in calls.items() for x in v] + [(1, None), (1, -3.0), (7, None)]
+    df = spark.createDataFrame(rows, "call_id bigint, magnitude double")
+    for parts in (1, 32):
+        got = {r["call_id"]: r["median"] for r in RK.positive_medians(df, "magnitude", parts=parts).collect()}
+        assert got == {k: pytest.approx(float(np.median(v[v > 0]))) for k, v in calls.items() if (v > 0).any()}
+    assert RK.positive_medians(df.limit(0), "magnitude").count() == 0
+
+
+@pytest.mark.parametrize("ddl", ["string", "date", "decimal(12,2)"])
+def test_ordinals_of_any_ordered_type(spark, ddl):
+    calls = spark.range(700).select(F.expr("pmod(xxhash64(id), 500)").alias("d"))
+    made = {"string": "concat('é', d)", "date": "date_add(DATE '2020-01-01', cast(d as int))", "decimal(12,2)": "cast(d / 4 as decimal(12,2))"}[ddl]
+    df = calls.selectExpr(f"{made} AS call_id").union(spark.range(3).selectExpr(f"cast(NULL as {ddl}) AS call_id"))
+    want = sorted({r[0] for r in df.collect() if r[0] is not None})
+    ranks = RK.value_ranks(df.distinct(), "call_id", 16).collect()
+    assert {r["value"]: r["cum"] for r in ranks} == {v: i + 1 for i, v in enumerate(want)}
+    assert sorted({r[0] for r in SO.from_ordinal(df, 100).collect()}) == want[99:]
+    assert SO.from_ordinal(df, len(want) + 1).count() == 0
