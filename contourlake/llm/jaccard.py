@@ -37,9 +37,9 @@ SHINGLE, THRESHOLD = 4, 85
 #: Sizes of a band grow by this share (in fifths: 7/5), which is more than 100 / 85, so that links reach the next band only.
 GROWTH = (7, 5)
 #: Least size of a parity sketch in words of 64 bits.
-SKETCH = 8
+SKETCH = 16
 #: Words of 64 bits of the folded sketch that travels with a signature.
-FOLD = 4
+FOLD = 16
 #: Rows up to which a list of names is broadcast (16 bytes each); longer lists are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 

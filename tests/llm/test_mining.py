@@ -233,6 +233,15 @@ def test_every_linked_pair_shares_a_sought_signature():
         assert bits <= len(x) + len(y) - 2 * common
 
 
+def test_folded_sketches_tell_unlike_sets_apart():
+    """Sets of 1,000 shingles that differ in 300 cannot link (162 at most); the sketches in the join see it."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        h = rng.integers(0, 1 << 63, 1150).astype(np.uint64)
+        one, two = (np.bitwise_xor.reduce(jaccard.sketch(x).reshape(-1, jaccard.FOLD), axis=0).view(np.uint64) for x in (h[:1000], h[-1000:]))
+        assert jaccard.differences(1000, 1000) < np.bitwise_count(one ^ two).sum() <= 300
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     odd = spark.createDataFrame([(1, None), (1, ""), (None, " ")], "doc_id long, text string")
