@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -139,46 +140,75 @@ class BlockMaxIndex:
     what remains is scored again in double precision.
     """
 
-    COMMON, MARGIN, FIRST, BATCH = 1 / 16, 1e-4, 4, 128
+    COMMON, MARGIN, FIRST, BATCH, STRETCH = 1 / 16, 1e-4, 4, 128, 1024
 
     def __init__(self, vectors: Iterable[dict[int, float] | Vector], block: int = BLOCK):
         """``vectors`` is read several times, so that they need not all be held beside the index."""
         self.vectors, self.block = vectors, block
-        terms = [_vector(v)[0] for v in vectors]
-        self.size = len(terms)
-        self.start = np.r_[0, np.cumsum([len(t) for t in terms])].astype(np.int64)
-        self.width = int(max((t.max(initial=-1) for t in terms), default=-1)) + 1
+        self.size, self.width = 0, 0
+        for ids in self._terms():
+            self.size += 1
+            self.width = max(self.width, int(ids.max(initial=-1)) + 1)
         self.query: np.ndarray | None = None
-        self.terms = np.concatenate([np.zeros(0, np.int32), *terms]).astype(np.int32)
+
+    def _terms(self) -> Iterator[np.ndarray]:
+        return (row[0] for row in self.vectors.rows) if isinstance(self.vectors, _Each) else (_vector(v)[0] for v in self.vectors)
+
+    def _stretches(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The examples, ``STRETCH`` at a time: first number, and number from there, term and weight of every entry."""
+        rows = map(_vector, self.vectors)
+        for low in range(0, self.size, self.STRETCH):
+            part = list(islice(rows, self.STRETCH))
+            owner = np.repeat(np.arange(len(part)), [len(t) for t, _ in part])
+            yield low, owner, np.concatenate([t for t, _ in part]), np.concatenate([w for _, w in part]).astype(np.float32)
 
     def _prepare(self) -> None:
-        """Matrices and lists: made where they are used, not sent."""
-        weights = np.zeros(len(self.terms), np.float32)
-        for i, v in enumerate(self.vectors):
-            weights[self.start[i] : self.start[i + 1]] = _vector(v)[1]
-        owner = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.start))
-        seen = np.bincount(self.terms, minlength=self.width)
+        """Matrices and lists: made where they are used, not sent.  Beside them no more than a stretch of examples is held."""
+        seen = np.zeros(self.width, np.int64)
+        for ids in self._terms():
+            seen[ids] += 1
         common = np.flatnonzero(seen >= max(2, self.size * self.COMMON))
         self.column = np.full(self.width, -1, np.int32)
         self.column[common] = np.arange(len(common))
-        inside = self.column[self.terms] >= 0
-        dense = np.zeros((self.size, len(common)), np.float32)
-        dense[owner[inside], self.column[self.terms[inside]]] = weights[inside]
-        drawn = dense[:: max(1, self.size // 512)]
-        nearest = np.concatenate([np.argmax(dense[i : i + 1024] @ drawn.T, axis=1) for i in range(0, self.size, 1024)])
+
+        def columns(owner: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+            inside = self.column[terms] >= 0
+            out = np.zeros((owner[-1] + 1 if len(owner) else 0, len(common)), np.float32)
+            out[owner[inside], self.column[terms[inside]]] = weights[inside]
+            return out
+
+        def dense() -> Iterator[tuple[int, int, np.ndarray]]:
+            for low, *entries in self._stretches():
+                high, part = min(low + self.STRETCH, self.size), columns(*entries)
+                if len(part) < high - low:  # the last examples have no term
+                    part = np.concatenate([part, np.zeros((high - low - len(part), len(common)), np.float32)])
+                yield low, high, part
+
+        step = max(1, self.size // 512)
+        drawn = np.concatenate([part[-low % step :: step] for low, _, part in dense()])
+        nearest = np.concatenate([np.argmax(part @ drawn.T, axis=1) for *_, part in dense()])
+        del drawn
         self.order = np.argsort(nearest, kind="stable")
         place = np.argsort(self.order)
         self.blocks = -(-self.size // self.block)
         padded = np.zeros((self.blocks * self.block, len(common)), np.float32)
-        padded[: self.size] = dense[self.order]
-        del dense, drawn
+        for low, high, part in dense():
+            padded[place[low:high]] = part
         self.dense = padded.reshape(self.blocks, self.block, len(common))
         self.maxima = self.dense.max(axis=1)
-        rest = np.flatnonzero(~inside)
-        rest = rest[np.argsort(self.terms[rest], kind="stable")]
-        self.at = np.searchsorted(self.terms[rest], np.arange(self.width + 1))
-        self.places, self.parts = place[owner[rest]].astype(np.int32), weights[rest]
-        self.rows = list(self.vectors.rows) if isinstance(self.vectors, _Each) else [_vector(v) for v in self.vectors]
+        seen[common] = 0
+        self.at = np.r_[0, np.cumsum(seen)]
+        self.places = np.zeros(self.at[-1], np.min_scalar_type(self.blocks * self.block))
+        self.parts = np.zeros(self.at[-1], np.float32)
+        end = self.at[:-1].copy()  # of the list of every term so far
+        for low, owner, terms, weights in self._stretches():
+            rest = np.flatnonzero(self.column[terms] < 0)
+            rest = rest[np.argsort(terms[rest], kind="stable")]
+            own, first, n = np.unique(terms[rest], return_index=True, return_counts=True)
+            to = np.arange(len(rest)) + np.repeat(end[own] - first, n)
+            self.places[to], self.parts[to] = place[low + owner[rest]], weights[rest]
+            end[own] += n
+        self.rows = self.vectors.rows if isinstance(self.vectors, _Each) else [_vector(v) for v in self.vectors]
         self.query = np.zeros(self.width)
 
     def _exact(self, t: np.ndarray, w: np.ndarray, examples: np.ndarray) -> np.ndarray:
@@ -318,18 +348,19 @@ class NearestVote:
         rows = list(firsts.values())
         self.start = np.r_[0, np.cumsum([len(r[0]) for r in rows])].astype(np.int64)
         self.ids = np.concatenate([np.zeros(0, np.int32), *(r[0] for r in rows)])
-        self.counts = np.concatenate([np.zeros(0, np.int32), *(r[1] for r in rows)])
+        counts = np.concatenate([np.zeros(0, np.int32), *(r[1] for r in rows)])
+        self.counts = counts.astype(np.min_scalar_type(counts.max(initial=0)))
 
     def __getstate__(self) -> dict:
         """What is sent holds term numbers and counts, compressed; the index is built where it is used."""
         state = {k: v for k, v in self.__dict__.items() if k != "index"}
         steps = np.diff(self.ids, prepend=np.int32(0)).astype(np.int32)
-        return state | {"ids": zlib.compress(steps.tobytes(), 1), "counts": zlib.compress(self.counts.tobytes(), 1)}
+        return state | {"ids": zlib.compress(steps.tobytes(), 1), "counts": (self.counts.dtype.str, zlib.compress(self.counts.tobytes(), 1))}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.ids = np.cumsum(np.frombuffer(zlib.decompress(state["ids"]), np.int32), dtype=np.int32)
-        self.counts = np.frombuffer(zlib.decompress(state["counts"]), np.int32)
+        self.counts = np.frombuffer(zlib.decompress(state["counts"][1]), state["counts"][0])
 
     @cached_property
     def index(self) -> BlockMaxIndex:
@@ -338,7 +369,7 @@ class NearestVote:
 
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> Vector:
         """Unit vector of (1 + log tf) * idf * strength."""
-        v = (1.0 + np.log(counts)) * self.weight[ids]
+        v = (1.0 + np.log(counts, dtype=np.float64)) * self.weight[ids]
         norm = float(np.sqrt((v * v).sum()))
         return ids, v / norm if norm else v
 

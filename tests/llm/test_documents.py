@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -222,6 +223,22 @@ def test_near_duplicates(spark, odd):
 # toxicity
 
 
+def test_index_holds_little_beside_itself():
+    """While it is made, the index takes little more than it keeps: matrices and lists are filled in place."""
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(6000):
+        t = np.unique(np.r_[rng.integers(0, 400, 150), rng.integers(400, 40_000, 150)]).astype(np.int32)
+        vectors.append((t, np.full(len(t), 1 / np.sqrt(len(t)))))
+    index = toxicity.BlockMaxIndex(vectors)
+    tracemalloc.start()
+    index._prepare()
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert index.dense.nbytes > 8e6 and len(index.parts) > 800_000
+    assert peak < 1.1 * kept + 20e6
+
+
 def test_nearest_equals_a_scan():
     rnd = random.Random(5)
     vectors = []
