@@ -138,6 +138,8 @@ def kmeans(emb: DataFrame, k: int, seed: int = 0) -> DataFrame:
 # ---------------------------------------------------------------- exact neighbours
 
 BLOCK_ROWS = 2000
+#: Rows of a block of neighbours: two blocks of vectors and 256 rows of distances are held, so blocks can be larger.
+KNN_ROWS = 8000
 
 
 def _pivots(features: DataFrame, col: str, m: int) -> np.ndarray:
@@ -146,7 +148,7 @@ def _pivots(features: DataFrame, col: str, m: int) -> np.ndarray:
     return np.array([r[0] for r in rows], dtype=float)
 
 
-def knn(features: DataFrame, k: int, col: str = "features", pivots: int = 64, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn(features: DataFrame, k: int, col: str = "features", pivots: int = 64, block_rows: int = KNN_ROWS) -> DataFrame:
     """Exact k nearest other calls: (call_id, rank, neighbour, distance).
 
     Calls are placed in the cell of their nearest pivot.  Cell radii and counts bound each call's k-th
@@ -155,6 +157,11 @@ def knn(features: DataFrame, k: int, col: str = "features", pivots: int = 64, bl
     ``block_rows`` members, and the calls visiting it likewise, so one task compares two bounded blocks and
     returns at most k rows per visiting call.
     """
+    # read by the pivots and the cells: computed once
+    spark = features.sparkSession
+    path = scratch_table(spark, "knn-features")
+    features.select("call_id", col).write.parquet(path)
+    features = spark.read.parquet(path)
     piv = _pivots(features, col, pivots)
     m = len(piv)
 
@@ -170,7 +177,6 @@ def knn(features: DataFrame, k: int, col: str = "features", pivots: int = 64, bl
         assign, "call_id bigint, vec array<double>, cell int, dist array<double>"
     )
     # read by the cell statistics, the visits and the members: written once to the shared folder
-    spark = features.sparkSession
     path = scratch_table(spark, "knn-cells")
     placed.write.parquet(path)
     placed = spark.read.parquet(path)
@@ -233,16 +239,31 @@ def knn(features: DataFrame, k: int, col: str = "features", pivots: int = 64, bl
             return empty
         q, r = np.stack(list(left["vec"])), np.stack(list(right["r_vec"]))
         qi, ri = left["call_id"].to_numpy(), right["r_call_id"].to_numpy()
+        q_good, r_good = np.isfinite(q).all(axis=1), np.isfinite(r).all(axis=1)  # others are at no finite distance
+        q, qi, r, ri = q[q_good], qi[q_good], r[r_good], ri[r_good]
+        if not len(q) or not len(r):
+            return empty
+        # products of matrices find the rows that can be among the k nearest; those are measured by differences
+        centre = r.mean(axis=0)
+        qc, rc = q - centre, r - centre
+        q2, r2 = (qc * qc).sum(axis=1), (rc * rc).sum(axis=1)
+        slack = 1e-9 * (q2 + r2.max())
         out_q, out_r, out_d = [], [], []
-        for a in range(0, len(q), 64):
-            d = np.sqrt(((q[a : a + 64, None, :] - r[None, :, :]) ** 2).sum(axis=2))
-            d[qi[a : a + 64, None] == ri[None, :]] = np.inf
-            order = np.lexsort((np.broadcast_to(ri, d.shape), d), axis=1)[:, :k]
-            best = np.take_along_axis(d, order, axis=1)
-            ok = np.isfinite(best)
-            out_q.append(np.repeat(qi[a : a + 64], ok.sum(axis=1)))
-            out_r.append(ri[order[ok]])
-            out_d.append(best[ok])
+        for a in range(0, len(q), 256):
+            ids = qi[a : a + 256]
+            rough = q2[a : a + 256, None] + r2 - 2.0 * (qc[a : a + 256] @ rc.T)
+            rough[ids[:, None] == ri[None, :]] = np.inf
+            kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(r) else np.full(len(ids), np.inf)
+            row, at = np.nonzero((rough <= (kth + 2.0 * slack[a : a + 256])[:, None]) & np.isfinite(rough))
+            d = np.concatenate([np.zeros(0), *(
+                np.sqrt(((q[a + row[i : i + 4096]] - r[at[i : i + 4096]]) ** 2).sum(axis=1)) for i in range(0, len(row), 4096)
+            )])
+            order = np.lexsort((ri[at], d, row))
+            row, at, d = row[order], at[order], d[order]
+            ok = np.isfinite(d) & (np.arange(len(row)) - np.searchsorted(row, row) < k)
+            out_q.append(ids[row[ok]])
+            out_r.append(ri[at[ok]])
+            out_d.append(d[ok])
         return pd.DataFrame(
             {"call_id": np.concatenate(out_q), "neighbour": np.concatenate(out_r), "distance": np.concatenate(out_d)}
         )
