@@ -11,11 +11,10 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from hashlib import blake2b
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +44,8 @@ def fold(doc_id: Column) -> Column:
 
 def _of_word(word: bytes) -> list[bytes]:
     """The word and its beginnings of four and five characters, marked by a trailing ``*``."""
+    if word.isascii():
+        return [word, *(word[:k] + b"*" for k in (4, 5) if len(word) >= k)]
     start = word.decode("utf-8", "ignore") if len(word) >= 4 else ""
     return [word, *(start[:k].encode() + b"*" for k in (4, 5) if len(start) >= k)]
 
@@ -66,7 +67,7 @@ class Vocabulary:
     def __init__(self, known: list[bytes]):
         self.number = {t: i for i, t in enumerate(known)}
         self.row: dict[bytes, int] = {}
-        self.table = np.zeros((1024, 3), np.int64)
+        self.table = np.zeros((1024, 3), np.int32)
 
     def __getstate__(self) -> bytes:
         return zlib.compress(b" ".join(self.number), 1)
@@ -76,38 +77,63 @@ class Vocabulary:
 
     def count(self, text: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
         """Numbers (ascending) and counts of the known terms, and whether the text has no word at all."""
-        words = text.translate(_WORD).split()
+        words = Counter(text.translate(_WORD).split())
         if len(self.row) > self.KEPT:
             self.row.clear()
         rows = list(map(self.row.get, words))
         if None in rows:
-            for w in set(words).difference(self.row):
-                found = [self.number.get(t, -1) for t in _of_word(w)]
-                k = len(self.row)
-                if k == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[k] = found + [-1] * (3 - len(found))
-                self.row[w] = k
+            fresh = [w for w, row in zip(words, rows) if row is None]
+            found = [([self.number.get(t, -1) for t in _of_word(w)] + [-1, -1])[:3] for w in fresh]
+            k = len(self.row)
+            while k + len(fresh) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[k : k + len(fresh)] = found
+            self.row.update(zip(fresh, range(k, k + len(fresh))))
             rows = [self.row[w] for w in words]
         ids = self.table[np.array(rows, np.int64)].ravel()
-        at, n = np.unique(ids[ids >= 0], return_counts=True)
-        return at.astype(np.int32), n.astype(np.int32), not words
+        n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), 3)
+        both = np.sort((ids.astype(np.int64) << 32 | n)[ids >= 0])
+        if not len(both):
+            return np.zeros(0, np.int32), np.zeros(0, np.int32), not words
+        ids = (both >> 32).astype(np.int32)
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        return ids[first], np.add.reduceat(both & 0xFFFFFFFF, first).astype(np.int32), not words
+
+
+def packed(ids: np.ndarray, counts: np.ndarray, blank: bool) -> bytes:
+    """Ascending term numbers by their steps, counts and the mark of a text without words, in the least types."""
+    steps = np.diff(ids, prepend=np.int32(0))
+    steps = steps.astype(np.uint16 if steps.max(initial=0) < 1 << 16 else np.int32)
+    counts = counts.astype(np.min_scalar_type(counts.max(initial=0)))
+    return bytes([steps.itemsize, counts.itemsize, blank]) + steps.tobytes() + counts.tobytes()
+
+
+def unpacked(row: bytes) -> tuple[np.ndarray, np.ndarray, bool]:
+    a, b, blank = row[:3]
+    n = (len(row) - 3) // (a + b)
+    steps, counts = np.frombuffer(row, f"u{a}", n, 3), np.frombuffer(row, f"u{b}", n, 3 + n * a)
+    return np.cumsum(steps, dtype=np.int32), counts.astype(np.int32), bool(blank)
 
 
 def all_terms(sample: DataFrame) -> list[bytes]:
-    """Every term of the texts of the labelled sample, in order."""
+    """Every term of the texts of the labelled sample, those in most texts first: what is read together lies together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[bytes] = set()
+        found: Counter = Counter()
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+
         for part in pieces(batches, "text", 4 << 20):
             for text in text_list(part.column("text")):
-                found.update(terms(text))
+                found.update(set(terms(text)))
             if len(found) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["term"])
-                found = set()
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["term"])
+                yield made()
+                found = Counter()
+        yield made()
 
-    return sorted(sample.mapInArrow(run, "term binary").distinct().toArrow().column(0).to_pylist())
+    rows = sample.mapInArrow(run, "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    return rows.sort_by([("n", "descending"), ("term", "ascending")]).column("term").to_pylist()
 
 
 @dataclass
@@ -129,130 +155,206 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) if len(size) else np.zeros(0, np.int64)
 
 
-class BlockMaxIndex:
-    """Exact nearest unit vectors by bounds on blocks of ``block`` examples, for many queries at a time.
-
-    Terms that many examples have (a share of ``COMMON``) are columns: block maxima and the examples' weights are
-    matrices, so that bounds and scores of all queries are products of matrices.  All other terms have inverted lists.
-    A block's bound is the product with its maxima and the largest sum its lists give to one of its examples; a block is
-    scored for the queries whose k-th best score so far does not exceed its bound.  Like examples share a block: they
-    lie in order of the nearest of some drawn examples.  Bounds and first scores have single precision and a margin;
-    what remains is scored again in double precision.
+@dataclass
+class Flat:
+    """Vectors one after another, ``start`` to ``start``: an entry weighs ``level[value] * weight[id]`` by the vector's norm.
+
+    Without ``level`` the values are the weights of unit vectors.
     """
 
-    COMMON, MARGIN, FIRST, BATCH, STRETCH = 1 / 16, 1e-4, 4, 128, 1024
+    start: np.ndarray
+    ids: np.ndarray
+    values: np.ndarray
+    level: np.ndarray | None = None
+    weight: np.ndarray | None = None
+
+    STRETCH = 1024
+
+    @classmethod
+    def of(cls, vectors: Iterable[dict[int, float] | Vector]) -> Flat:
+        rows = [_vector(v) for v in vectors]
+        start = np.r_[0, np.cumsum([len(t) for t, _ in rows])].astype(np.int64)
+        return cls(start, np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)]), np.concatenate([np.zeros(0), *(w for _, w in rows)]))
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def _stretch(self, low: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        high = min(low + self.STRETCH, len(self))
+        a, b = self.start[low], self.start[high]
+        owner = np.repeat(np.arange(high - low), np.diff(self.start[low : high + 1]))
+        ids, values = self.ids[a:b], self.values[a:b]
+        return high, owner, ids, values if self.level is None else self.level[values] * self.weight[ids]
+
+    @cached_property
+    def norm(self) -> np.ndarray:
+        if self.level is None:
+            return np.ones(len(self))
+        squares = [np.zeros(0)]
+        for low in range(0, len(self), self.STRETCH):
+            high, owner, _, w = self._stretch(low)
+            squares.append(np.bincount(owner, w * w, minlength=high - low))
+        norm = np.sqrt(np.concatenate(squares))
+        return np.where(norm > 0, norm, 1.0)
+
+    def stretches(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The vectors, ``STRETCH`` at a time: first and last number, and number from there, term and weight of every entry."""
+        for low in range(0, len(self), self.STRETCH):
+            high, owner, ids, w = self._stretch(low)
+            yield low, high, owner, ids, w / self.norm[low:high][owner]
+
+    def cosines(self, query: np.ndarray, t: np.ndarray, w: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """With some of the vectors; ``query`` holds zeros for all terms, before and after."""
+        query[t] = w if self.level is None else w * self.weight[t]
+        out = np.zeros(len(numbers))
+        for i, (a, b) in enumerate(zip(self.start[numbers].tolist(), self.start[numbers + 1].tolist())):
+            values = self.values[a:b]
+            out[i] = query[self.ids[a:b]] @ (values if self.level is None else self.level[values])
+        query[t] = 0.0
+        return np.round(out / self.norm[numbers], 12)
 
-    def __init__(self, vectors: Iterable[dict[int, float] | Vector], block: int = BLOCK):
-        """``vectors`` is read several times, so that they need not all be held beside the index."""
-        self.vectors, self.block = vectors, block
-        self.size, self.width = 0, 0
-        for ids in self._terms():
-            self.size += 1
-            self.width = max(self.width, int(ids.max(initial=-1)) + 1)
-        self.query: np.ndarray | None = None
 
-    def _terms(self) -> Iterator[np.ndarray]:
-        return (row[0] for row in self.vectors.rows) if isinstance(self.vectors, _Each) else (_vector(v)[0] for v in self.vectors)
+class BlockMaxIndex:
+    """Exact nearest unit vectors by bounds on blocks of ``block`` examples; all weights are at least 0.
+
+    Terms that many examples have (a share of ``COMMON``) are columns of a matrix.  All other terms have inverted lists,
+    in tiers by their weight for their length.  A query adds up its lists tier by tier.  What the terms not yet read can
+    give an example is at most the product of their norms in the query and in the example, so a block's bound is its
+    largest sum and its largest remaining norm; blocks and then examples whose bound is below the k-th largest sum are
+    out.  Reading ends once scoring the examples that remain costs less than the next tier.  Like examples share a
+    block: they lie in order of the nearest of some drawn examples.  Lists and matrix have single precision (``SLACK``
+    and ``SUMS`` cover it, as shares of a sum); what remains is scored again in double precision.
+    """
 
-    def _stretches(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """The examples, ``STRETCH`` at a time: first number, and number from there, term and weight of every entry."""
-        rows = map(_vector, self.vectors)
-        for low in range(0, self.size, self.STRETCH):
-            part = list(islice(rows, self.STRETCH))
-            owner = np.repeat(np.arange(len(part)), [len(t) for t, _ in part])
-            yield low, owner, np.concatenate([t for t, _ in part]), np.concatenate([w for _, w in part]).astype(np.float32)
+    COMMON, SLACK, SUMS = 1 / 16, 4e-6, 5e-4
+    #: An example as a query reads so many times its own entries up to the end of each tier but the last.
+    TIERS = (4, 16, 64)
+    #: Lists from this length are added one by one; scoring an entry of an example costs as much as these of a list.
+    LONG, ENTRY = 96, 4
+
+    def __init__(self, vectors: Flat | Iterable[dict[int, float] | Vector], block: int = BLOCK):
+        self.rows, self.block = vectors if isinstance(vectors, Flat) else Flat.of(vectors), block
+        self.size, self.width = len(self.rows), int(self.rows.ids.max(initial=-1)) + 1
+        self.query: np.ndarray | None = None
 
     def _prepare(self) -> None:
-        """Matrices and lists: made where they are used, not sent.  Beside them no more than a stretch of examples is held."""
-        seen = np.zeros(self.width, np.int64)
-        for ids in self._terms():
-            seen[ids] += 1
+        """Matrix and lists: made where they are used, not sent.  Beside them no more than a stretch of examples is held."""
+        seen = np.bincount(self.rows.ids, minlength=self.width)
         common = np.flatnonzero(seen >= max(2, self.size * self.COMMON))
         self.column = np.full(self.width, -1, np.int32)
         self.column[common] = np.arange(len(common))
-
-        def columns(owner: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-            inside = self.column[terms] >= 0
-            out = np.zeros((owner[-1] + 1 if len(owner) else 0, len(common)), np.float32)
-            out[owner[inside], self.column[terms[inside]]] = weights[inside]
-            return out
-
-        def dense() -> Iterator[tuple[int, int, np.ndarray]]:
-            for low, *entries in self._stretches():
-                high, part = min(low + self.STRETCH, self.size), columns(*entries)
-                if len(part) < high - low:  # the last examples have no term
-                    part = np.concatenate([part, np.zeros((high - low - len(part), len(common)), np.float32)])
-                yield low, high, part
+        self.mean = max(1.0, float(seen.sum()) / max(1, self.size))
+        squares = np.zeros(self.width)
+        for *_, terms, weights in self.rows.stretches():
+            squares += np.bincount(terms, weights**2, minlength=self.width)
+        by = np.argsort(-squares / np.maximum(seen, 1) ** 2, kind="stable")
+        by = by[self.column[by] < 0]
+        self.tier = np.full(self.width, len(self.TIERS) + 1, np.int8)
+        self.tier[by] = np.searchsorted(self.mean * self.size * np.array(self.TIERS), np.cumsum(seen[by] ** 2))
+        del squares, by
+
+        def dense() -> Iterator[tuple[int, np.ndarray]]:
+            for low, high, owner, terms, weights in self.rows.stretches():
+                inside = self.column[terms] >= 0
+                part = np.zeros((high - low, len(common)), np.float32)
+                part[owner[inside], self.column[terms[inside]]] = weights[inside]
+                yield low, part
 
         step = max(1, self.size // 512)
-        drawn = np.concatenate([part[-low % step :: step] for low, _, part in dense()])
-        nearest = np.concatenate([np.argmax(part @ drawn.T, axis=1) for *_, part in dense()])
+        drawn = np.concatenate([part[-low % step :: step] for low, part in dense()])
+        nearest = np.concatenate([np.argmax(part @ drawn.T, axis=1) for _, part in dense()])
         del drawn
         self.order = np.argsort(nearest, kind="stable")
         place = np.argsort(self.order)
         self.blocks = -(-self.size // self.block)
-        padded = np.zeros((self.blocks * self.block, len(common)), np.float32)
-        for low, high, part in dense():
-            padded[place[low:high]] = part
-        self.dense = padded.reshape(self.blocks, self.block, len(common))
-        self.maxima = self.dense.max(axis=1)
+        self.dense = np.zeros((self.blocks * self.block, len(common)), np.float32)
         seen[common] = 0
         self.at = np.r_[0, np.cumsum(seen)]
         self.places = np.zeros(self.at[-1], np.min_scalar_type(self.blocks * self.block))
         self.parts = np.zeros(self.at[-1], np.float32)
+        #: Per tier and example: the squared norm of the terms of all later tiers and columns.
+        self.rest = np.zeros((len(self.TIERS) + 1, len(self.dense)))
         end = self.at[:-1].copy()  # of the list of every term so far
-        for low, owner, terms, weights in self._stretches():
+        for low, high, owner, terms, weights in self.rows.stretches():
+            inside = np.flatnonzero(self.column[terms] >= 0)
+            self.dense[place[low + owner[inside]], self.column[terms[inside]]] = weights[inside]
+            tier, square = self.tier[terms], weights**2
+            for j, norm in enumerate(self.rest):
+                norm[place[low:high]] = np.bincount(owner, square * (tier > j), minlength=high - low)
             rest = np.flatnonzero(self.column[terms] < 0)
             rest = rest[np.argsort(terms[rest], kind="stable")]
             own, first, n = np.unique(terms[rest], return_index=True, return_counts=True)
             to = np.arange(len(rest)) + np.repeat(end[own] - first, n)
             self.places[to], self.parts[to] = place[low + owner[rest]], weights[rest]
             end[own] += n
-        self.rows = self.vectors.rows if isinstance(self.vectors, _Each) else [_vector(v) for v in self.vectors]
+        self.rest = np.sqrt(self.rest)
+        self.rest_of_block = self.rest.reshape(len(self.rest), self.blocks, self.block).max(axis=2)
         self.query = np.zeros(self.width)
 
-    def _exact(self, t: np.ndarray, w: np.ndarray, examples: np.ndarray) -> np.ndarray:
-        """Cosines of some examples (numbers as given) in double precision."""
-        self.query[t] = w
-        out = np.zeros(len(examples))
-        for i, row in enumerate(self.rows[e] for e in examples):
-            ids, weights = self.vectors.fn(*row) if isinstance(self.vectors, _Each) else row
-            out[i] = self.query[ids] @ weights
-        self.query[t] = 0.0
-        return np.round(out, 12)
-
-    def _batch(self, queries: list[Vector], k: int) -> list[list[Hit]]:
-        n, block = len(queries), self.block
-        own = np.zeros((n, self.dense.shape[2]), np.float32)
-        rare = np.zeros((n, self.blocks * block), np.float32)
-        for row, (t, w) in enumerate(queries):
-            column = self.column[t]
-            own[row, column[column >= 0]] = w[column >= 0]
-            t, w = t[column < 0], w[column < 0]
-            size = self.at[t + 1] - self.at[t]
-            entries = _ranges(self.at[t], self.at[t + 1])
-            rare[row] = np.bincount(self.places[entries], np.repeat(w, size) * self.parts[entries], minlength=rare.shape[1])
-        rare = rare.reshape(n, self.blocks, block)
-        bound = own @ self.maxima.T + rare.max(axis=2) + self.MARGIN
-        # a first floor from the blocks of the highest bounds
-        first = min(self.FIRST, self.blocks)
-        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-        floor = np.zeros(n, np.float32)
-        for row in range(n):
-            scores = (self.dense[best[row]].reshape(first * block, -1) @ own[row]) + rare[row, best[row]].ravel()
-            if len(scores) >= k:
-                floor[row] = np.partition(scores, len(scores) - k)[len(scores) - k] - self.MARGIN
-        score = np.full((n, self.blocks, block), -1, np.float32)
-        open_ = bound >= floor[:, None]
-        for b in np.flatnonzero(open_.any(axis=0)):
-            rows = np.flatnonzero(open_[:, b])
-            score[rows, b] = own[rows] @ self.dense[b].T + rare[rows, b]
-        score = score.reshape(n, -1)[:, : self.size]
+    def _add(self, total: np.ndarray, t: np.ndarray, w: np.ndarray) -> None:
+        """Add the lists of some terms: each example is once in a list."""
+        start, end = self.at[t], self.at[t + 1]
+        long = end - start >= self.LONG
+        for a, b, x in zip(start[long].tolist(), end[long].tolist(), w[long].tolist()):
+            total[self.places[a:b]] += x * self.parts[a:b]
+        start, end, w = start[~long], end[~long], w[~long]
+        entries = _ranges(start, end)
+        total += np.bincount(self.places[entries], np.repeat(w, end - start) * self.parts[entries], minlength=len(total))
+
+    def _floor(self, scores: np.ndarray, k: int) -> float:
+        """A little below the k-th largest, so that rounding and ties are covered; below 0 with fewer."""
+        kth = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else 0.0
+        return kth * (1 - self.SLACK) - 2e-12
+
+    def _near(self, t: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+        """Places of all examples that can be among the k nearest."""
+        by = np.argsort(self.tier[t], kind="stable")
+        t, w = t[by], w[by]
+        cuts = np.searchsorted(self.tier[t], np.arange(len(self.TIERS) + 2))
+        later = np.sqrt(np.r_[np.cumsum((w * w)[::-1])[::-1], 0.0]) * (1 + self.SLACK)
+        entries = np.r_[0, np.cumsum(self.at[t + 1] - self.at[t])][cuts]
+        total = np.zeros(self.blocks * self.block)
+        for j in range(len(self.TIERS) + 1):
+            self._add(total, t[cuts[j] : cuts[j + 1]], w[cuts[j] : cuts[j + 1]])
+            best, more = total.reshape(self.blocks, self.block).max(axis=1), later[cuts[j + 1]]
+            # the k largest sums lie in the k blocks of the largest ones
+            top = np.argpartition(-best, k - 1)[:k] if self.blocks > k else np.arange(self.blocks)
+            floor = self._floor(total.reshape(self.blocks, self.block)[top].ravel(), k)
+            open_ = np.flatnonzero(best + more * self.rest_of_block[j] >= floor)
+            following = entries[j + 2] - entries[j + 1] if j < len(self.TIERS) else 0
+            if j < len(self.TIERS) and len(open_) > 4 * k and len(open_) * self.mean > following:
+                continue
+            near = (open_[:, None] * self.block + np.arange(self.block)).ravel()
+            bound = total[near] + more * self.rest[j][near]
+            keep = (bound >= floor) & (bound > 0)
+            near, bound = near[keep], bound[keep]
+            if len(near) <= 2 * k or len(near) * self.mean * self.ENTRY <= following:
+                return near
+        own = np.zeros(self.dense.shape[1], np.float32)
+        own[self.column[t[cuts[-1] :]]] = w[cuts[-1] :]
+
+        def scored(places: np.ndarray) -> np.ndarray:
+            return total[places] + np.concatenate([np.zeros(0), *(self.dense[places[i : i + 256]] @ own for i in range(0, len(places), 256))])
+
+        first = np.argpartition(-bound, 4 * k - 1)[: 4 * k] if len(near) > 4 * k else np.arange(len(near))
+        score = scored(near[first])
+        open_ = bound >= self._floor(score, k) * (1 - self.SUMS)
+        open_[first] = False
+        rest = np.flatnonzero(open_)
+        near, score = np.r_[near[first], near[rest]], np.r_[score, scored(near[rest])]
+        return near[(score >= self._floor(score, k) * (1 - self.SUMS)) & (score > 0)]
+
+    def nearest_of(self, queries: list[dict[int, float] | Vector], k: int) -> list[list[Hit]]:
+        """For each query the k largest cosines above 0 and all that tie with the k-th."""
+        if not self.size:
+            return [[] for _ in queries]
+        if self.query is None:
+            self._prepare()
         out = []
-        for row, (t, w) in enumerate(queries):
-            last = np.partition(score[row], self.size - k)[self.size - k] if self.size > k else 0.0
-            near = np.sort(self.order[np.flatnonzero(score[row] >= max(last - 2 * self.MARGIN, 0.0))])
-            exact = self._exact(t, w, near)
+        for t, w in map(_vector, queries):
+            t, w = t[t < self.width], w[t < self.width]
+            near = np.sort(self.order[self._near(t, w, k)])
+            exact = self.rows.cosines(self.query, t, w, near)
             near, exact = near[exact > 0], exact[exact > 0]
             if len(exact) > k:
                 keep = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
@@ -261,15 +363,6 @@ class BlockMaxIndex:
             out.append([Hit(s, i) for s, i in zip(exact[by].tolist(), near[by].tolist())])
         return out
 
-    def nearest_of(self, queries: list[dict[int, float] | Vector], k: int) -> list[list[Hit]]:
-        """For each query the k largest cosines above 0 and all that tie with the k-th."""
-        if not self.size:
-            return [[] for _ in queries]
-        if self.query is None:
-            self._prepare()
-        known = [(t[t < self.width], w[t < self.width]) for t, w in map(_vector, queries)]
-        return [hits for i in range(0, len(known), self.BATCH) for hits in self._batch(known[i : i + self.BATCH], k)]
-
     def nearest(self, query: dict[int, float] | Vector, k: int) -> list[Hit]:
         return self.nearest_of([query], k)[0]
 
@@ -309,17 +402,6 @@ def _key(ids: np.ndarray, counts: np.ndarray) -> bytes:
     return blake2b(ids.tobytes() + counts.tobytes(), digest_size=16).digest()
 
 
-@dataclass
-class _Each:
-    """A function of each row, as often as it is read."""
-
-    fn: Callable[..., Vector]
-    rows: list[tuple[np.ndarray, np.ndarray]]
-
-    def __iter__(self) -> Iterator[Vector]:
-        return (self.fn(*row) for row in self.rows)
-
-
 class NearestVote:
     """Examples (id, term numbers, counts, toxic) merged by equal vectors, their index, and the vote."""
 
@@ -353,7 +435,7 @@ class NearestVote:
 
     def __getstate__(self) -> dict:
         """What is sent holds term numbers and counts, compressed; the index is built where it is used."""
-        state = {k: v for k, v in self.__dict__.items() if k != "index"}
+        state = {k: v for k, v in self.__dict__.items() if k not in ("index", "logs")}
         steps = np.diff(self.ids, prepend=np.int32(0)).astype(np.int32)
         return state | {"ids": zlib.compress(steps.tobytes(), 1), "counts": (self.counts.dtype.str, zlib.compress(self.counts.tobytes(), 1))}
 
@@ -364,12 +446,17 @@ class NearestVote:
 
     @cached_property
     def index(self) -> BlockMaxIndex:
-        cuts = list(zip(self.start[:-1].tolist(), self.start[1:].tolist()))
-        return BlockMaxIndex(_Each(self.vector, [(self.ids[a:b], self.counts[a:b]) for a, b in cuts]))
+        return BlockMaxIndex(Flat(self.start, self.ids, self.counts, self.logs, self.weight))
+
+    @cached_property
+    def logs(self) -> np.ndarray:
+        """1 + log of every count that an example has."""
+        return 1.0 + np.log(np.maximum(1.0, np.arange(1 + int(self.counts.max(initial=0)))))
 
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> Vector:
         """Unit vector of (1 + log tf) * idf * strength."""
-        v = (1.0 + np.log(counts, dtype=np.float64)) * self.weight[ids]
+        known = len(counts) == 0 or counts.max() < len(self.logs)
+        v = (self.logs[counts] if known else 1.0 + np.log(counts, dtype=np.float64)) * self.weight[ids]
         norm = float(np.sqrt((v * v).sum()))
         return ids, v / norm if norm else v
 
@@ -439,43 +526,50 @@ def toxicity(
     words = context.broadcast(Vocabulary(found))
     del found
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text", 4 << 20):
+            rows = pa.array([packed(*words.value.count(t)) for t in text_list(part.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), rows], names=["doc_id", "terms"])
+
+    # read by the frequencies and the scores: words are looked up once
+    counts = stored(narrow.mapInArrow(counted, "doc_id bigint, terms binary"), "term-counts")
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per task: how many documents have each term; number -1 counts all documents."""
         seen, n = np.zeros(size, np.int64), 0
-        for part in pieces(batches, "text", 4 << 20):
-            for text in text_list(part.column("text")):
-                seen[words.value.count(text)[0]] += 1
+        for batch in batches:
+            for row in batch.column("terms").to_pylist():
+                seen[unpacked(row)[0]] += 1
                 n += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int32()), pa.array(np.r_[n, seen[at]], pa.int64())], names=["t", "n"])
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "text", 4 << 20):
-            rows = [words.value.count(t) for t in text_list(part.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary()), part.column("toxic")],
-                names=["doc_id", "ids", "counts", "toxic"],
-            )
-
     idf = np.ones(size)
     if size:
-        sums = narrow.mapInArrow(frequencies, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+        sums = counts.mapInArrow(frequencies, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
         at, n = sums.column("t").to_numpy(), sums.column("n").to_numpy()
         total = int(n[at < 0].sum())
         frequency = np.zeros(size)
         frequency[at[at >= 0]] = n[at >= 0]
         idf = np.log((1 + total) / (1 + frequency)) + 1.0
-    rows = sample.mapInArrow(vectors, "doc_id bigint, ids binary, counts binary, toxic int").toArrow()
-    unpack = lambda name: [np.frombuffer(x, np.int32) for x in rows.column(name).to_pylist()]
-    examples = list(zip(rows.column("doc_id").to_pylist(), unpack("ids"), unpack("counts"), rows.column("toxic").to_pylist()))
+
+    def labelled_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text", 4 << 20):
+            rows = pa.array([packed(*words.value.count(t)) for t in text_list(part.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), rows, part.column("toxic")], names=["doc_id", "terms", "toxic"])
+
+    sample = stored(sample.mapInArrow(labelled_counts, "doc_id bigint, terms binary, toxic int"), "example-counts")
+    rows = sample.toArrow()
+    of = [unpacked(r) for r in rows.column("terms").to_pylist()]
+    examples = [(i, ids, n, toxic) for i, (ids, n, _), toxic in zip(rows.column("doc_id").to_pylist(), of, rows.column("toxic").to_pylist())]
     model = context.broadcast(NearestVote(examples, idf, k))
-    del rows, examples
+    del rows, of, examples
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "text", 4 << 20):
-            label = part.column("toxic").to_pylist()
-            votes = [v for v, _ in model.value.raw([words.value.count(x) for x in text_list(part.column("text"))], label)]
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), part.column("toxic")], names=["raw", "toxic"])
+        for batch in batches:
+            asked = [unpacked(r) for r in batch.column("terms").to_pylist()]
+            votes = [v for v, _ in model.value.raw(asked, batch.column("toxic").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], names=["raw", "toxic"])
 
     votes = sample.repartition(context.defaultParallelism).mapInArrow(left_out, "raw double, toxic int").toArrow()
     knots = values = None
@@ -484,21 +578,23 @@ def toxicity(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[float, list[int]]] = {}
-        for part in pieces(batches, "text", 4 << 20):
-            rows = [words.value.count(text) for text in text_list(part.column("text"))]
-            names = [_key(ids, counts) + bytes([blank]) for ids, counts, blank in rows]
-            if len(known) > 50_000:
-                known.clear()
-            fresh = {name: row for name, row in zip(names, rows) if name not in known}
-            for name, (raw, near) in zip(fresh, model.value.raw(list(fresh.values()))):
-                known[name] = calibrated(raw, knots, values), near
-            scores, evidence = zip(*(known[name] for name in names))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(list(scores), pa.float64()), pa.array(list(evidence), pa.list_(pa.int64()))],
-                names=["doc_id", "score", "evidence"],
-            )
-
-    scored = narrow.mapInArrow(score, "doc_id bigint, score double, evidence array<bigint>")
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                rows = part.column("terms").to_pylist()
+                names = [blake2b(row, digest_size=16).digest() for row in rows]
+                if len(known) > 50_000:
+                    known.clear()
+                fresh = {name: row for name, row in zip(names, rows) if name not in known}
+                for name, (raw, near) in zip(fresh, model.value.raw([unpacked(row) for row in fresh.values()])):
+                    known[name] = calibrated(raw, knots, values), near
+                scores, evidence = zip(*(known[name] for name in names))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(list(scores), pa.float64()), pa.array(list(evidence), pa.list_(pa.int64()))],
+                    names=["doc_id", "score", "evidence"],
+                )
+
+    scored = counts.mapInArrow(score, "doc_id bigint, score double, evidence array<bigint>")
     return scored.select(
         "doc_id",
         (fold(F.col("doc_id")) == 0).alias("held_out"),
