@@ -83,11 +83,18 @@ class Vocabulary:
         rows = list(map(self.row.get, words))
         if None in rows:
             fresh = [w for w, row in zip(words, rows) if row is None]
-            found = [([self.number.get(t, -1) for t in _of_word(w)] + [-1, -1])[:3] for w in fresh]
+            found: list[int] = []
+            get = self.number.get
+            for w in fresh:
+                if w.isascii():
+                    n = len(w)
+                    found += get(w, -1), get(w[:4] + b"*", -1) if n >= 4 else -1, get(w[:5] + b"*", -1) if n >= 5 else -1
+                else:
+                    found += ([get(t, -1) for t in _of_word(w)] + [-1, -1])[:3]
             k = len(self.row)
             while k + len(fresh) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[k : k + len(fresh)] = found
+            self.table[k : k + len(fresh)] = np.array(found, np.int32).reshape(-1, 3)
             self.row.update(zip(fresh, range(k, k + len(fresh))))
             rows = [self.row[w] for w in words]
         ids = self.table[np.array(rows, np.int64)].ravel()
@@ -230,7 +237,7 @@ class BlockMaxIndex:
     #: An example as a query reads so many times its own entries up to the end of each tier but the last.
     TIERS = (4, 16, 64)
     #: Lists from this length are added one by one; scoring an entry of an example costs as much as these of a list.
-    LONG, ENTRY = 96, 4
+    LONG, ENTRY = 256, 4
 
     def __init__(self, vectors: Flat | Iterable[dict[int, float] | Vector], block: int = BLOCK):
         self.rows, self.block = vectors if isinstance(vectors, Flat) else Flat.of(vectors), block

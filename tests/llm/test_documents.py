@@ -259,6 +259,47 @@ def test_nearest_equals_a_scan():
     assert [h.example for h in light] == [0]
 
 
+def test_index_reads_few_lists(monkeypatch):
+    """Long lists of light terms are not read where heavy terms settle the nearest examples, which equal a scan's."""
+    rng = np.random.default_rng(8)
+    vectors = []
+    for i in range(3000):
+        light = np.unique(rng.integers(0, 400, 12))
+        t = np.r_[light, 400 + i % 600, 1000 + rng.integers(0, 2000)].astype(np.int32)
+        w = np.r_[np.full(len(light), 0.02), 1.0, 0.5]
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    index, read = toxicity.BlockMaxIndex(vectors), []
+    add = index._add
+    monkeypatch.setattr(index, "_add", lambda total, t, w: (read.append(int((index.at[t + 1] - index.at[t]).sum())), add(total, t, w)))
+    asked = vectors[::300]
+    got = index.nearest_of(asked, 5)
+    entries = sum(int((index.at[t + 1] - index.at[t]).sum()) for t, _ in asked)
+    assert entries > 8000 and sum(read) < entries / 3
+    table = np.zeros((3000, 3000))
+    for row, (t, w) in zip(table, vectors):
+        row[t] = w
+    for (t, w), hits in zip(asked, got):
+        cosines = np.round(table[:, t] @ w, 12)
+        assert {h.example for h in hits} == set(np.flatnonzero(cosines >= np.sort(cosines)[-5]).tolist())
+
+
+def test_counts_of_known_terms():
+    """Words are counted by a table that grows and is cleared; stored counts come back as they were."""
+    texts = [b"", b"!?", "Ärger ärgerlich ab abcd ABCDE abcdef abcdeg x9 Éa".encode(), b"abcdz abcd abcd", b"none of them", bytes(range(128, 256)) + b" abcd"]
+    known = sorted(set().union(*(toxicity.terms(t) for t in texts[:4])))
+    words = toxicity.Vocabulary(known)
+    words.KEPT = 5
+    for text in texts * 2 + [b" ".join(b"w%d" % i for i in range(3000)) + b" abcd"]:
+        ids, n, blank = words.count(text)
+        want = {words.number[t]: c for t, c in toxicity.terms(text).items() if t in words.number}
+        assert list(zip(ids.tolist(), n.tolist())) == sorted(want.items()) and blank == (not toxicity.terms(text))
+        back = toxicity.unpacked(toxicity.packed(ids, n, blank))
+        assert back[0].tolist() == ids.tolist() and back[1].tolist() == n.tolist() and back[2] == blank
+    ids, n = np.array([0, 70_000, 3_000_000], np.int32), np.array([1, 300, 70_000], np.int32)
+    back = toxicity.unpacked(toxicity.packed(ids, n, False))
+    assert back[0].tolist() == ids.tolist() and back[1].tolist() == n.tolist()
+
+
 def test_isotonic_is_monotone():
     rnd = np.random.default_rng(1)
     x = rnd.random(200).round(1)
