@@ -45,7 +45,7 @@ def fold(doc_id: Column) -> Column:
 def _of_word(word: bytes) -> list[bytes]:
     """The word and its beginnings of four and five characters, marked by a trailing ``*``."""
     if word.isascii():
-        return [word, *(word[:k] + b"*" for k in (4, 5) if len(word) >= k)]
+        return [word] if len(word) < 4 else [word, word + b"*"] if len(word) == 4 else [word, word[:4] + b"*", word[:5] + b"*"]
     start = word.decode("utf-8", "ignore") if len(word) >= 4 else ""
     return [word, *(start[:k].encode() + b"*" for k in (4, 5) if len(start) >= k)]
 
@@ -83,20 +83,17 @@ class Vocabulary:
         rows = list(map(self.row.get, words))
         if None in rows:
             fresh = [w for w, row in zip(words, rows) if row is None]
-            found: list[int] = []
-            get = self.number.get
+            get, found = self.number.get, []
             for w in fresh:
-                if w.isascii():
-                    n = len(w)
-                    found += get(w, -1), get(w[:4] + b"*", -1) if n >= 4 else -1, get(w[:5] + b"*", -1) if n >= 5 else -1
-                else:
-                    found += ([get(t, -1) for t in _of_word(w)] + [-1, -1])[:3]
+                of = [get(t, -1) for t in _of_word(w)]
+                found += of if len(of) == 3 else (of + [-1, -1])[:3]
             k = len(self.row)
             while k + len(fresh) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[k : k + len(fresh)] = np.array(found, np.int32).reshape(-1, 3)
             self.row.update(zip(fresh, range(k, k + len(fresh))))
-            rows = [self.row[w] for w in words]
+            numbers = iter(range(k, k + len(fresh)))
+            rows = [next(numbers) if row is None else row for row in rows]
         ids = self.table[np.array(rows, np.int64)].ravel()
         n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), 3)
         both = np.sort((ids.astype(np.int64) << 32 | n)[ids >= 0])
@@ -133,7 +130,7 @@ def all_terms(sample: DataFrame) -> list[bytes]:
 
         for part in pieces(batches, "text", 4 << 20):
             for text in text_list(part.column("text")):
-                found.update(set(terms(text)))
+                found.update({t for word in set(text.translate(_WORD).split()) for t in _of_word(word)})
             if len(found) > 200_000:
                 yield made()
                 found = Counter()
